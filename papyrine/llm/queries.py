@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papyrine.llm import linear_grouping, simhash_vp, water_filling
+from papyrine.llm import line_frequency, linear_grouping, simhash_vp, water_filling
 from papyrine.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judged(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,4 +35,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_frequency": line_frequency.ORACLE}
