@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papyrine.llm import line_frequency, linear_grouping, simhash_vp, water_filling
+from papyrine.llm import line_frequency, linear_grouping, simhash_vp, template_tree, water_filling
 from papyrine.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_tree.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return water_filling.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -35,4 +39,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": line_frequency.ORACLE}
+    return {"op2_line_frequency": line_frequency.ORACLE, "op7_template_tree": template_tree.ORACLE}
