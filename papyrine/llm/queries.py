@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papyrine.llm import line_frequency, linear_grouping, simhash_vp, template_tree, water_filling
+from papyrine.llm import bfd_segment_tree, line_frequency, linear_grouping, simhash_vp, template_tree, water_filling
 from papyrine.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op9_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear_grouping.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_bfd_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_segment_tree.digest(bfd_segment_tree.sequences(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -49,12 +49,19 @@ def shingle_hashes(text: str | None, width: int, seed: int, lower: bool = True)
     return np.array([hashed(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :], strict=True)], np.uint64)
 
 
+def bit_counts(hashes: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """How many hashes have each bit set, highest bit first."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), at_once):
+        total += np.unpackbits(hashes[at : at + at_once].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return total
+
+
 def majority(hashes: np.ndarray) -> int:
     """Bit i is set if it is set in over half of the hashes."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes())
+    return int.from_bytes(np.packbits(bit_counts(hashes) * 2 > len(hashes)).tobytes())
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,3 +218,87 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     prints = stored(fingerprints(docs, width, seed, **names), "prints")
     return classes(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- one document of each group, by similarity ------------------------------------------------
+
+GROUPS, DRAWN, WIDE, SLACK = 10, 3, 8, 0.06
+
+
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """A further hash of each hash."""
+    z = h ^ np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def sketch(text: str | None, width: int, seed: int) -> tuple[int, bytes, list[int]]:
+    """Of the distinct shingles: how many, the fingerprint of 64 * WIDE bits, and the fingerprints of GROUPS samples of DRAWN shingles, each drawn as the least by a hash of its own."""
+    h = np.unique(shingle_hashes(text, width, seed))
+    if not len(h):
+        return 0, b"\0" * 8 * WIDE, []
+    wide = b"".join(np.packbits(bit_counts(mixed(h, k) if k else h) * 2 > len(h)).tobytes() for k in range(WIDE))
+    least = [h[mixed(h, 100 + k).argmin()] for k in range(GROUPS * DRAWN)]
+    keys = [int(mixed(np.array([majority(np.array(least[g * DRAWN : (g + 1) * DRAWN]))], np.uint64), 1000 + g)[0]) for g in range(GROUPS)]
+    return len(h), wide, keys
+
+
+def similarity(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, bits: int) -> np.ndarray:
+    """Jaccard similarity of two shingle sets, estimated from their sizes and the bits in which their fingerprints differ."""
+    shared = np.cos(np.pi * differing / bits) * np.sqrt(n_a * n_b)
+    return shared / np.maximum(n_a + n_b - shared, 1)
+
+
+def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(body, doc_id, root): one row per row of docs; rows of one root are linked by similarity `least` or more of their shingles.
+
+    Equal texts are one body from the start. Bodies are candidates if their fingerprints are within the radius
+    (found by vantage-point trees) or if one of their GROUPS sample fingerprints is equal: a pair at similarity
+    0.8 shares one with probability 0.999. A sample fingerprint pairs its bodies with two of them, not with
+    each other. Candidates are confirmed by the similarity estimated from the wide fingerprints, less SLACK, about
+    twice its standard error, so that pairs at `least` are not lost.
+    """
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        out = [sketch(t, width, seed) for t in batch.column("text").to_pylist()]
+        return {
+            "doc_id": batch.column("doc_id"), "body": batch.column("body"), "n": pa.array([x[0] for x in out], pa.int64()), "wide": pa.array([x[1] for x in out], pa.binary()),
+            "keys": pa.array([np.array(x[2], np.uint64).view(np.int64) for x in out], pa.list_(pa.int64())),
+        }
+
+    rows = stored(map_batches(keyed, work, f"doc_id {dict(keyed.dtypes)['doc_id']}, body long, n long, wide binary, keys array<long>", "text"), "sketches")
+    bodies = stored(rows.groupBy("body").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("keys").alias("keys")).where("n > 0"), "bodies")
+    drawn = bodies.select("body", F.explode("keys").alias("key"))
+    ends = drawn.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo < hi")
+    pairs = drawn.join(ends, "key").select("body", F.explode(F.array("lo", "hi")).alias("other"))
+    prints = bodies.select("body", F.conv(F.hex(F.substring("wide", 1, 8)), 16, -10).cast("long").alias("fp"))
+    at = prints.groupBy("fp").agg(F.min("body").alias("first"))
+    near = links(at.select("fp"), radius).join(at.select(F.col("fp").alias("a"), F.col("first").alias("body")), "a").join(at.select(F.col("fp").alias("b"), F.col("first").alias("other")), "b")
+    same = prints.join(at, "fp").select("body", F.col("first").alias("other"))
+    pairs = pairs.unionByName(near.select("body", "other")).unionByName(same).where("body <> other").select(F.greatest("body", "other").alias("a"), F.least("body", "other").alias("b")).distinct()
+    seen = bodies.select("body", "n", "wide")
+    met = pairs.join(seen.toDF("a", "n_a", "w_a"), "a").join(seen.toDF("b", "n_b", "w_b"), "b")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w_a, w_b = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("w_a", "w_b"))
+            n_a, n_b = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
+            close = similarity(n_a, n_b, np.bitwise_count(w_a ^ w_b).sum(axis=1).astype(float), 64 * WIDE) >= least - SLACK
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(close)) for c in ("a", "b")], names=["a", "b"])
+
+    root = components(met.mapInArrow(confirm, "a long, b long"), "near")
+    return rows.select("body", "doc_id").join(root, rows.body == root.node, "left").select("body", "doc_id", F.coalesce("root", "body").alias("root"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with all its columns, one row of each group of near-duplicates: the one with the smallest id. Texts without words are one group."""
+    members = groups(docs, id_col=id_col, text_col=text_col, **how)
+    kept = stored(members.groupBy("root").agg(F.min(F.struct("doc_id", "body")).alias("k"), F.count("*").alias("n")).select("k.doc_id", "k.body"), "kept")
+    keep = kept.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"))
+    out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_b"))).drop("_d", "_b")
+    repeated = members.join(kept.toDF("_d", "_b"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b"))).groupBy("doc_id", "body").count().where("count > 1").isEmpty()
+    return out if repeated else out.withColumn("_b", F.xxhash64(text_col)).dropDuplicates([id_col, "_b"]).drop("_b")

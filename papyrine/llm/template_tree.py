@@ -14,7 +14,7 @@ No leaf is ever gathered in one place.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines without tokens, or with fewer than
 `min_tokens`, are never dropped; a line repeated within its first document stays there as often as
-it stood; rows that repeat a doc_id count as one document; an empty table gives no rows; other columns are
+it stood; rows that repeat a doc_id count as one document (each keeps its own text); an empty table gives no rows; other columns are
 ignored by `dropped_lines` and kept by `without_templates`.
 """
 
@@ -35,10 +35,10 @@ def masked(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int) -> DataFrame:
-    """(doc_id, pos, leaf, form, line): one row per line with min_tokens tokens or more; line its masked tokens, form their hash."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    tokens = each.select("doc_id", "pos", masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return tokens.select("doc_id", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("form"), F.array_join("tokens", " ").alias("line"))
+    """(doc_id, row, pos, leaf, form, line): one row per line with min_tokens tokens or more; line its masked tokens, form their hash."""
+    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    tokens = each.select("doc_id", "row", "pos", masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
+    return tokens.select("doc_id", "row", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("form"), F.array_join("tokens", " ").alias("line"))
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
@@ -69,17 +69,17 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def dropped_lines(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, drop): by document the positions (from 0) of the lines it loses."""
+    """(row, drop): by row (the hash of its id and text) the positions (from 0) of the lines it loses."""
     lines, recurring = templates(docs, **how)
     hit = lines.join(recurring, ["leaf", "form"]).where(F.coalesce(F.col("doc_id") != F.col("first_doc"), F.lit(True)))
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    return hit.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def _with_drop(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """docs with _drop (the positions to drop, or null) and _left (the text that stays)."""
-    drop = stored(dropped_lines(docs, id_col=id_col, text_col=text_col, **how), "drop").select(F.col("doc_id").alias("_d"), F.col("drop").alias("_drop"))
+    drop = stored(dropped_lines(docs, id_col=id_col, text_col=text_col, **how), "drop").select(F.col("row").alias("_d"), F.col("drop").alias("_drop"))
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("_d")), "left").withColumn("_left", F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left))
+    return docs.join(drop, F.xxhash64(id_col, text_col) == F.col("_d"), "left").withColumn("_left", F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left))
 
 
 def without_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
