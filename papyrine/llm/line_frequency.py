@@ -101,31 +101,32 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return frequent, stored(per_doc, "per_doc")
 
 
-def verdicts(docs: DataFrame, keep: float, texts: bool, **limits) -> DataFrame:
-    """docs (doc_id, text, source, any more) with the base columns, n_removed_words, kept, and with texts, _lines (hashes of the lines it loses)."""
+def verdicts(docs: DataFrame, keep: float, **limits) -> DataFrame:
+    """docs (doc_id, text, source) as doc_id, source, body (hash of the text), the base columns, n_removed_words, kept and lost (hashes of the lines it loses)."""
     _, per_doc = removed(docs, **limits)
-    out = base_columns(docs.withColumn("_body", F.xxhash64("text")), F.col("text"))
-    if not texts:
-        out, per_doc = out.drop("text"), per_doc.drop("_lines")
-    out = out.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_body") == F.col("_b")), "left")
-    out = out.withColumn("n_removed_words", F.coalesce("_lost", F.lit(0).cast("long")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= keep * F.col("n_words"))).drop("_d", "_s", "_b", "_lost", "_body")
+    out = base_columns(docs.withColumn("body", F.xxhash64("text")), F.col("text")).drop("text")
+    out = out.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("body") == F.col("_b")), "left")
+    out = out.withColumn("n_removed_words", F.coalesce("_lost", F.lit(0).cast("long"))).withColumnRenamed("_lines", "lost")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= keep * F.col("n_words"))).drop("_d", "_s", "_b", "_lost")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: float = KEEP, **limits) -> DataFrame:
     """One row per document: the base columns, n_removed_words and kept."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    return verdicts(plain, keep, False, **limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+    return verdicts(plain, keep, **limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: float = KEEP, **limits) -> DataFrame:
     """The kept rows of docs with all their columns, without the lines above the limits."""
-    names = docs.columns
-    inner = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    out = verdicts(inner, keep, True, **limits).where("kept")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_lines"), F.xxhash64(normalised(x)))), "\n")
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left)
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names])
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    # Stored, so that the filter is not pushed back into the expressions that made it.
+    verdict = stored(verdicts(plain, keep, **limits).select("doc_id", "source", "body", "kept", "lost"), "verdicts").where("kept")
+    verdict = verdict.dropDuplicates(["doc_id", "source", "body"]).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("body").alias("_b"), F.col("lost").alias("_lost"))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_body"))
+    out = inner.join(verdict, F.col("_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_body") == F.col("_b")))
+    text = F.col(f"_row.`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_lost"), F.xxhash64(normalised(x)))), "\n")
+    return out.select(*[F.when(F.col("_lost").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
