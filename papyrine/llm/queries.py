@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papyrine.llm import bfd_segment_tree, line_frequency, linear_grouping, simhash_vp, template_tree, water_filling
+from papyrine.llm import bfd_segment_tree, factorization_machine, line_frequency, linear_grouping, simhash_vp, template_tree, water_filling
 from papyrine.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judged(table(spark, sf_dir, "documents"))
 
 
+def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return factorization_machine.scored(docs, factorization_machine.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
