@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papyrine.llm import bfd_segment_tree, factorization_machine, line_frequency, linear_grouping, simhash_vp, template_tree, water_filling
+from papyrine.llm import bfd_segment_tree, factorization_machine, line_frequency, linear_grouping, run_length_index, simhash_vp, suffix_automaton, template_tree, water_filling
 from papyrine.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automaton.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judged(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization_machine.scored(docs, factorization_machine.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
