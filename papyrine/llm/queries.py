@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papyrine.llm import bfd_segment_tree, factorization_machine, line_frequency, linear_grouping, run_length_index, simhash_vp, suffix_automaton, template_tree, water_filling
+from papyrine.llm import bfd_segment_tree, chroma, factorization_machine, line_frequency, linear_grouping, run_length_index, simhash_vp, suffix_automaton, template_tree, water_filling
 from papyrine.llm.common import table
 
 
@@ -27,6 +27,12 @@ def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization_machine.scored(docs, factorization_machine.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables hold no audio: the bytes of a text are taken as 8-bit PCM."""
+    docs = table(spark, sf_dir, "documents")
+    return chroma.search(docs.select("doc_id", F.col("text").cast("binary").alias("media")))
+
+
 def op5_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_length_index.digest(table(spark, sf_dir, "documents"))
 
