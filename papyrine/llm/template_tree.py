@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from papyrine.llm.common import word_array
+from papyrine.llm.common import BLANK_RUN, BLANKS
 from papyrine.session import stored
 
 MIN_DOCS, MIN_TOKENS, DEPTH, CONSTANT = 5, 3, 3, 0.8
@@ -30,15 +30,17 @@ FIELD = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """Tokens of a line, those with a digit generalised."""
-    return F.transform(word_array(line), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    """The line with single blanks and its tokens with a digit generalised. The patterns are only run on lines that need them."""
+    core = F.btrim(line, F.lit(BLANKS))
+    single = F.when(core.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(core, BLANK_RUN, " ")).otherwise(core)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(single, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(single)
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int) -> DataFrame:
     """(doc_id, row, pos, leaf, form, line): one row per line with min_tokens tokens or more; line its masked tokens, form their hash."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    tokens = each.select("doc_id", "row", "pos", masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return tokens.select("doc_id", "row", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"), F.xxhash64("tokens").alias("form"), F.array_join("tokens", " ").alias("line"))
+    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.transform(F.split(F.col(text_col), "\n"), masked)).alias("pos", "line"))
+    tokens = each.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where((F.col("n") >= min_tokens) & (F.col("line") != ""))
+    return tokens.select("doc_id", "row", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("form"), "line")
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +48,7 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = line_rows(docs, id_col, text_col, min_tokens, depth)
     keys = rows.select("doc_id", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs)
     leaves = stored(keys.select("leaf"), "leaves")
-    lines = stored(rows.join(leaves, "leaf"), "lines")
+    lines = stored(rows.join(leaves.hint("shuffle_hash"), "leaf"), "lines")
     forms = stored(lines.groupBy("leaf", "form").agg(F.min("line").alias("line")).select("leaf", "form", F.split("line", " ").alias("tokens")), "forms")
     per_form = lines.select("doc_id", "leaf", "form").distinct()
     weight = per_form.groupBy("leaf", "form").agg(F.count("*").alias("_n"))
@@ -79,7 +81,7 @@ def _with_drop(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """docs with _drop (the positions to drop, or null) and _left (the text that stays)."""
     drop = stored(dropped_lines(docs, id_col=id_col, text_col=text_col, **how), "drop").select(F.col("row").alias("_d"), F.col("drop").alias("_drop"))
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    return docs.join(drop, F.xxhash64(id_col, text_col) == F.col("_d"), "left").withColumn("_left", F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left))
+    return docs.join(drop.hint("shuffle_hash"), F.xxhash64(id_col, text_col) == F.col("_d"), "left").withColumn("_left", F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left))
 
 
 def without_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
