@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were")
 LABEL_STOP = ("of", "the", "and", "in", "or")
@@ -22,7 +23,7 @@ def one_space(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccented(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no function for it."""
     return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))

@@ -39,9 +39,9 @@ def steps(plan: DataFrame, counts: DataFrame, project: DataFrame) -> DataFrame:
     return grid.join(counts, ["project", "stage"], "left").fillna(0, ["n", "done"]).withColumn("state", F.when(F.col("n") == 0, "todo").when(F.col("done") == F.col("n"), "done").otherwise("doing"))
 
 
-def gate(projects: DataFrame, spent: DataFrame) -> DataFrame:
+def gate(projects: DataFrame, spent: DataFrame, digits: int = 2) -> DataFrame:
     """projects: (project, budget, estimate); spent: (project, usd). No budget: allowed, with a note; nothing left or less than the estimate: stopped."""
     met = projects.join(spent.groupBy("project").agg(F.sum("usd").alias("spent")), "project", "left").fillna(0.0, ["spent"])
     left = F.col("budget") - F.col("spent")
     why = F.when(F.col("budget").isNull(), "no budget set").when(left <= 0, "spent").when(F.col("estimate") > left, "estimate above what is left")
-    return met.withColumn("remaining", F.round(left, 2)).withColumn("note", why).withColumn("allowed", F.col("budget").isNull() | why.isNull())
+    return met.withColumn("remaining", F.round(left, digits)).withColumn("note", why).withColumn("allowed", F.col("budget").isNull() | why.isNull())

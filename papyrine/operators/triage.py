@@ -98,7 +98,7 @@ def ratings(matches: DataFrame, k: float = 32.0, start: float = 1000.0) -> DataF
 def flips(matches: DataFrame) -> DataFrame:
     """(tournament, judged_twice, flipped, rate): pairs judged both ways and verdicts that changed with the order."""
     winner = F.when(F.col("winner") == "tie", F.lit(None)).when(F.col("winner") == "l", F.col("l")).otherwise(F.col("r"))
-    pair = Window.partitionBy("tournament", F.least("l", "r"), F.greatest("l", "r")).orderBy("seq")
+    pair = Window.partitionBy("tournament", F.least("l", "r"), F.greatest("l", "r")).orderBy("seq", "l", "r", "winner")
     seen = matches.withColumn("w", F.coalesce(winner, F.lit(-1))).withColumn("before", F.lag("w").over(pair))
     again = seen.where(F.col("before").isNotNull())
     return again.groupBy("tournament").agg(F.count("*").alias("judged_twice"), F.count_if(F.col("before") != F.col("w")).alias("flipped")).withColumn("rate", F.round(F.col("flipped") / F.col("judged_twice"), 3))
