@@ -32,7 +32,7 @@ def matched_controls(found: DataFrame, pool: DataFrame, tries: int = 6) -> DataF
         return pd.DataFrame(rows, columns=["item", "freq", "control"])
 
     both = found.select("item", "freq", F.lit(0).alias("kind")).unionByName(pool.select("item", "freq", F.lit(1).alias("kind")))
-    return both.groupBy(F.lit(1)).applyInPandas(pick, "item long, freq long, control long")
+    return both.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(pick, "item long, freq long, control long")
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, per_step: int, weight: DataFrame) -> DataFrame:

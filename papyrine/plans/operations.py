@@ -270,7 +270,7 @@ def table_stats(t: Tables) -> DataFrame:
     return profile.table_stats({n: getattr(t, n) for n in NAMES})
 
 
-def cells(name: str, kind: str, missing: str = "0.0", numbers: bool = False, personal: str = "false") -> str:
+def cells(name: str, kind: str, missing: str = "CAST(0 AS DOUBLE)", numbers: bool = False, personal: str = "false") -> str:
     shown = f"min(CAST({name} AS DOUBLE)), max(CAST({name} AS DOUBLE))" if numbers else "NULL, NULL"
     return f"SELECT '{name}' AS name, '{kind}' AS dtype, {missing} AS missing_rate, count(DISTINCT {name}) AS n_unique, {personal} AS personal, {shown.split(', ')[0]} AS min, {', '.join(shown.split(', ')[1:])} AS max, NOT {personal} AND count(DISTINCT {name}) = count(*) AS unique_per_row FROM customer"
 

@@ -130,7 +130,7 @@ def packs(spark: SparkSession, path: str) -> DataFrame:
 
 def pack_section(content: Column, name: str) -> Column:
     """The part of a Markdown text under a heading of level two."""
-    return F.nullif(F.trim(F.regexp_extract(content, rf"(?ms)^## {name}[^\n]*\n(.*?)(?=^## |\z)", 1)), F.lit(""))
+    return F.nullif(F.btrim(F.regexp_extract(content, rf"(?ms)^## {name}[^\n]*\n(.*?)(?=^## |\z)", 1), F.lit(" \n")), F.lit(""))
 
 
 def delimited(spark: SparkSession, path: str, most: int = 20_000) -> DataFrame:
