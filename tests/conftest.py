@@ -1,8 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # many small matrices beside many tasks
+
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
