@@ -54,15 +54,19 @@ def crossed(variants: DataFrame, most: int) -> DataFrame:
     return rows.select("plan", "q.total", F.array_join("q.terms", " AND ").alias("query"))
 
 
-def grams(docs: DataFrame, words: Column, most: int) -> DataFrame:
-    """(id, at, n, gram): all runs of up to `most` words."""
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(F.col("w"), i, n), " ").alias("gram")))))
-    return docs.select("id", words.alias("w")).where(F.size("w") > 0).select("id", F.explode(spans).alias("s")).select("id", "s.*")
+def matches(docs: DataFrame, words: Column, dictionary: DataFrame, most: int) -> DataFrame:
+    """dictionary: (gram, ...). All places where a term of up to `most` words stands: (id, at, n, gram, ...). Only places whose word begins some term meet the dictionary, by that word."""
+    ahead = F.transform("w", lambda _, i: F.struct((i + 1).alias("at"), F.slice(F.col("w"), i + 1, F.lit(most)).alias("ahead")))
+    starts = docs.select("id", words.alias("w")).select("id", F.explode(ahead).alias("s")).select("id", "s.at", "s.ahead", F.get("s.ahead", F.lit(0)).alias("head"))
+    parts = F.split("gram", " ")
+    terms = dictionary.withColumn("head", F.get(parts, F.lit(0))).withColumn("n", F.size(parts)).where(F.col("n") <= most)
+    met = starts.join(terms, "head").where((F.size("ahead") >= F.col("n")) & (F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("gram")))
+    return met.drop("ahead", "head")
 
 
 def concepts(docs: DataFrame, words: Column, dictionary: DataFrame, most: int = 6) -> DataFrame:
     """dictionary: (gram, ui, informative). Leftmost-longest matches: of each start the longest, then starts inside an accepted match are passed over; uninformative matches consume their words but are not returned."""
-    found = grams(docs, words, most).join(dictionary, "gram")
+    found = matches(docs, words, dictionary, most)
     longest = found.groupBy("id", "at").agg(F.max(F.struct("n", "gram", "ui", "informative")).alias("m"))
     runs = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "m.n", "m.gram", "m.ui", "m.informative"))).alias("ms"))
     kind = "array<struct<at:int,n:int,gram:string,ui:string,informative:boolean>>"

@@ -138,7 +138,7 @@ def concept_extract(t: Tables) -> DataFrame:
 
 @query(f"WITH {DICTIONARY}, c AS (SELECT ui, count(DISTINCT id) AS df FROM m GROUP BY ui), n AS (SELECT count(*) AS n FROM documents) SELECT ui, df, round(df / n, 6) AS share, df / n > 0.02 AS is_generic FROM c, n")
 def generic_filter(t: Tables) -> DataFrame:
-    found = voc.grams(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), 3).join(dictionary(t), "gram")
+    found = voc.matches(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), 3)
     counts = found.select("id", "ui").distinct().groupBy("ui").agg(F.count("*").alias("df"))
     return voc.generic(counts.join(F.broadcast(t.documents.agg(F.count("*").alias("n")))), F.col("n")).drop("n")
 
@@ -146,7 +146,7 @@ def generic_filter(t: Tables) -> DataFrame:
 @query(f"""WITH {DICTIONARY}, c AS (SELECT DISTINCT id, ui FROM m), x AS (SELECT ui, id, left(text, 20) AS title, row_number() OVER (PARTITION BY ui ORDER BY left(text, 20), id) AS k FROM c JOIN documents ON doc_id = id)
 SELECT ui, count(*) AS n_docs, string_agg(title, ' | ' ORDER BY title) FILTER (WHERE k <= 3) AS examples FROM x GROUP BY ui""")
 def concept_rank(t: Tables) -> DataFrame:
-    found = voc.grams(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), 3).join(dictionary(t), "gram")
+    found = voc.matches(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), 3)
     return voc.ranked_concepts(found, t.documents.select(F.col("doc_id").alias("id"), F.left("text", F.lit(20)).alias("title")))
 
 
