@@ -30,17 +30,26 @@ FIELD = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """The line with single blanks and its tokens with a digit generalised. The patterns are only run on lines that need them."""
+    """The line with single blanks and its tokens with a digit generalised."""
     core = F.btrim(line, F.lit(BLANKS))
     single = F.when(core.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(core, BLANK_RUN, " ")).otherwise(core)
     return F.when(line.rlike("[0-9]"), F.regexp_replace(single, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(single)
 
 
+def masked_lines(text: Column) -> Column:
+    """The masked lines of a text. A few plain searches tell whether any line has something to mask or to blank out; most texts have not."""
+    lines = F.split(text, "\n")
+    odd = F.contains(text, F.lit("  ")) | F.contains(text, F.lit(" \n")) | F.contains(text, F.lit("\n ")) | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    return F.when(odd | text.rlike(r"[0-9\x09\x0B-\x0D]"), F.transform(lines, masked)).otherwise(lines)
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, depth: int) -> DataFrame:
     """(doc_id, row, pos, leaf, form, line): one row per line with min_tokens tokens or more; line its masked tokens, form their hash."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(F.transform(F.split(F.col(text_col), "\n"), masked)).alias("pos", "line"))
-    tokens = each.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where((F.col("n") >= min_tokens) & (F.col("line") != ""))
-    return tokens.select("doc_id", "row", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("form"), "line")
+    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.posexplode(masked_lines(F.col(text_col))).alias("pos", "line"))
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    # A line of min_tokens tokens is longer than its head of one token less.
+    lines = each.where((F.substring_index("line", " ", min_tokens - 1) != F.col("line")) if min_tokens > 1 else (F.col("line") != ""))
+    return lines.select("doc_id", "row", "pos", F.xxhash64(blanks + 1, F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("form"), "line")
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
