@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from papyrine.functions.measures import rate
 from papyrine.operators.triage import clusters
-from papyrine.session import stored
 
 
 def union_all(batches: list[DataFrame]) -> DataFrame:
@@ -25,7 +24,7 @@ def merged(records: DataFrame) -> DataFrame:
     very many records share costs one edge each.
     """
     with_doi = records.where("doi IS NOT NULL")
-    by_doi = with_doi.withColumn("first", F.min("rec").over(Window.partitionBy("doi"))).select(F.col("rec").alias("a"), F.col("first").alias("b"))
+    by_doi = with_doi.join(with_doi.groupBy("doi").agg(F.min("rec").alias("b")), "doi").select(F.col("rec").alias("a"), "b")
     keys = records.where("title_key IS NOT NULL").groupBy("title_key").agg(F.min("rec").alias("b"), F.count_distinct("doi").alias("dois")).where("dois <= 1")
     by_title = records.join(keys, "title_key").select(F.col("rec").alias("a"), "b")
     root = clusters(by_doi.unionByName(by_title), "works")

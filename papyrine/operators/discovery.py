@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from papyrine.operators.relational import top
+
 
 def bridges(uses: DataFrame, seeds: DataFrame, least: int = 1) -> DataFrame:
     """uses: (doc, item); seeds: (item). Items that never stand with a seed, by how many linking items stand with both (ltc) and how often (freq)."""
@@ -31,7 +33,9 @@ def matched_controls(found: DataFrame, pool: DataFrame, tries: int = 6) -> DataF
                 free.pop(near[0])
         return pd.DataFrame(rows, columns=["item", "freq", "control"])
 
-    both = found.select("item", "freq", F.lit(0).alias("kind")).unionByName(pool.select("item", "freq", F.lit(1).alias("kind")))
+    # A found item can only take one of the first few of a frequency: those before it take at most one each.
+    few = top(pool, ["freq"], [F.col("item")], found.count() + tries)
+    both = found.select("item", "freq", F.lit(0).alias("kind")).unionByName(few.select("item", "freq", F.lit(1).alias("kind")))
     return both.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(pick, "item long, freq long, control long")
 
 
