@@ -61,3 +61,25 @@ def cited(claims: DataFrame, pool: DataFrame) -> DataFrame:
     met = claims.join(by_doi, F.lower("doi") == F.col("_d"), "left").join(by_pmid, F.col("pmid") == F.col("_p"), "left")
     state = F.when(F.col("by_doi") != F.col("by_pmid"), "conflict").when(F.coalesce("by_doi", "by_pmid").isNotNull(), "verified").otherwise("unknown")
     return met.withColumn("state", state).withColumn("paper", F.coalesce("by_doi", "by_pmid")).drop("_d", "_p")
+
+
+def drifted(history: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """Rows with before and changed: whether a key's value differs from its previous version's; a key that is new has not changed."""
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
+    return history.withColumn("before", before).withColumn("changed", F.coalesce(F.col("before") != F.col(value), F.lit(False)))
+
+
+def claim(queue: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The n rows that wait longest. That no two workers claim one is for a lock outside."""
+    return queue.orderBy(*order).limit(n)
+
+
+def lacking(keys: Column, required: tuple[str, ...]) -> Column:
+    """Required keys that are not among the keys."""
+    return F.array_except(F.array(*map(F.lit, required)), keys)
+
+
+def variants(synonyms: DataFrame, most: int) -> DataFrame:
+    """synonyms: (concept, label tokens l, term, term tokens t). Of each concept the terms that share most words with its label, shorter and then alphabetical first."""
+    order = [F.size(F.array_intersect("t", "l")).desc(), F.length("term"), F.col("term")]
+    return top(synonyms, ["concept"], order, most)

@@ -298,6 +298,31 @@ def pii_flags(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", wide_length(F.col("text")).cast("long").alias("weight"), F.col("text").rlike(r"[^@ ]+@[^@ ]+\.[a-z]+").alias("has_mail"))
 
 
+@query("""WITH h AS (SELECT user_id AS project, event_type AS input, floor(value / 25) AS d, lag(floor(value / 25)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events)
+SELECT project, count(*) AS versions, count(*) FILTER (WHERE b IS NULL) AS added, count(*) FILTER (WHERE b <> d) AS changed FROM h GROUP BY project""")
+def expansion_drift(t: Tables) -> DataFrame:
+    h = rel.drifted(ev(t).withColumn("d", F.floor(F.col("value") / 25)), ["project", "stage"], [F.col("at"), F.col("id")], "d")
+    return h.groupBy("project").agg(F.count("*").alias("versions"), F.count_if(F.col("before").isNull()).alias("added"), F.count_if("changed").alias("changed"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 20")
+def claim_pending(t: Tables) -> DataFrame:
+    return rel.claim(t.orders.where("o_orderstatus = 'P'"), [F.col("o_orderdate"), F.col("o_orderkey")], 20).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_id, CASE WHEN props LIKE '%\"k\":%' THEN '' ELSE 'k,' END || 'z' AS missing FROM events")
+def missing_keys(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.array_join(rel.lacking(F.json_object_keys("props"), ("k", "z")), ",").alias("missing"))
+
+
+@query("""WITH b AS (SELECT p_brand AS concept, min(p_type) AS label FROM part GROUP BY 1), s AS (SELECT DISTINCT p_brand AS concept, p_type AS term FROM part),
+z AS (SELECT concept, term, row_number() OVER (PARTITION BY concept ORDER BY len(list_intersect(string_split(lower(term), ' '), string_split(lower(label), ' '))) DESC, length(term), term) AS rank FROM s JOIN b USING (concept)) SELECT * FROM z WHERE rank <= 4""")
+def term_variants(t: Tables) -> DataFrame:
+    label = t.part.groupBy(F.col("p_brand").alias("concept")).agg(F.split(F.lower(F.min("p_type")), " ").alias("l"))
+    terms = t.part.select(F.col("p_brand").alias("concept"), F.col("p_type").alias("term")).distinct().withColumn("t", F.split(F.lower("term"), " "))
+    return rel.variants(terms.join(label, "concept"), 4).select("concept", "term", "rank")
+
+
 @query()
 def watch_stream(t: Tables) -> DataFrame:
     import uuid
