@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": line_frequency.ORACLE, "op7_template_tree": template_tree.ORACLE}
+    return {"op1_suffix_automaton": suffix_automaton.ORACLE, "op5_run_length_index": run_length_index.ORACLE, "op2_line_frequency": line_frequency.ORACLE, "op7_template_tree": template_tree.ORACLE}

@@ -194,3 +194,17 @@ def cut(docs: DataFrame, gone: DataFrame, kind: Kind) -> DataFrame:
 def deduplicated(docs: DataFrame, kind: Kind, solve: Solver, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = numbered(docs, id_col, text_col)
     return cut(rows, removed_windows(rows, kind, solve), kind)
+
+
+def oracle(split: str, window: str, length: int, part: str, join: str, count: str) -> str:
+    """SQL for the removal: split gives the units (a list or a string) as u and n of them; window, part and join are expressions over u and place i, units, and their aggregate."""
+    return f"""
+WITH d AS (SELECT doc_id, u, {count} AS n FROM (SELECT doc_id, {split} AS u FROM documents)),
+p AS (SELECT doc_id, u, n, unnest(range(1, n + 1)) AS i FROM d),
+w AS (SELECT doc_id, i, {part} AS unit, CASE WHEN i + {length - 1} <= n THEN md5({window}) END AS w FROM p),
+f AS (SELECT doc_id, i, unit, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM w),
+c AS (SELECT doc_id, i, unit, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT doc_id, i, unit, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, {join} AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS {{units}}, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, {{empty}})) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""

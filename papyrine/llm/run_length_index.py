@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from papyrine.llm.repeats import Kind, deduplicated
+from papyrine.llm.repeats import Kind, deduplicated, oracle
 
 LENGTH, GRAM, HOT = 100, 24, 8192
 
@@ -154,4 +154,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **n
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:
-    return without_repeats(docs, **how).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans")
+    return without_repeats(docs, **how).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hexadecimal digits.
+ORACLE = oracle("hex(coalesce(text, ''))", f"substr(u, 2 * i - 1, {2 * LENGTH})", LENGTH, "substr(u, 2 * i - 1, 2)", "from_hex(string_agg(unit, '' ORDER BY i) FILTER (WHERE NOT gone))", "length(u) // 2").format(units="n_bytes", empty="''::BLOB")

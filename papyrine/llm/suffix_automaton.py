@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from papyrine.llm.repeats import Kind, deduplicated
+from papyrine.llm.repeats import Kind, deduplicated, oracle
 
 LENGTH, GRAM, HOT = 20, 6, 8192
 
@@ -75,4 +75,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **n
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:
-    return without_repeats(docs, **how).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans", "spans")
+    return without_repeats(docs, **how).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
+ORACLE = oracle(
+    r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')", f"array_to_string(u[i:i + {LENGTH - 1}], ' ')", LENGTH, "u[i]", "string_agg(unit, ' ' ORDER BY i) FILTER (WHERE NOT gone)", "len(u)"
+).format(units="n_words", empty="''")
