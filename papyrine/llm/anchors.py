@@ -56,7 +56,11 @@ class Sums:
         return Sums(total, down)
 
     def slice(self, lo: np.ndarray | slice, hi: np.ndarray | slice) -> np.ndarray:
-        return finish((self.total[hi] - self.total[lo]) * self.down[lo])
+        return finish(self.raw(lo, hi))
+
+    def raw(self, lo: np.ndarray | slice, hi: np.ndarray | slice) -> np.ndarray:
+        """Without the last mixing: every bit depends on all lower ones, so equality and order by the high bits are as good."""
+        return (self.total[hi] - self.total[lo]) * self.down[lo]
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,22 +93,23 @@ def runs(units: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> Runs:
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool))
     sums = Sums.of(units)
-    grams = sums.slice(slice(0, len(units) - gram + 1), slice(gram, len(units) + 1))
+    grams = sums.raw(slice(0, len(units) - gram + 1), slice(gram, len(units) + 1))
     width = length - gram + 1
     every = sliding_least(grams, width)  # of the window at each place, those that cross documents included
-    owner = np.repeat(np.arange(len(sizes)), held)
-    at = np.arange(len(owner)) + np.repeat(first - (np.cumsum(held) - held), held)
-    least = every[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(at)))
-    lo = at[head]
+    # Heads of runs: where the least changes or a document's windows begin; the rest goes by heads only.
+    full = np.flatnonzero(held)
+    lo = np.union1d(np.flatnonzero(every[1:] != every[:-1]) + 1, first[full])
+    owner = full[np.searchsorted(first[full], lo, side="right") - 1]
+    end = first[owner] + held[owner]
+    count = np.minimum(np.append(lo[1:], len(units)), end) - lo
+    inside = (lo < end) & (lo >= first[full[0]])
+    lo, owner, count = lo[inside], owner[inside], count[inside]
+    least = every[lo]
     # A gram is the least of some window if it is as small as the largest least around it; two such grams
     # in a row that are equal and near make a window that may repeat within its own run.
     edge = np.full(width - 1, ~np.uint64(0))
     around = ~sliding_least(np.concatenate([edge, ~every, edge]), width)
     places = np.flatnonzero(grams == around)
     twice = (grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) <= width)
-    loops = np.isin(least[head], grams[places[:-1][twice]]) if twice.any() else np.zeros(len(head), bool)
-    return Runs(owner[head], lo - first[owner[head]], count, least[head], sums.slice(lo, lo + count + length - 1), loops)
+    loops = np.isin(least, grams[places[:-1][twice]]) if twice.any() else np.zeros(len(lo), bool)
+    return Runs(owner, lo - first[owner], count, least, sums.raw(lo, lo + count + length - 1), loops)

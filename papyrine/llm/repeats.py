@@ -43,8 +43,8 @@ class Kind:
     gram: int
     hot: int
 
-    def split(self, text: str | None):
-        raw = (text or "").encode()
+    def split(self, raw: bytes | None):
+        raw = raw or b""
         return raw.split() if self.words else raw
 
     def joined(self, units) -> bytes:
@@ -66,7 +66,7 @@ class Kind:
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, text): key orders the documents. It is the id itself; only where ids repeat or are null are rows numbered by id (null last) and hash of the text, equal rows alike."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     ids = plain.select("doc_id")
     if ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         return plain.withColumn("key", F.col("doc_id"))
@@ -165,6 +165,16 @@ def removed_windows(docs: DataFrame, kind: Kind, solve: Solver) -> DataFrame:
     return out
 
 
+def covered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(start, end) of the maximal runs that intervals cover, in order; intervals that touch are one run."""
+    order = np.argsort(start)
+    lo, hi = start[order].astype(np.int64), np.maximum.accumulate((start + size)[order].astype(np.int64)) if len(start) else start.astype(np.int64)
+    if not len(lo):
+        return np.zeros((0, 2), np.int64)
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    return np.stack([lo[new], hi[np.append(new[1:], len(lo)) - 1]], axis=1)
+
+
 def cut(docs: DataFrame, gone: DataFrame, kind: Kind) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, spans, kept): the documents without the units their removed windows cover; spans are (start, end) pairs of units in a row."""
     by_doc = gone.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
@@ -172,19 +182,19 @@ def cut(docs: DataFrame, gone: DataFrame, kind: Kind) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> dict:
         n_units, n_removed, n_spans, spans, kept = [], [], [], [], []
-        for text, runs_ in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            units, here = kind.split(text), []
-            for s, e in sorted((g["start"], g["start"] + g["windows"] + kind.length - 1) for g in runs_ or []):
-                if here and s <= here[-1][1]:
-                    here[-1][1] = max(here[-1][1], e)
-                else:
-                    here.append([s, e])
-            bounds = [0, *(x for p in here for x in p), len(units)]
+        flat, ends = batch.column("gone").fill_null([]), 0
+        start, windows = (flat.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        sizes = np.diff(flat.offsets.to_numpy())
+        for text, n in zip(batch.column("text").to_pylist(), sizes.tolist(), strict=True):
+            units = kind.split(text)
+            here = covered(start[ends : ends + n], windows[ends : ends + n] + kind.length - 1)
+            ends += n
+            bounds = [0, *here.ravel().tolist(), len(units)]
             stay = [units[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)]
             n_units.append(len(units))
-            n_removed.append(sum(e - s for s, e in here))
+            n_removed.append(int((here[:, 1] - here[:, 0]).sum()))
             n_spans.append(len(here))
-            spans.append([x for p in here for x in p])
+            spans.append(bounds[1:-1])
             kept.append(b" ".join(w for part in stay for w in part) if kind.words else b"".join(stay))
         return {"doc_id": batch.column("doc_id"), "n_units": pa.array(n_units, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())}
 

@@ -42,7 +42,10 @@ def suffix_array(text: np.ndarray, separator: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(separator)
     after = np.minimum(at[np.searchsorted(at, np.arange(n))] - np.arange(n), 8)
     key &= np.array([0, *(((1 << 64) - 1) ^ ((1 << (64 - 8 * k)) - 1) for k in range(1, 9))], np.uint64)[after]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    ending = np.flatnonzero(after[order] < 8)  # whole groups of equal keys, for they hold a 0
+    own = order[ending]
+    order[ending] = own[np.lexsort((own, key[own]))]
     tied = np.zeros(n, bool)
     tied[1:] = (key[order[1:]] == key[order[:-1]]) & (after[order[1:]] == 8)
     rank = np.empty(n, np.int64)
@@ -58,7 +61,7 @@ def suffix_array(text: np.ndarray, separator: np.ndarray) -> np.ndarray:
             return order
         suffix = order[spots]
         second = rank[suffix + step]
-        again = np.argsort(head[spots] * np.int64(n) + second, kind="stable")
+        again = np.argsort(head[spots] * np.int64(n) + second)
         suffix, first, second = suffix[again], head[spots], second[again]
         order[spots] = suffix
         tied[spots[1:]] = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
