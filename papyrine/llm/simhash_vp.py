@@ -25,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from papyrine.llm.common import components, map_batches
 from papyrine.session import reachable, stored
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
 # --- one document of each group, by similarity ------------------------------------------------
 
 GROUPS, DRAWN, WIDE, SLACK = 10, 3, 8, 0.06
+SMALL = 64  # bodies of a bucket that are paired at once
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -250,13 +251,63 @@ def similarity(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, bits: in
     return shared / np.maximum(n_a + n_b - shared, 1)
 
 
+def close_pairs(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b) whose similarity, estimated from the wide fingerprints, is at least `least`: (a, b, close), close the estimate."""
+    seen = bodies.select("body", "n", "wide")
+    met = pairs.join(seen.toDF("a", "n_a", "w_a"), "a").join(seen.toDF("b", "n_b", "w_b"), "b")
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w_a, w_b = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("w_a", "w_b"))
+            n_a, n_b = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
+            close = similarity(n_a, n_b, np.bitwise_count(w_a ^ w_b).sum(axis=1).astype(float), 64 * WIDE)
+            kept = pa.array(close >= least)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).filter(kept) for c in ("a", "b")], pa.array(close).filter(kept)], names=["a", "b", "close"])
+
+    return met.mapInArrow(estimate, "a long, b long, close double")
+
+
+def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs (a, b, ..) of different components, with r_a and r_b."""
+    out = pairs.join(root.toDF("a", "r_a"), "a", "left").join(root.toDF("b", "r_b"), "b", "left")
+    return out.withColumn("r_a", F.coalesce("r_a", "a")).withColumn("r_b", F.coalesce("r_b", "b")).where("r_a <> r_b")
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, least: float, seed: int) -> DataFrame:
+    """members: (key, body, n, root). The pairs (a, b) of a bucket and of different roots that can reach `least`.
+
+    Such a pair shares one of the n - ceil(least * n) + 1 shingles of each side that are rarest in the bucket, and behind the
+    first that it shares both sides have enough shingles left. A passage that fills the bucket stands last in that order.
+    """
+    met = members.join(texts, "body")
+
+    def explode(batch: pa.RecordBatch) -> dict:
+        found = [np.unique(shingle_hashes(t, width, seed)) for t in batch.column("text").to_pylist()]
+        at = np.repeat(np.arange(len(found)), [len(h) for h in found])
+        return {c: batch.column(c).take(pa.array(at)) for c in ("key", "body", "n", "root")} | {"shingle": pa.array(np.concatenate(found).view(np.int64))}
+
+    cells = stored(map_batches(met.select("key", "body", "n", "root", "text"), explode, "key long, body long, n long, root long, shingle long", "text"), "cells")
+    spread = cells.groupBy("key", "shingle").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("key", "body").orderBy("df", "shingle"))
+    head = cells.join(spread, ["key", "shingle"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    head = stored(head.where("df > 1").select("key", "shingle", "body", "n", "root", "rank"), "heads")
+    x, y = head.alias("x"), head.alias("y")
+    n_a, n_b = F.col("x.n"), F.col("y.n")
+    enough = 1 + F.least(n_a - F.col("x.rank"), n_b - F.col("y.rank")) >= least / (1 + least) * (n_a + n_b) - 1e-9
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.shingle") == F.col("y.shingle"))
+    return x.join(y, same & F.expr("x.body > y.body and x.root <> y.root") & enough).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(body, doc_id, root): one row per row of docs; rows of one root are linked by similarity `least` or more of their shingles.
 
     Equal texts are one body from the start. Bodies are candidates if their fingerprints are within the radius
-    (found by vantage-point trees) or if one of their GROUPS sample fingerprints is equal: a pair at similarity
-    0.8 shares one with probability 0.999. A sample fingerprint pairs its bodies with two of them, not with
-    each other. Candidates are confirmed by the similarity estimated from the wide fingerprints, less SLACK, about
+    (found by vantage-point trees) or if one of their GROUPS sample fingerprints is equal (one bucket): a pair at similarity
+    0.8 shares one with probability 0.999. Buckets are first joined by their two ends; in those that still hold more than
+    one component, all pairs of different components are decided, in buckets of more than SMALL bodies those that the
+    prefix filter leaves. Candidates are confirmed by the similarity estimated from the wide fingerprints, less SLACK, about
     twice its standard error, so that pairs at `least` are not lost.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
@@ -270,27 +321,29 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
 
     rows = stored(map_batches(keyed, work, f"doc_id {dict(keyed.dtypes)['doc_id']}, body long, n long, wide binary, keys array<long>", "text"), "sketches")
     bodies = stored(rows.groupBy("body").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("keys").alias("keys")).where("n > 0"), "bodies")
-    drawn = bodies.select("body", F.explode("keys").alias("key"))
+    drawn = bodies.select("body", "n", F.explode(F.array_distinct("keys")).alias("key"))
     ends = drawn.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo < hi")
-    pairs = drawn.join(ends, "key").select("body", F.explode(F.array("lo", "hi")).alias("other"))
+    buckets = stored(drawn.join(ends, "key"), "buckets")
+    pairs = buckets.select("body", F.explode(F.array("lo", "hi")).alias("other"))
     prints = bodies.select("body", F.conv(F.hex(F.substring("wide", 1, 8)), 16, -10).cast("long").alias("fp"))
     at = prints.groupBy("fp").agg(F.min("body").alias("first"))
     near = links(at.select("fp"), radius).join(at.select(F.col("fp").alias("a"), F.col("first").alias("body")), "a").join(at.select(F.col("fp").alias("b"), F.col("first").alias("other")), "b")
     same = prints.join(at, "fp").select("body", F.col("first").alias("other"))
-    pairs = pairs.unionByName(near.select("body", "other")).unionByName(same).where("body <> other").select(F.greatest("body", "other").alias("a"), F.least("body", "other").alias("b")).distinct()
-    seen = bodies.select("body", "n", "wide")
-    met = pairs.join(seen.toDF("a", "n_a", "w_a"), "a").join(seen.toDF("b", "n_b", "w_b"), "b")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            w_a, w_b = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("w_a", "w_b"))
-            n_a, n_b = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
-            close = similarity(n_a, n_b, np.bitwise_count(w_a ^ w_b).sum(axis=1).astype(float), 64 * WIDE) >= least - SLACK
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(close)) for c in ("a", "b")], names=["a", "b"])
-
-    root = components(met.mapInArrow(confirm, "a long, b long"), "near")
+    pairs = pairs.unionByName(near.select("body", "other")).unionByName(same)
+    pairs = pairs.where("body <> other").select(F.greatest("body", "other").alias("a"), F.least("body", "other").alias("b")).distinct()
+    good = stored(close_pairs(pairs, bodies, least - SLACK).select("a", "b"), "good")
+    root = components(good, "ends")
+    held = buckets.join(root, buckets.body == root.node, "left").select("key", "body", "n", F.coalesce("root", "body").alias("root"))
+    mixed_keys = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
+    held = stored(held.join(mixed_keys, "key"), "held")
+    x, y = (held.where(F.col("m") <= SMALL).alias(c) for c in "xy")
+    enough = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.body > y.body and x.root <> y.root") & enough).select(F.col("x.body").alias("a"), F.col("y.body").alias("b"))
+    large = held.where(F.col("m") > SMALL).select("key", "body", "n", "root")
+    texts = keyed.join(large.select("body").distinct(), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
+    pairs = pairs.unionByName(prefix_pairs(large, texts, width, least, seed)).distinct()
+    good = good.unionByName(close_pairs(pairs, bodies, least - SLACK).select("a", "b"))
+    root = components(good, "near")
     return rows.select("body", "doc_id").join(root, rows.body == root.node, "left").select("body", "doc_id", F.coalesce("root", "body").alias("root"))
 
 

@@ -90,3 +90,29 @@ def test_one_per_group(docs, rows):
     clean = {r[0] for r in rows if r[1] and r[3] != "hot" and len(r[1].split()) > 20 and r[0] is not None}
     assert clean <= {r.doc_id for r in kept}
     assert len(kept) == len({(r.doc_id, r.text) for r in kept})
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def decided(spark, texts, least=0.8):
+    """(near, grouped) for each pair of texts 2 i and 2 i + 1: whether their exact similarity is `least` or more, and whether they are in one group."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    root = {r.doc_id: r.root for r in vp.groups(frame).collect()}
+    sets = [shingles(t) for t in texts]
+    near = [len(a & b) >= least * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    return near, [root[i] == root[i + 1] for i in range(0, len(texts), 2)]
+
+
+def test_passage_fills_buckets(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage, texts = word(244), []
+    for _ in range(250):
+        own = word(80)
+        texts += [" ".join(passage + own), " ".join(passage + own[:46] + word(34))]
+    texts += [" ".join(passage + word(80)) for _ in range(400)]
+    near, grouped = decided(spark, texts)
+    assert sum(near) == 250 and sum(g for n, g in zip(near, grouped) if n) == 250
