@@ -300,11 +300,21 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, least: float,
     return x.join(y, same & F.expr("x.body > y.body and x.root <> y.root") & enough).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
 
 
+def fingerprint_buckets(prints: DataFrame, radius: int) -> DataFrame:
+    """prints: (body, n, fp). Rows (body, n, key): two bodies whose fingerprints are within the radius share a key.
+
+    Such a pair meets in a shard, whose spanning links lead from both to one root: the key of a bucket is the root.
+    """
+    found = stored(links(prints.select("fp").distinct(), radius).distinct(), "vplinks")
+    own = prints.select("body", "n", F.col("fp").alias("key"))
+    return own.unionByName(prints.join(found, prints.fp == found.a).select("body", "n", F.col("b").alias("key"))).distinct()
+
+
 def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(body, doc_id, root): one row per row of docs; rows of one root are linked by similarity `least` or more of their shingles.
 
     Equal texts are one body from the start. Bodies are candidates if their fingerprints are within the radius
-    (found by vantage-point trees) or if one of their GROUPS sample fingerprints is equal (one bucket): a pair at similarity
+    (found by vantage-point trees, which give buckets too) or if one of their GROUPS sample fingerprints is equal (one bucket): a pair at similarity
     0.8 shares one with probability 0.999. Buckets are first joined by their two ends; in those that still hold more than
     one component, all pairs of different components are decided, in buckets of more than SMALL bodies those that the
     prefix filter leaves. Candidates are confirmed by the similarity estimated from the wide fingerprints, less SLACK, about
@@ -321,15 +331,12 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
 
     rows = stored(map_batches(keyed, work, f"doc_id {dict(keyed.dtypes)['doc_id']}, body long, n long, wide binary, keys array<long>", "text"), "sketches")
     bodies = stored(rows.groupBy("body").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("keys").alias("keys")).where("n > 0"), "bodies")
+    prints = stored(bodies.select("body", "n", F.conv(F.hex(F.substring("wide", 1, 8)), 16, -10).cast("long").alias("fp")), "bodyfps")
     drawn = bodies.select("body", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    drawn = drawn.unionByName(fingerprint_buckets(prints, radius).withColumn("key", F.xxhash64("key", F.lit("fp"))))
     ends = drawn.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo < hi")
     buckets = stored(drawn.join(ends, "key"), "buckets")
     pairs = buckets.select("body", F.explode(F.array("lo", "hi")).alias("other"))
-    prints = bodies.select("body", F.conv(F.hex(F.substring("wide", 1, 8)), 16, -10).cast("long").alias("fp"))
-    at = prints.groupBy("fp").agg(F.min("body").alias("first"))
-    near = links(at.select("fp"), radius).join(at.select(F.col("fp").alias("a"), F.col("first").alias("body")), "a").join(at.select(F.col("fp").alias("b"), F.col("first").alias("other")), "b")
-    same = prints.join(at, "fp").select("body", F.col("first").alias("other"))
-    pairs = pairs.unionByName(near.select("body", "other")).unionByName(same)
     pairs = pairs.where("body <> other").select(F.greatest("body", "other").alias("a"), F.least("body", "other").alias("b")).distinct()
     good = stored(close_pairs(pairs, bodies, least - SLACK).select("a", "b"), "good")
     root = components(good, "ends")

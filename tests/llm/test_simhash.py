@@ -116,3 +116,14 @@ def test_passage_fills_buckets(spark):
     texts += [" ".join(passage + word(80)) for _ in range(400)]
     near, grouped = decided(spark, texts)
     assert sum(near) == 250 and sum(g for n, g in zip(near, grouped) if n) == 250
+
+
+def test_fingerprint_buckets_hold_every_pair(spark):
+    prints = clustered(600, 8)
+    rows = [(i, 9, int(p)) for i, p in enumerate(prints.view(np.int64))] + [(len(prints), 9, int(prints.view(np.int64)[0]))]
+    held = {}
+    for r in vp.fingerprint_buckets(spark.createDataFrame(rows, "body long, n long, fp long"), 2).collect():
+        held.setdefault(r.body, set()).add(r.key)
+    fps = np.array([r[2] for r in rows]).view(np.uint64)
+    pairs = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2)]
+    assert len(pairs) > len(fps) and all(held[i] & held[j] for i, j in pairs)
