@@ -222,8 +222,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
 
 # --- one document of each group, by similarity ------------------------------------------------
 
-GROUPS, DRAWN, WIDE, SLACK = 10, 3, 8, 0.06
+GROUPS, DRAWN, WIDE, SLACK = 10, 3, 8, 0.2
 SMALL = 64  # bodies of a bucket that are paired at once
+FEW = 64  # shingles below which the estimate is not asked
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -252,9 +253,10 @@ def similarity(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, bits: in
 
 
 def close_pairs(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) whose similarity, estimated from the wide fingerprints, is at least `least`: (a, b, close), close the estimate."""
+    """The pairs (a, b) that may reach `least`, with close, their estimate: the smaller set is large enough, and the estimate is not below `least` by over SLACK, five standard errors. Sets of under FEW shingles are not judged by it."""
     seen = bodies.select("body", "n", "wide")
     met = pairs.join(seen.toDF("a", "n_a", "w_a"), "a").join(seen.toDF("b", "n_b", "w_b"), "b")
+    met = met.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,12 +265,35 @@ def close_pairs(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
             w_a, w_b = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("w_a", "w_b"))
             n_a, n_b = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
             close = similarity(n_a, n_b, np.bitwise_count(w_a ^ w_b).sum(axis=1).astype(float), 64 * WIDE)
-            kept = pa.array(close >= least)
+            kept = pa.array((close >= least - SLACK) | (np.minimum(n_a, n_b) < FEW))
             yield pa.RecordBatch.from_arrays([*[b.column(c).filter(kept) for c in ("a", "b")], pa.array(close).filter(kept)], names=["a", "b", "close"])
 
     return met.mapInArrow(estimate, "a long, b long, close double")
 
 
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float, seed: int) -> DataFrame:
+    """The pairs (a, b) whose distinct shingles have a Jaccard similarity of `least` or more, exactly."""
+    met = pairs.select("a", "b").join(texts.toDF("a", "t_a"), "a").join(texts.toDF("b", "t_b"), "b")
+
+    def judge(batch: pa.RecordBatch) -> dict:
+        held: dict[int, np.ndarray] = {}  # of one slice
+
+        def own(body: int, text: str) -> np.ndarray:
+            if body not in held:
+                held[body] = np.unique(shingle_hashes(text, width, seed))
+            return held[body]
+
+        close = []
+        for a, b, t_a, t_b in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b")], strict=True):
+            x, y = own(a, t_a), own(b, t_b)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            close.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+        close = pa.array(close, pa.bool_())
+        return {c: batch.column(c).filter(close) for c in ("a", "b")}
+
+    return map_batches(met, judge, "a long, b long", "t_a", 1 << 22)
+
+
 def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     """The pairs (a, b, ..) of different components, with r_a and r_b."""
     out = pairs.join(root.toDF("a", "r_a"), "a", "left").join(root.toDF("b", "r_b"), "b", "left")
@@ -317,8 +342,8 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
     (found by vantage-point trees, which give buckets too) or if one of their GROUPS sample fingerprints is equal (one bucket): a pair at similarity
     0.8 shares one with probability 0.999. Buckets are first joined by their two ends; in those that still hold more than
     one component, all pairs of different components are decided, in buckets of more than SMALL bodies those that the
-    prefix filter leaves. Candidates are confirmed by the similarity estimated from the wide fingerprints, less SLACK, about
-    twice its standard error, so that pairs at `least` are not lost.
+    prefix filter leaves. Candidates that sizes and wide fingerprints do not rule out are confirmed on their distinct
+    shingles, exactly.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
 
@@ -338,7 +363,15 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
     buckets = stored(drawn.join(ends, "key"), "buckets")
     pairs = buckets.select("body", F.explode(F.array("lo", "hi")).alias("other"))
     pairs = pairs.where("body <> other").select(F.greatest("body", "other").alias("a"), F.least("body", "other").alias("b")).distinct()
-    good = stored(close_pairs(pairs, bodies, least - SLACK).select("a", "b"), "good")
+    texts = keyed.join(buckets.select("body").distinct(), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
+    texts = stored(texts, "texts")
+    pairs = stored(close_pairs(pairs, bodies, least), "close")
+    exact = (texts, width, least, seed)
+    # The closest partner of each body first, then its closest in each other component.
+    good = stored(confirmed(pairs.groupBy("a").agg(F.max_by("b", F.struct("close", "b")).alias("b")), *exact), "good")
+    root = components(good, "closest")
+    more = apart(pairs, root).groupBy("a", "r_b").agg(F.max_by("b", F.struct("close", "b")).alias("b"))
+    good = good.unionByName(stored(confirmed(more, *exact), "good"))
     root = components(good, "ends")
     held = buckets.join(root, buckets.body == root.node, "left").select("key", "body", "n", F.coalesce("root", "body").alias("root"))
     mixed_keys = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
@@ -347,9 +380,8 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
     enough = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.body > y.body and x.root <> y.root") & enough).select(F.col("x.body").alias("a"), F.col("y.body").alias("b"))
     large = held.where(F.col("m") > SMALL).select("key", "body", "n", "root")
-    texts = keyed.join(large.select("body").distinct(), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
     pairs = pairs.unionByName(prefix_pairs(large, texts, width, least, seed)).distinct()
-    good = good.unionByName(close_pairs(pairs, bodies, least - SLACK).select("a", "b"))
+    good = good.unionByName(confirmed(close_pairs(pairs, bodies, least), *exact))
     root = components(good, "near")
     return rows.select("body", "doc_id").join(root, rows.body == root.node, "left").select("body", "doc_id", F.coalesce("root", "body").alias("root"))
 

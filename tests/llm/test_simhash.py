@@ -127,3 +127,14 @@ def test_fingerprint_buckets_hold_every_pair(spark):
     fps = np.array([r[2] for r in rows]).view(np.uint64)
     pairs = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2)]
     assert len(pairs) > len(fps) and all(held[i] & held[j] for i, j in pairs)
+
+
+def test_similarity_is_exact(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for n in (10, 13) * 20:  # the last word differs: 5 of 7 shingles, 8 of 10
+        own = word(n)
+        texts += [" ".join(own), " ".join(own[:-1] + word(1))]
+    near, grouped = decided(spark, texts)
+    assert sum(near) == 20 and grouped == near
