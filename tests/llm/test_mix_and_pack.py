@@ -122,3 +122,11 @@ def test_matrix(docs, none, rows):
         x = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
         want.setdefault(str(r[0]), []).extend((s, x[s : s + n].tobytes()) for s, n in lg.cut(len(x), 2048))
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_added_tokens_keep_their_ids():
+    path = tokenizer_path()
+    encode, whole = lg.byte_level_encoder(path), Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n<|endoftext| y", "un été <|endoftext|>'s 日本語"):
+        assert 50256 in encode(text)
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
