@@ -1,7 +1,8 @@
 """SimHash near-duplicates through vantage-point trees.
 
 Fingerprints are 64-bit majorities over the XXH64 hashes of word shingles. Distinct fingerprints are
-dealt into shards by a vantage-point tree whose nodes are fitted on a bounded sample: a node sends a
+dealt into shards by a vantage-point tree whose depth follows their number and whose nodes are fitted on a sample of
+PER_LEAF fingerprints a leaf, at most 2 ** 20 (8 MB; beyond 2 ** DEPTH leaves the shards grow, and split further on their own): a node sends a
 fingerprint nearer to its vantage point than the threshold left, others right. By the triangle bound a
 pair within `radius` that a node parts has its left member within `radius` below the threshold, so only
 those boundary members are also queried against the right side: every linked pair meets in some shard,
@@ -27,10 +28,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from papyrine.llm.common import components, map_batches
+from papyrine.llm.common import BLANKS, components, map_batches
 from papyrine.session import reachable, stored
 
-SAMPLE, LEAF, BLOCK, DENSE = 32_768, 4_096, 256, 65_536
+PER_LEAF, DEPTH, LEAF, BLOCK, DENSE = 64, 14, 4_096, 256, 65_536
 
 
 def shingle_hashes(text: str | None, width: int, seed: int, lower: bool = True) -> np.ndarray:
@@ -188,8 +189,9 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     """distinct: (fp), no repeats. Edges (a, b) that span the graph of pairs within the radius."""
     reachable(distinct.sparkSession)
     count = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    nodes = grow(sample, int(np.clip(np.ceil(np.log2(max(count, 1) / LEAF)), 0, 9)), radius)
+    depth = int(np.clip(np.ceil(np.log2(max(count, 1) / LEAF)), 0, DEPTH))
+    drawn = distinct.orderBy(F.xxhash64("fp"), "fp").limit(PER_LEAF << depth).toArrow()  # at most PER_LEAF << DEPTH numbers, 8 MB
+    nodes = grow(drawn.column("fp").to_numpy().view(np.uint64), depth, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,9 +224,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
 
 # --- one document of each group, by similarity ------------------------------------------------
 
-GROUPS, DRAWN, WIDE, SLACK = 10, 3, 8, 0.2
+GROUPS, DRAWN, SLACK = 14, 3, 0.4
+MINIMA = GROUPS * DRAWN
 SMALL = 64  # bodies of a bucket that are paired at once
-FEW = 64  # shingles below which the estimate is not asked
+
+
+def odd_numbers(n: int) -> np.ndarray:
+    """n fixed odd multipliers: each permutes the 64-bit numbers."""
+    return np.random.default_rng(20240611).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -235,37 +242,54 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def sketch(text: str | None, width: int, seed: int) -> tuple[int, bytes, list[int]]:
-    """Of the distinct shingles: how many, the fingerprint of 64 * WIDE bits, and the fingerprints of GROUPS samples of DRAWN shingles, each drawn as the least by a hash of its own."""
-    h = np.unique(shingle_hashes(text, width, seed))
-    if not len(h):
-        return 0, b"\0" * 8 * WIDE, []
-    wide = b"".join(np.packbits(bit_counts(mixed(h, k) if k else h) * 2 > len(h)).tobytes() for k in range(WIDE))
-    least = [h[mixed(h, 100 + k).argmin()] for k in range(GROUPS * DRAWN)]
-    keys = [int(mixed(np.array([majority(np.array(least[g * DRAWN : (g + 1) * DRAWN]))], np.uint64), 1000 + g)[0]) for g in range(GROUPS)]
-    return len(h), wide, keys
-
+def shingle_sets(texts: list[str | None], width: int, seed: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as hashes, in order: a shingle's hash is mixed from the XXH64 of its words in turn. A text with fewer words has one shingle, the whole sequence."""
+    import xxhash
 
-def similarity(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, bits: int) -> np.ndarray:
-    """Jaccard similarity of two shingle sets, estimated from their sizes and the bits in which their fingerprints differ."""
-    shared = np.cos(np.pi * differing / bits) * np.sqrt(n_a * n_b)
-    return shared / np.maximum(n_a + n_b - shared, 1)
+    hashed, known, out = xxhash.xxh64_intdigest, {}, []
+    for text in texts:
+        words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII blanks only
+        for w in set(words).difference(known):
+            known[w] = hashed(w, seed)
+        each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = max(len(each) - width + 1, 1) if len(each) else 0
+        h = np.full(n, min(width, len(each)), np.uint64)
+        for k in range(min(width, len(each))):
+            h = mixed(h ^ each[k : k + n], k + 1)
+        out.append(np.unique(h))
+    return out
+
+
+def sketches(texts: list[str | None], width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct shingles of each text: how many, the fingerprint, the least of them under MINIMA permutations, and the fingerprints of GROUPS samples of DRAWN such shingles. Texts without words have zeros."""
+    sets = shingle_sets(texts, width, seed)
+    n = np.array([len(h) for h in sets], np.int64)
+    fp = np.array([majority(h) for h in sets], np.uint64)
+    least, keys = np.zeros((len(n), MINIMA), np.uint64), np.zeros((len(n), GROUPS), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        flat, starts = np.concatenate(sets), (np.cumsum(n) - n)[some]
+        for k, odd in enumerate(odd_numbers(MINIMA)):
+            least[some, k] = np.minimum.reduceat(flat * odd, starts)
+        for g in range(GROUPS):
+            x, y, z = (least[:, g * DRAWN + k] * np.uint64(pow(int(odd_numbers(MINIMA)[g * DRAWN + k]), -1, 1 << 64)) for k in range(DRAWN))
+            keys[:, g] = mixed((x & y) | (y & z) | (x & z), 1000 + g)  # the majority of three
+    return n, fp, least, keys
 
 
 def close_pairs(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that may reach `least`, with close, their estimate: the smaller set is large enough, and the estimate is not below `least` by over SLACK, five standard errors. Sets of under FEW shingles are not judged by it."""
-    seen = bodies.select("body", "n", "wide")
-    met = pairs.join(seen.toDF("a", "n_a", "w_a"), "a").join(seen.toDF("b", "n_b", "w_b"), "b")
+    """The pairs (a, b) that may reach `least`, with close, the share of equal minima, which estimates their similarity: the smaller set is large enough, and the estimate is not below `least` by SLACK, over six standard errors."""
+    seen = bodies.select("body", "n", "minima")
+    met = pairs.join(seen.toDF("a", "n_a", "m_a"), "a").join(seen.toDF("b", "n_b", "m_b"), "b")
     met = met.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            w_a, w_b = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("w_a", "w_b"))
-            n_a, n_b = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
-            close = similarity(n_a, n_b, np.bitwise_count(w_a ^ w_b).sum(axis=1).astype(float), 64 * WIDE)
-            kept = pa.array((close >= least - SLACK) | (np.minimum(n_a, n_b) < FEW))
+            m_a, m_b = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("m_a", "m_b"))
+            close = (m_a == m_b).mean(axis=1)
+            kept = pa.array(close >= least - SLACK)
             yield pa.RecordBatch.from_arrays([*[b.column(c).filter(kept) for c in ("a", "b")], pa.array(close).filter(kept)], names=["a", "b", "close"])
 
     return met.mapInArrow(estimate, "a long, b long, close double")
@@ -276,18 +300,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float, seed
     met = pairs.select("a", "b").join(texts.toDF("a", "t_a"), "a").join(texts.toDF("b", "t_b"), "b")
 
     def judge(batch: pa.RecordBatch) -> dict:
-        held: dict[int, np.ndarray] = {}  # of one slice
-
-        def own(body: int, text: str) -> np.ndarray:
-            if body not in held:
-                held[body] = np.unique(shingle_hashes(text, width, seed))
-            return held[body]
-
+        bodies = dict(zip(batch.column("a").to_pylist(), batch.column("t_a").to_pylist(), strict=True)) | dict(zip(batch.column("b").to_pylist(), batch.column("t_b").to_pylist(), strict=True))
+        own = dict(zip(bodies, shingle_sets(list(bodies.values()), width, seed), strict=True))
         close = []
-        for a, b, t_a, t_b in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b")], strict=True):
-            x, y = own(a, t_a), own(b, t_b)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            close.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+        for a, b in zip(*[batch.column(c).to_pylist() for c in ("a", "b")], strict=True):
+            shared = len(np.intersect1d(own[a], own[b], assume_unique=True))
+            close.append(shared >= least * (len(own[a]) + len(own[b]) - shared) - 1e-9)
         close = pa.array(close, pa.bool_())
         return {c: batch.column(c).filter(close) for c in ("a", "b")}
 
@@ -309,7 +327,7 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, least: float,
     met = members.join(texts, "body")
 
     def explode(batch: pa.RecordBatch) -> dict:
-        found = [np.unique(shingle_hashes(t, width, seed)) for t in batch.column("text").to_pylist()]
+        found = shingle_sets(batch.column("text").to_pylist(), width, seed)
         at = np.repeat(np.arange(len(found)), [len(h) for h in found])
         return {c: batch.column(c).take(pa.array(at)) for c in ("key", "body", "n", "root")} | {"shingle": pa.array(np.concatenate(found).view(np.int64))}
 
@@ -338,25 +356,27 @@ def fingerprint_buckets(prints: DataFrame, radius: int) -> DataFrame:
 def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(body, doc_id, root): one row per row of docs; rows of one root are linked by similarity `least` or more of their shingles.
 
-    Equal texts are one body from the start. Bodies are candidates if their fingerprints are within the radius
+    Equal texts are one body from the start, and so are all texts without words. Bodies are candidates if their fingerprints are within the radius
     (found by vantage-point trees, which give buckets too) or if one of their GROUPS sample fingerprints is equal (one bucket): a pair at similarity
-    0.8 shares one with probability 0.999. Buckets are first joined by their two ends; in those that still hold more than
+    0.8 shares one with probability 0.9999. Buckets are first joined by their two ends; in those that still hold more than
     one component, all pairs of different components are decided, in buckets of more than SMALL bodies those that the
-    prefix filter leaves. Candidates that sizes and wide fingerprints do not rule out are confirmed on their distinct
+    prefix filter leaves. Candidates that sizes and minima do not rule out are confirmed on their distinct
     shingles, exactly.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))
+    wordless = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(BLANKS)) == ""
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.when(wordless, F.lit(0)).otherwise(F.xxhash64(text_col)).alias("body"), F.col(text_col).alias("text"))
 
     def work(batch: pa.RecordBatch) -> dict:
-        out = [sketch(t, width, seed) for t in batch.column("text").to_pylist()]
+        n, fp, least_of, keys = sketches(batch.column("text").to_pylist(), width, seed)
+        minima = (least_of >> np.uint64(32)).astype(np.uint32)
         return {
-            "doc_id": batch.column("doc_id"), "body": batch.column("body"), "n": pa.array([x[0] for x in out], pa.int64()), "wide": pa.array([x[1] for x in out], pa.binary()),
-            "keys": pa.array([np.array(x[2], np.uint64).view(np.int64) for x in out], pa.list_(pa.int64())),
+            "doc_id": batch.column("doc_id"), "body": batch.column("body"), "n": pa.array(n), "fp": pa.array(fp.view(np.int64)), "minima": pa.array([x.tobytes() for x in minima], pa.binary()),
+            "keys": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
         }
 
-    rows = stored(map_batches(keyed, work, f"doc_id {dict(keyed.dtypes)['doc_id']}, body long, n long, wide binary, keys array<long>", "text"), "sketches")
-    bodies = stored(rows.groupBy("body").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("keys").alias("keys")).where("n > 0"), "bodies")
-    prints = stored(bodies.select("body", "n", F.conv(F.hex(F.substring("wide", 1, 8)), 16, -10).cast("long").alias("fp")), "bodyfps")
+    rows = stored(map_batches(keyed, work, f"doc_id {dict(keyed.dtypes)['doc_id']}, body long, n long, fp long, minima binary, keys array<long>", "text"), "sketches")
+    bodies = stored(rows.groupBy("body").agg(*[F.first(c).alias(c) for c in ("n", "fp", "minima", "keys")]).where("n > 0"), "bodies")
+    prints = bodies.select("body", "n", "fp")
     drawn = bodies.select("body", "n", F.explode(F.array_distinct("keys")).alias("key"))
     drawn = drawn.unionByName(fingerprint_buckets(prints, radius).withColumn("key", F.xxhash64("key", F.lit("fp"))))
     ends = drawn.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo < hi")
@@ -387,10 +407,15 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with all its columns, one row of each group of near-duplicates: the one with the smallest id. Texts without words are one group."""
+    """docs with all its columns, one row of each group of near-duplicates: the one with the smallest id (null counts as smaller than any). Texts without words are one group; of rows that repeat id and text one stays."""
     members = groups(docs, id_col=id_col, text_col=text_col, **how)
-    kept = stored(members.groupBy("root").agg(F.min(F.struct("doc_id", "body")).alias("k"), F.count("*").alias("n")).select("k.doc_id", "k.body"), "kept")
-    keep = kept.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"))
-    out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_b"))).drop("_d", "_b")
-    repeated = members.join(kept.toDF("_d", "_b"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b"))).groupBy("doc_id", "body").count().where("count > 1").isEmpty()
-    return out if repeated else out.withColumn("_b", F.xxhash64(text_col)).dropDuplicates([id_col, "_b"]).drop("_b")
+    kept = members.groupBy("root").agg(F.min(F.struct("doc_id", "body")).alias("k"), F.count("*").alias("n")).select("k.doc_id", "k.body")
+    kept = stored(kept.select(F.col("doc_id").alias("_id"), F.col("body").alias("_kept")), "kept")
+    wordless = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(BLANKS)) == ""
+    body = F.when(wordless, F.lit(0)).otherwise(F.xxhash64(text_col))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"), body.alias("_body"))
+    here = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_kept"))
+    out = inner.join(kept, here).select("_row", "_own", "_body")
+    repeated = members.groupBy("doc_id", "body").agg(F.count("*").alias("n")).where("n > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_kept"))).isEmpty()
+    out = out if repeated else out.dropDuplicates(["_own", "_body"])
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -138,3 +138,33 @@ def test_similarity_is_exact(spark):
         texts += [" ".join(own), " ".join(own[:-1] + word(1))]
     near, grouped = decided(spark, texts)
     assert sum(near) == 20 and grouped == near
+
+
+def test_groups_on_documents(spark):
+    """Against all pairs: no pair at 0.8 is lost, no document joins a group without such a pair."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    root = {r.doc_id: r.root for r in vp.groups(frame).collect()}
+    sets, by_shingle, pairs = [shingles(t.lower()) if t.split() else set() for t in texts], {}, set()
+    for i, s in enumerate(sets):
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        # The rarest fifth of the shingles, and one more, holds a shared one.
+        for x in sorted(s, key=lambda x: (len(by_shingle[x]), x))[: len(s) // 5 + 1]:
+            pairs.update((min(i, j), max(i, j)) for j in by_shingle[x] if j != i)
+    near = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 50 and sum(root[i] == root[j] for i, j in near) >= 0.99 * len(near)
+    partnered = {x for p in near for x in p}
+    sizes = {}
+    for r in root.values():
+        sizes[r] = sizes.get(r, 0) + 1
+    assert not [i for i in range(len(texts)) if sizes[root[i]] > 1 and i not in partnered and sets[i]]
+
+
+def test_clashing_names_and_wordless(spark):
+    rows = [(1, None, 5, 6, 7, 8), (2, "", 5, 6, 7, 8), (3, " \n\t", 5, 6, 7, 8), (4, "a b c", 5, 6, 7, 8), (4, "a b c", 5, 6, 7, 8), (None, "a b c", 5, 6, 7, 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _d long, _b long, _row long, body long")
+    got = vp.one_per_group(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [frame.where("doc_id = 1").first(), frame.where("doc_id is null").first()]))
