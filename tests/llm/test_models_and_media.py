@@ -44,6 +44,8 @@ def recordings():
     whole, other = tune(400), tune(300)
     noisy = (whole[64 * 50 : 64 * 300].astype(float) + rng.normal(0, 2, 64 * 250)).clip(0, 255).astype(np.uint8)
     rows = [(0, noisy.tobytes()), (1, whole.tobytes()), (2, other.tobytes()), (3, other.tobytes()), (100, other.tobytes()), (4, b""), (5, None), (6, b"\x80" * 5000), (200, b"abc"), (7, noisy[64 * 20 :].tobytes())]
+    short = tune(16)
+    rows += [(300, short[:900].tobytes()), (301, np.concatenate([short[:400], short[400:900] ^ 1]).tobytes()), (302, short[16:816].tobytes()), (303, short[:300].tobytes()), (400, short[:300].tobytes()), (304, short[:299].tobytes())]
     return rows + [(8 + k, tune(120).tobytes()) for k in range(6)] + [(None, whole[: 64 * 100].tobytes())]
 
 
@@ -51,19 +53,21 @@ def test_search(spark):
     rows = recordings()
     frame = spark.createDataFrame(rows, "id long, media binary").repartition(3)
     got = chroma.search(frame, "doc_id % 100 = 0", id_col="id").collect()
-    prints = {i: chroma.fingerprints([m])[0] for i, m in rows}
+    media = {i: m or b"" for i, m in rows}
+    prints = {i: [chroma.fingerprints([m], frame=s[0], hop=s[1])[0] if s else np.zeros(0, np.uint32) for s in chroma.scales(m)] for i, m in media.items()}
     first = {}
-    for i in sorted((i for i in prints if i is not None)):
-        first.setdefault(prints[i].tobytes(), i)
-    first.setdefault(prints[None].tobytes(), None)
+    for i in sorted((i for i in media if i is not None)):
+        first.setdefault(media[i], i)
+    first.setdefault(media[None], None)
     members = sorted(str((r.doc_id, r.class_id)) for r in got if r.query_class is None)
-    assert members == sorted(str((i, first[p.tobytes()])) for i, p in prints.items())
-    asks = {first[prints[i].tobytes()] for i in prints if i is not None and i % 100 == 0}
+    assert members == sorted(str((i, first[m])) for i, m in media.items())
+    asks = {first[media[i]] for i in media if i is not None and i % 100 == 0}
     want = set()
     for q in asks:
         for d in set(first.values()):
-            if q != d and (x := chroma.matches(prints[q], prints[d])):
+            if q != d and (x := chroma.best_match(prints[q], prints[d])):
                 want.add((d, q, *x[:3]))
     assert {(r.doc_id, r.query_class, r.offset, r.votes, r.overlap) for r in got if r.query_class is not None} == want
-    assert (1, 0, 50) in {x[:3] for x in want}
+    assert (1, 0, 50 * 64) in {x[:3] for x in want}
+    assert {d for d, q, *_ in want if q == 300} >= {301, 302} and not any(303 in x[:2] for x in want)
     assert chroma.search(frame.limit(0), id_col="id").count() == 0
