@@ -46,6 +46,18 @@ def test_mixture(docs, none, rows):
     assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+def test_repeated_ids_meet_their_target(spark):
+    word = lambda n, w="w": " ".join([w] * n)
+    for rows in ([(1, word(10)), (1, word(1000)), (1, word(50))], [(1, word(100))] * 7 + [(2, word(30))], [(None, word(40))] * 9 + [(None, word(41))] * 3):
+        docs = spark.createDataFrame([(i, t, "a", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, `a.b` int").repartition(3)
+        got = wf.mixture(docs).collect()
+        total = sum(len(t.split()) for _, t in rows)
+        assert abs(sum(r.taken for r in got) - 1.5 * total) <= 1 and all(r.taken <= 2 * r["size"] for r in got)
+        mixed = wf.mixed_documents(docs).collect()
+        assert abs(sum(len(r.text.split()) for r in mixed) - 1.5 * total) <= 1
+        assert sorted(map(str, mixed)) == sorted(map(str, wf.mixed_documents(docs.repartition(2)).collect()))
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10}, {"a": 0, "b": 5}, {None: 7, "a": 1, "é": 100, "z": 3}, {"a": 0}])
 def test_targets(spark, sizes):
     got = {r.source: r.target for r in wf.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
