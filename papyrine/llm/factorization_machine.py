@@ -3,8 +3,8 @@
 A text's features are its hashed words (counts damped and normalised), structure statistics
 and length metadata. The score is logistic in w0 + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j, with rank `rank` vectors;
 the pairs are summed up in linear time as half of (sum v_i x_i)^2 - sum (v_i x_i)^2. It is
-fitted by Adam on a bounded sample of labelled rows (`sample`, a parameter; drawn by a hash of the id,
-so alike at every size) and then scores every whole text in Arrow batches; the model, whose size is fixed by `buckets` and `rank`, is
+fitted by Adam on a bounded sample of labelled rows (`sample` rows and `entries` features at most, both parameters; drawn by a hash of the id,
+so alike at every size; 128 MB on the driver) and then scores every whole text in Arrow batches; the model, whose size is fixed by `buckets` and `rank`, is
 what the tasks are sent.
 
 Defined cases: null and empty texts have the features of the empty text and a score; labels with null id or null
@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from papyrine.llm.common import map_batches
+from papyrine.session import stored
 
-BUCKETS, RANK, SAMPLE, THRESHOLD, FOLDS = 1 << 14, 8, 16_000, 0.3, 5
+BUCKETS, RANK, SAMPLE, ENTRIES, THRESHOLD, FOLDS = 1 << 14, 8, 16_000, 1 << 24, 0.3, 5
 STATS = 24
 
 
@@ -66,9 +67,13 @@ class Machine:
     centre: np.ndarray  # of the statistics
     scale: np.ndarray
 
+    def standard(self, stats: np.ndarray) -> np.ndarray:
+        """Statistics as the model sees them, in fitting and in scoring alike."""
+        return np.clip((stats - self.centre) / self.scale, -5, 5)
+
     def score(self, at: np.ndarray, x: np.ndarray) -> float:
         x = x.copy()
-        x[:STATS] = (x[:STATS] - self.centre) / self.scale
+        x[:STATS] = self.standard(x[:STATS])
         v = self.vector[at]
         z = self.bias + self.weight[at] @ x + 0.5 * float(((x @ v) ** 2 - (x**2) @ (v**2)).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -84,7 +89,7 @@ def fit(at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, buckets: int,
         return machine
     stats = np.array([v[:STATS] for v in x])
     machine.centre, machine.scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-2)
-    x = [np.concatenate([np.clip((v[:STATS] - machine.centre) / machine.scale, -5, 5), v[STATS:]]).astype(np.float32) for v in x]
+    x = [np.concatenate([machine.standard(v[:STATS]), v[STATS:]]).astype(np.float32) for v in x]
     params = [machine.weight, machine.vector]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
@@ -119,19 +124,27 @@ def fold(id_col: Column, folds: int = FOLDS) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rank: int = RANK, sample: int = SAMPLE, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Fit on at most `sample` labelled rows outside the held-out fold; the rows' features, bounded by the sample, are fitted on the driver."""
+def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rank: int = RANK, sample: int = SAMPLE, entries: int = ENTRIES, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """Fit on at most `sample` labelled rows outside the held-out fold, with at most `entries` features in all; these are fitted on the driver. Rows that repeat id and text count once."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     drawn = marked.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")  # at most `sample` small rows
 
     def work(batch: pa.RecordBatch) -> dict:
         out = [features(t, buckets) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "y": batch.column("y").cast(pa.float64()), "at": pa.array([a for a, _ in out], pa.list_(pa.int32())), "x": pa.array([v for _, v in out], pa.list_(pa.float32()))}
-
-    found = map_batches(rows, work, "doc_id long, y double, at array<int>, x array<float>", "text").toArrow().sort_by("doc_id")
-    if not found.num_rows:
+        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "body": batch.column("body"), "y": batch.column("y").cast(pa.float64()), "at": pa.array([a for a, _ in out], pa.list_(pa.int32())), "x": pa.array([v for _, v in out], pa.list_(pa.float32()))}
+
+    found = map_batches(rows.withColumn("body", F.xxhash64("text")), work, "doc_id long, body long, y double, at array<int>, x array<float>", "text")
+    found = stored(found.dropDuplicates(["doc_id", "body"]), "features")
+    # Of ids that several texts share, the first rows in the order by hash, until the sample or the features are used up.
+    order = found.select("doc_id", "body", F.size("at").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "body").limit(sample).collect()
+    used = int(np.searchsorted(np.cumsum([r["n"] for r in order]), entries, side="right")) if order else 0
+    if not used:
         return fit([], [], np.zeros(0, np.float32), buckets, rank)
+    if used < found.count():
+        few = found.sparkSession.createDataFrame([(r["doc_id"], r["body"]) for r in order[:used]], "doc_id long, body long")
+        found = found.join(F.broadcast(few), ["doc_id", "body"])
+    found = found.toArrow().sort_by([("doc_id", "ascending"), ("body", "ascending")])
     at, x = (found.column(c).combine_chunks() for c in ("at", "x"))
     ends = at.offsets.to_numpy()[1:-1] - at.offsets.to_numpy()[0]
     return fit(np.split(at.flatten().to_numpy(), ends), np.split(x.flatten().to_numpy(), ends), found.column("y").to_numpy().astype(np.float32), buckets, rank)

@@ -35,6 +35,21 @@ def test_no_labels_and_awkward_rows(spark, docs, none, rows):
     assert fm.scored(docs, machine).count() == len(rows) and fm.scored(none, machine).count() == 0
 
 
+def test_scoring_clips_as_fitting(spark):
+    m = fm.Machine(0.0, np.ones(fm.STATS + 8), np.zeros((fm.STATS + 8, 2)), np.zeros(fm.STATS), np.full(fm.STATS, 1e-6))
+    assert np.abs(m.standard(np.array([1.0] * fm.STATS))).max() == 5
+    at, x = fm.features("x" * 500, 8)
+    assert abs(m.score(at, x) - 1 / (1 + np.exp(-(m.standard(x[: fm.STATS]).sum() + x[fm.STATS :].sum())))) < 1e-6
+
+
+def test_sample_bounds_what_repeats_bring(spark):
+    rows = [(i % 4, f"text {'good' if i % 2 else 'bad'} {i}") for i in range(200)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    for how in ({"sample": 10}, {"entries": 300}, {}):
+        assert len(fm.train(docs, labels, **how).weight) == fm.STATS + fm.BUCKETS
+
+
 def recordings():
     rng = np.random.default_rng(1)
 
