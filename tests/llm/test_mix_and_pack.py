@@ -142,3 +142,38 @@ def test_added_tokens_keep_their_ids():
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n<|endoftext| y", "un été <|endoftext|>'s 日本語"):
         assert 50256 in encode(text)
         assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_long_and_odd_texts():
+    path = tokenizer_path()
+    encode, whole = lg.byte_level_encoder(path), Tokenizer.from_file(path)
+    blank = " " * 60_000
+    odd = ["x " + blank + "y", "x" + "\n" * 60_000 + " y" + "\u3000" * 70_000 + "z", blank, "a" + " \n" * 40_000 + "b  ", "\xa0" * 55_000 + "'s", "\x1c" * 60_000 + "a", blank + "<|endoftext|>" + blank]
+    rng = np.random.default_rng(12)
+    bits = [" ", "  ", "\n", "<|endoftext|>", "<|endof", "text|>", "'s", "é", "日本", "12", "ab", "#!", "\x85", "\x00"]
+    odd += ["".join(rng.choice(bits, rng.integers(1, 30))) for _ in range(2000)]
+    for text in odd:
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids, text[:80]
+    for c in (" ", "\n", "ab", " \n"):
+        assert len(encode(c * (5_000_000 // len(c)) + "end")) > 10_000
+
+
+def test_plan_is_as_good_as_best_fit(spark):
+    counts = np.bincount(np.random.default_rng(7).integers(1, 1500, 4000), minlength=2049)
+    best = bfd.best_fit_decreasing(np.repeat(np.arange(2049), counts).tolist(), 2048)
+    assert lg.best_plan(counts)["sequences"] <= len(best)
+
+
+def test_repeated_rows_are_dealt_evenly(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 9000 + [(1, None)] * 9000, "doc_id long, text string")
+    got = lg.packed(docs, tokenizer_path()).toPandas()
+    at = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id").agg(n=("length", "sum"), k=("offset", "nunique"), m=("offset", "size"))
+    assert len(got) == 18_000 and (at.n <= 2048).all() and (at.k == at.m).all()
+
+
+def test_written_matrix(spark, docs, tmp_path):
+    packed = bfd.sequences(docs, tokenizer_path())
+    bfd.write_matrix(packed, f"file://{tmp_path}/matrix")
+    back = spark.read.parquet(f"file://{tmp_path}/matrix")
+    assert back.columns == packed.columns
+    assert sorted(map(str, bfd.digest(back).collect())) == sorted(map(str, bfd.digest(packed).collect()))
