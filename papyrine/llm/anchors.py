@@ -75,13 +75,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: the document's place in the buffer, first window (from the document's start), number of windows, anchor, hash of the context, and whether the anchor may stand in it twice."""
+    """Runs of windows with one anchor: the document's place in the buffer, first window (from the document's start), number of windows, anchor, the first window's place in the buffer, and whether the anchor may stand in it twice."""
 
     doc: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
-    context: np.ndarray
+    place: np.ndarray
     loops: np.ndarray
 
 
@@ -91,7 +91,7 @@ def runs(units: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> Runs:
     held = np.maximum(sizes - length + 1, 0)
     if not held.any():
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool))
+        return Runs(none, none, none, none.astype(np.uint64), none, none.astype(bool))
     sums = Sums.of(units)
     grams = sums.raw(slice(0, len(units) - gram + 1), slice(gram, len(units) + 1))
     width = length - gram + 1
@@ -112,4 +112,4 @@ def runs(units: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> Runs:
     places = np.flatnonzero(grams == around)
     twice = (grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) <= width)
     loops = np.isin(least, grams[places[:-1][twice]]) if twice.any() else np.zeros(len(lo), bool)
-    return Runs(owner, lo - first[owner], count, least, sums.raw(lo, lo + count + length - 1), loops)
+    return Runs(owner, lo - first[owner], count, least, lo, loops)

@@ -5,11 +5,11 @@ A window is `length` consecutive units of one document; it is removed if an equa
 
 1. runs: each document yields its runs (anchor, context hash, start, windows), array arithmetic only;
 2. anchors seen twice or more anywhere (or twice in one run) are kept, the other runs (nearly all) are dropped;
-3. equal contexts are summed up to their first occurrence: every later one is removed as a whole, so a text
+3. equal contexts (by XXH64 of their bytes, which unlike a polynomial has no known texts that collide, and only below one anchor) are summed up to their first occurrence: every later one is removed as a whole, so a text
    that thousands copy costs one comparison;
 4. anchors with two or more different contexts, or that stand twice in one, are shards: their contexts, cut from the texts, meet in (anchor)
-   order and an index of the shard decides each window. An anchor with more than `hot` contexts is
-   spread by the hash of each single window; equal windows still meet;
+   order and an index of the shard decides each window. An anchor whose contexts hold more than `hot` windows is
+   spread by the hash of each single window; equal windows still meet, and those of one context are told apart where it is cut;
 5. the removed windows are gathered by document and cut from its text.
 
 All shuffles but the two that bring texts to the runs of their document carry numbers only, and no group has
@@ -31,7 +31,7 @@ from papyrine.session import dropped, reachable, stored
 
 #: (contexts, windows) -> for each context the array of its removed windows; contexts come grouped by shard, each in document order.
 Solver = Callable[[list[bytes], list[int], list[int]], list[np.ndarray]]
-SPREAD, BATCH = 4096, 1 << 20
+SPREAD, BATCH, SEED = 4096, 1 << 20, 20240607
 
 
 @dataclass(frozen=True)
@@ -50,18 +50,18 @@ class Kind:
     def joined(self, units) -> bytes:
         return b" ".join(units) if self.words else bytes(units)
 
-    def hashes(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(a hash per unit of all texts, number of units of each)."""
+    def hashes(self, texts: list) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """A hash per unit of all texts, the number of units of each, all units one after another (words by single spaces), and where each unit starts and ends there."""
         sizes = np.array([len(t) for t in texts], np.int64)
         table = letters()
         if not self.words:
-            return table[np.frombuffer(b"".join(texts), np.uint8)], sizes
-        buffer = np.frombuffer(b" ".join(b" ".join(t) for t in texts if t) + b" ", np.uint8)
-        if not sizes.sum():
-            return np.zeros(0, np.uint64), sizes
-        end = np.flatnonzero(buffer == 32)
-        start = np.concatenate([[0], end[:-1] + 1])
-        return Sums.of(table[buffer]).slice(start, end), sizes
+            raw = b"".join(texts)
+            return table[np.frombuffer(raw, np.uint8)], sizes, raw, np.arange(len(raw)), np.arange(1, len(raw) + 1)
+        raw = b" ".join(b" ".join(t) for t in texts if t) + b" "
+        buffer = np.frombuffer(raw, np.uint8)
+        end = np.flatnonzero(buffer == 32) if sizes.sum() else np.zeros(0, np.int64)
+        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+        return Sums.of(table[buffer]).slice(start, end) if len(end) else np.zeros(0, np.uint64), sizes, raw, start, end
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,15 +78,20 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def found_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     def work(batch: pa.RecordBatch) -> dict:
-        r = runs(*kind.hashes([kind.split(t) for t in batch.column("text").to_pylist()]), kind.length, kind.gram)
-        key = batch.column("key").to_numpy(zero_copy_only=False)
-        return {"anchor": pa.array(r.anchor.view(np.int64)), "context": pa.array(r.context.view(np.int64)), "key": pa.array(key[r.doc]), "start": pa.array(r.start.astype(np.int32)), "windows": pa.array(r.windows.astype(np.int32)), "loops": pa.array(r.loops)}
+        import xxhash
+
+        units, sizes, raw, begin, end = kind.hashes([kind.split(t) for t in batch.column("text").to_pylist()])
+        r = runs(units, sizes, kind.length, kind.gram)
+        key, hashed = batch.column("key").to_numpy(zero_copy_only=False), xxhash.xxh64_intdigest
+        last = r.place + r.windows + kind.length - 2
+        context = np.fromiter((hashed(raw[a:b], SEED) for a, b in zip(begin[r.place].tolist(), end[last].tolist(), strict=True)), np.uint64, len(last))
+        return {"anchor": pa.array(r.anchor.view(np.int64)), "context": pa.array(context.view(np.int64)), "key": pa.array(key[r.doc]), "start": pa.array(r.start.astype(np.int32)), "windows": pa.array(r.windows.astype(np.int32)), "loops": pa.array(r.loops)}
 
     return map_batches(docs.select("key", "text"), work, "anchor long, context long, key long, start int, windows int, loops boolean", "text")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """(anchor, salt, key, start, windows, units): the contexts of the wanted runs (anchor, hot, key, start, windows); hot ones a window each, salted by its hash."""
+    """(anchor, salt, key, start, windows, units): the contexts of the wanted runs (anchor, hot, key, start, windows); hot ones a window each, salted by its hash, and without units the windows that stand earlier in the same context."""
     by_doc = wanted.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("start", "windows", "anchor", "hot")).alias("wanted"))
     rows = docs.select("key", "text").join(by_doc, F.col("key") == F.col("_k")).select("key", "text", "wanted")
 
@@ -101,7 +106,16 @@ def contexts(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                     out.append((w["anchor"], 0, key, s, n, kind.joined(part)))
                     continue
                 h = Sums.of(kind.hashes([part])[0]).slice(slice(0, n), slice(kind.length, None)) % SPREAD
-                out += [(w["anchor"], 1 + int(h[i]), key, s + i, 1, kind.joined(part[i : i + kind.length])) for i in range(n)]
+                seen: set[bytes] = set()  # windows of this context: the later of equal ones are removed without further ado
+                for i in range(n):
+                    window = kind.joined(part[i : i + kind.length])
+                    if window not in seen:
+                        seen.add(window)
+                        out.append((w["anchor"], 1 + int(h[i]), key, s + i, 1, window))
+                    elif out[-1][5] is None and out[-1][3] + out[-1][4] == s + i:
+                        out[-1] = (*out[-1][:4], out[-1][4] + 1, None)
+                    else:
+                        out.append((w["anchor"], 0, key, s + i, 1, None))
         names, kinds = ("anchor", "salt", "key", "start", "windows", "units"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return {n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}
 
@@ -113,11 +127,13 @@ def solved(found: DataFrame, kind: Kind, solve: Solver, partitions: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        again: list[tuple] = []  # removed already
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             shard = [hash((x[0], x[1])) for x in rows]
-            gone = solve([x[5] for x in rows], [x[4] for x in rows], shard)
-            key, start, count = [], [], []
+            gone = solve([x[5] for x in rows], [x[4] for x in rows], shard) if rows else []
+            key, start, count = (list(x) for x in zip(*again, strict=True)) if again else ([], [], [])
+            again.clear()
             for x, flags in zip(rows, gone, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -129,12 +145,15 @@ def solved(found: DataFrame, kind: Kind, solve: Solver, partitions: int) -> Data
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if row[5] is None:
+                    again.append(row[2:5])
+                    continue
                 if size >= BATCH and row[:2] != held[-1][:2]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[5])
-        if held:
+        if held or again:
             yield flush(held)
 
     ordered = found.repartition(partitions, "anchor", "salt").sortWithinPartitions("anchor", "salt", "key", "start")
@@ -155,7 +174,7 @@ def removed_windows(docs: DataFrame, kind: Kind, solve: Solver) -> DataFrame:
     copies = each.where("n > 1").select("anchor", "context", "first")
     later = seen.join(copies, ["anchor", "context"]).where(place != F.col("first")).select("key", "start", "windows")
     # Different contexts of one anchor are a shard.
-    several = each.groupBy("anchor").agg(F.count("*").alias("m"), F.max("loops").alias("loops")).where("m > 1 OR loops").select("anchor", (F.col("m") > kind.hot).alias("hot"))
+    several = each.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("windows").alias("held"), F.max("loops").alias("loops")).where("m > 1 OR loops").select("anchor", (F.col("held") > kind.hot).alias("hot"))
     wanted = each.join(several, "anchor").select("anchor", "hot", F.col("first.key").alias("key"), F.col("first.start").alias("start"), "windows")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     met = solved(contexts(docs, wanted, kind), kind, solve, partitions)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from papyrine.llm.repeats import Kind, deduplicated, oracle
 
-LENGTH, GRAM, HOT = 100, 24, 8192
+LENGTH, GRAM, HOT = 100, 24, 1 << 20
 
 
 def words_at(text: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from papyrine.llm.repeats import Kind, deduplicated, oracle
 
-LENGTH, GRAM, HOT = 20, 6, 8192
+LENGTH, GRAM, HOT = 20, 6, 1 << 17
 
 
 class Automaton:

@@ -84,6 +84,38 @@ def test_hot_anchor_is_spread(docs, spark):
     assert rows == sorted((r.doc_id or -1, r.n_removed, r.kept) for r in suffix_automaton.without_repeats(docs).collect())
 
 
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+@pytest.mark.parametrize("words, length, module", [(True, 20, suffix_automaton), (False, 100, run_length_index)])
+def test_texts_on_which_polynomial_hashes_agree(spark, words, length, module):
+    """Sequences of Thue and Morse and their complements have equal polynomial hashes modulo 2 ** 64 for any odd base."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"p{x}" for x in rng.integers(0, 1 << 30, n)]
+    letters = lambda flip: "".join("ab"[x ^ flip] for x in thue_morse(1024))
+    shared, tail = prose(14), prose(15)
+    rows = [(2 * k + f, " ".join(shared + [letters(f)] + tail) if k == 0 else " ".join("xy"[x ^ f] for x in thue_morse(2048)), "en", "s", 1, 1, "k", "l") for k in range(2) for f in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, key string, line string").repartition(2)
+    want = brute(rows, words, length)
+    for r in module.digest(frame).collect():
+        assert (r[1], r.n_removed, r.kept_sha256) == want[r.doc_id, rows[r.doc_id][1]]
+    if words:
+        assert want[1, rows[1][1]][1] == 0
+
+
+@pytest.mark.parametrize("words, length, gram, module", [(True, 20, 6, suffix_automaton), (False, 100, 24, run_length_index)])
+def test_hot_periodic_texts(spark, words, length, gram, module):
+    from papyrine.llm.repeats import Kind, deduplicated
+
+    rows = [(k, " ".join(["spam", "eggs", "ham"][: 1 + k % 3] * 400), "en") for k in range(6)] + [(9, "spam " * 50 + "other words here " * 9, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    want = brute(rows, words, length)
+    for r in deduplicated(frame, Kind(words, length, gram, 1), lambda c, w, s: module.solve(c, w, s, length)).collect():
+        n, gone, digest = want[r.doc_id, next(x[1] for x in rows if x[0] == r.doc_id)]
+        assert (r.n_units, r.n_removed, hashlib.sha256(r.kept).hexdigest()) == (n, gone, digest)
+
+
 def test_run_index_is_compressed():
     text = b"\0".join([b"the quick brown fox jumps over the lazy dog"] * 50) + b"\0" * 16
     raw = np.frombuffer(text, np.uint8)
