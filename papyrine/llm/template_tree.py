@@ -3,17 +3,18 @@
 Lines are parsed by a tree of fixed depth: first by their number of tokens, then by their leading tokens;
 tokens with a digit (numbers, dates, addresses, hashes) count as variable fields at every level. Below a leaf, a
 token is constant where its position holds it in at least `min_docs` documents, else it is a variable field
-too, written <*>. A line's template is its tokens with the variable fields generalised; one with at
-least 80 % constant tokens that recurs in `min_docs` documents or more is dropped from all documents but
-the first that carries it.
+too, written <*>. A line's template is its tokens with the variable fields generalised; one that
+recurs in `min_docs` documents or more is dropped from all documents but the first that carries it. Templates count if
+at least 80 % of their tokens are constant, or, with any constant token at all, if the line itself recurs in
+`min_docs` documents but for its tokens with a digit ("Page <*> of <*>", "Read more").
 
 The tree is order-free: instead of a parser that meets lines one by one, every level is a count. Leaves in
 fewer than min_docs documents are cut first, which removes nearly all prose, then lines of a leaf are
 summed up by their masked form, so a line that a third of the corpus repeats is one row per task.
 No leaf is ever gathered in one place.
 
-Defined cases: null and empty texts have no lines and stay as they are; lines without tokens, or with fewer than
-`min_tokens`, are never dropped; a line repeated within its first document stays there as often as
+Defined cases: null and empty texts have no lines and stay as they are; lines without tokens, with fewer than
+`min_tokens`, or with fields only are never dropped; a line repeated within its first document stays there as often as
 it stood; rows that repeat a doc_id count as one document (each keeps its own text); an empty table gives no rows; other columns are
 ignored by `dropped_lines` and kept by `without_templates`.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from papyrine.llm.common import BLANK_RUN, BLANKS
 from papyrine.session import stored
 
-MIN_DOCS, MIN_TOKENS, DEPTH, CONSTANT = 5, 3, 3, 0.8
+MIN_DOCS, MIN_TOKENS, DEPTH, CONSTANT = 5, 1, 3, 0.8
 FIELD = "<*>"
 
 
@@ -66,9 +67,9 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     support = cells.groupBy("leaf", "at", "token").agg(F.sum("_n").alias("_s")).where(F.col("_s") >= min_docs)
     sorted_cells = cells.join(support, ["leaf", "at", "token"]).groupBy("leaf", "form").agg(F.collect_set(F.struct("at", "token")).alias("held"))
     shaped = (
-        sorted_cells.join(forms.select("leaf", "form", F.size("tokens").alias("size")), ["leaf", "form"])
+        sorted_cells.join(forms.select("leaf", "form", F.size("tokens").alias("size")).join(weight, ["leaf", "form"]), ["leaf", "form"])
         .withColumn("held", F.filter("held", lambda x: x["token"] != FIELD))
-        .where(F.size("held") >= constant * F.col("size"))
+        .where((F.size("held") >= constant * F.col("size")) | ((F.col("_n") >= min_docs) & (F.size("held") > 0)))
         .select("leaf", "form", F.xxhash64("size", F.array_sort("held")).alias("template"))
     )
     shaped = stored(shaped, "shaped")
@@ -114,7 +115,7 @@ WITH raw AS (
 ), rows AS (
   SELECT doc_id, pos, toks, len(toks) AS n FROM (
     SELECT doc_id, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM raw)
-  WHERE len(toks) >= 3
+  WHERE len(toks) >= 1
 ), keyed AS (
   SELECT doc_id, pos, n, toks, array_to_string(toks[1:3], ' ') AS head, array_to_string(toks, ' ') AS form FROM rows
 ), leaves AS (
@@ -129,7 +130,7 @@ WITH raw AS (
   SELECT n, head, ix, token FROM cells GROUP BY n, head, ix, token HAVING sum(c) >= 5 AND token <> '<*>'
 ), shaped AS (
   SELECT n, head, form, string_agg(ix || ':' || token, ' ' ORDER BY ix) AS template FROM cells JOIN support USING (n, head, ix, token)
-  GROUP BY n, head, form HAVING count(*) >= 0.8 * n
+  GROUP BY n, head, form HAVING count(*) >= 0.8 * n OR max(c) >= 5
 ), recurring AS (
   SELECT n, head, template, min(doc_id) AS first_doc FROM lines JOIN shaped USING (n, head, form) GROUP BY n, head, template HAVING count(DISTINCT doc_id) >= 5
 ), hit AS (
