@@ -4,7 +4,7 @@ Base rules look at one text: words, code points in words, symbols, lines that re
 words in 5-word windows that occur twice or more in the text. The corpus rule hashes the normalised
 lines of every document, counts for each host (the source) in how many different documents a line stands,
 and removes lines above the limit: more than `min_docs` documents and more than `share` of the host's
-documents. Exact copies count as one document, and the first document that carries a line keeps it, so
+documents. Exact copies count as one document on both sides, and the first document that carries a line keeps it, so
 copying a text does not condemn it. A document that keeps less than `keep` of its words is depleted and
 rejected, as is one that fails the base rules.
 
@@ -84,7 +84,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> D
 
 def frequent_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, source_col: str, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """(host, line, first_doc) of the lines above the limit of their host."""
-    hosts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("_docs"))
+    hosts = docs.select(F.col(source_col).alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body")).distinct().groupBy("source").agg(F.count("*").alias("_docs"))
     # Different documents of a line: first one row per (host, line, text), then the count.
     texts = lines.groupBy("source", "line", "body").agg(F.min("doc_id").alias("first_doc"))
     counts = texts.groupBy("source", "line").agg(F.count("*").alias("docs"), F.min("first_doc").alias("first_doc")).where(F.col("docs") > min_docs)
@@ -146,7 +146,7 @@ WITH d AS (
          len(list_filter(string_split_regex(raw, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
   FROM (SELECT doc_id, source, text, unnest(ls) AS raw FROM w)
 ), hosts AS (
-  SELECT source, count(*) AS docs FROM d GROUP BY source
+  SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source
 ), freq AS (
   SELECT l.source, l.line, min(l.doc_id) AS first_doc FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   GROUP BY l.source, l.line, h.docs HAVING count(DISTINCT l.body) > 20 AND count(DISTINCT l.body) > 0.01 * h.docs

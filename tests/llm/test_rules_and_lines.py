@@ -65,3 +65,22 @@ def test_templates(spark, docs, none, rows):
     assert template_tree.without_templates(docs).count() == len(rows)
     assert template_tree.summary(none).count() == 0 and line_frequency.judged(none).count() == 0
     assert line_frequency.kept_documents(docs).columns == docs.columns
+
+
+def test_short_and_numbered_lines_that_recur(spark):
+    rows = [(k, f"Own words {chr(97 + k) * 5} stand here\nCopyright 20{k:02} Acme Corp\nPage {k} of 10\nRead more\n{k}\n2024-01-0{k} INFO user {k} logged in\nIn the end {chr(97 + k) * 4} {chr(98 + k) * 6} won {chr(99 + k) * 3}") for k in range(6)]
+    rows += [(9, "Read more\nseen once")]
+    got = {r.doc_id: r.text for r in template_tree.without_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[9] == "seen once"
+    for k in range(1, 6):
+        own = rows[k][1].split("\n")
+        assert got[k] == "\n".join([own[0], own[4], own[6]])
+
+
+def test_copies_do_not_raise_the_limit(spark):
+    """A line in 3 of a host's 30 different texts is above 5 %, however often the others are copied."""
+    texts = [f"{'the very same line of boilerplate' if k < 3 else chr(97 + k % 26) * 3}\n" + " ".join(chr(97 + k % 26) * (2 + k // 26) + chr(97 + j % 26) * (1 + j // 26) for j in range(30)) for k in range(30)]
+    rows = [(i, t, "host") for i, t in enumerate(texts + texts[3:] * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_frequency.judged(frame, min_docs=2, share=0.05)
+    assert sorted((r.doc_id, r.n_removed_words) for r in got.where("n_removed_words > 0").collect()) == [(1, 6), (2, 6)]
