@@ -96,13 +96,13 @@ def shared_depth(a: Column, b: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Split after . ! ? where blanks and a capital or an opening bracket follow."""
-    return F.split(c, r"(?<=[.!?])\s+(?=[A-Z(])")
+    """A sentence ends at a closing mark when blanks and then a capital or an opening bracket follow: the blanks become a record separator, at which the text is cut."""
+    return F.split(F.regexp_replace(c, r"([!.?])\s+([(A-Z])", "$1\u001e$2"), "\u001e")
 
 
 def gap_sentences(c: Column, cues: tuple[str, ...] = GAP_CUES, shortest: int = 60, longest: int = 400) -> Column:
     """Sentences of fitting length that hold a cue word."""
-    return F.filter(F.transform(sentences(c), F.trim), lambda s: F.length(s).between(shortest, longest) & F.lower(s).rlike(r"\b(" + "|".join(cues) + r")\b"))
+    return F.filter(F.transform(sentences(c), F.trim), lambda s: F.length(s).between(shortest, longest) & F.lower(s).rlike("(^|[^a-z0-9_])(" + "|".join(cues) + ")([^a-z0-9_]|$)"))
 
 
 def section(xml: Column, heading: str) -> Column:

@@ -67,14 +67,13 @@ def survivors(members: DataFrame) -> DataFrame:
 
 
 def schedule(players: DataFrame, batch: int, order: Column) -> DataFrame:
-    """players: (id, is_anchor). All pairs but of two anchors, once each way; the second way starts on a batch of its own. Pairs are made on purpose: a tournament plays them all, so the field is small."""
-    a, b = players.toDF("l", "l_anchor"), players.toDF("r", "r_anchor")
-    pairs = a.join(b, (F.col("l") < F.col("r")) & ~(F.col("l_anchor") & F.col("r_anchor")))
-    rank = F.row_number().over(Window.orderBy(order, "l", "r")) - 1
-    first = pairs.withColumn("batch", F.floor(rank / batch))
-    shift = pairs.agg(F.ceil(F.count("*") / batch).alias("shift"))
-    second = first.join(F.broadcast(shift)).select(F.col("r").alias("l"), F.col("l").alias("r"), (F.col("batch") + F.col("shift")).alias("batch"))
-    return first.select("l", "r", "batch").unionByName(second)
+    """players: (tournament, id, is_anchor). All pairs of a tournament but of two anchors, once each way; the second way starts on a batch of its own. Pairs are made on purpose: a tournament plays them all, so its field is small; tournaments go in parallel."""
+    a, b = players.toDF("tournament", "l", "l_anchor"), players.toDF("tournament", "r", "r_anchor")
+    pairs = a.join(b, "tournament").where((F.col("l") < F.col("r")) & ~(F.col("l_anchor") & F.col("r_anchor")))
+    own = Window.partitionBy("tournament")
+    first = pairs.withColumn("batch", F.floor((F.row_number().over(own.orderBy(order, "l", "r")) - 1) / batch))
+    second = first.withColumn("shift", F.ceil(F.count("*").over(own) / batch)).select("tournament", F.col("r").alias("l"), F.col("l").alias("r"), (F.col("batch") + F.col("shift")).alias("batch"))
+    return first.select("tournament", "l", "r", "batch").unionByName(second)
 
 
 def ratings(matches: DataFrame, k: float = 32.0, start: float = 1000.0) -> DataFrame:

@@ -244,12 +244,11 @@ def upsert_latest(t: Tables) -> DataFrame:
     return rel.upsert(old, new, ["doc_id"], {"lang": "incoming", "source": "filled", "text": "existing"})
 
 
-@query("""WITH h AS (SELECT source, 1 AS version, lang AS content FROM documents WHERE doc_id < 20), b AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'changed' END AS content FROM documents WHERE doc_id >= 20 AND doc_id < 45)
+@query("""WITH h AS (SELECT source, count(*) AS version, min(lang) AS content FROM documents GROUP BY source), b AS (SELECT source, max(lang) AS content FROM documents GROUP BY source)
 SELECT b.source, coalesce(h.version, 0) + 1 AS version, b.content FROM b LEFT JOIN h ON h.source = b.source WHERE h.content IS NULL OR h.content <> b.content""")
 def version_append(t: Tables) -> DataFrame:
-    old = t.documents.where("doc_id < 20").select("source", F.lit(1).alias("version"), F.col("lang").alias("content"))
-    new = t.documents.where("doc_id >= 20 AND doc_id < 45").select("source", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("changed").alias("content"))
-    return rel.next_version(old, "source", "version", new, "content")
+    by_source = t.documents.groupBy("source")
+    return rel.next_version(by_source.agg(F.count("*").alias("version"), F.min("lang").alias("content")), "source", "version", by_source.agg(F.max("lang").alias("content")), "content")
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click', 'view') AND user_id = 5")

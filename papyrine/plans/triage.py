@@ -57,11 +57,11 @@ def tfidf_top_terms(t: Tables) -> DataFrame:
 
 
 #: Edges: each order's parts in line order.
-CHAIN = "SELECT o_orderkey AS a, o_custkey * 7 % 1000 + 1000000 AS b FROM orders WHERE o_orderkey % 2 = 0"
+CHAIN = "SELECT o_orderkey AS a, o_custkey * 7 % 1000 + 1000000 AS b FROM orders"
 
 
 def edges(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1000000).alias("b"))
+    return t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1000000).alias("b"))
 
 
 @query(f"WITH e AS ({CHAIN}), h AS (SELECT b, min(a) AS root FROM e GROUP BY b) SELECT a AS node, root FROM e JOIN h USING (b) UNION SELECT b, root FROM h")
@@ -81,20 +81,22 @@ def cluster_survivors(t: Tables) -> DataFrame:
     return triage.survivors(members).select("root", "id", "survives", "merged_into")
 
 
-@query("""WITH p AS (SELECT s_suppkey AS id, s_suppkey % 4 = 0 AS anchor FROM supplier WHERE s_suppkey < 40), x AS (SELECT a.id AS l, b.id AS r, CAST(floor((row_number() OVER (ORDER BY (a.id * 31 + b.id * 17) % 97, a.id, b.id) - 1) / 10) AS BIGINT) AS batch FROM p a JOIN p b ON a.id < b.id AND NOT (a.anchor AND b.anchor)), s AS (SELECT CAST(ceil(count(*) / 10) AS BIGINT) AS k FROM x)
-SELECT * FROM x UNION ALL SELECT r, l, batch + k FROM x, s""")
+@query("""WITH p AS (SELECT s_nationkey AS tournament, s_suppkey AS id, s_suppkey % 4 = 0 AS anchor FROM supplier),
+x AS (SELECT a.tournament, a.id AS l, b.id AS r, CAST(floor((row_number() OVER (PARTITION BY a.tournament ORDER BY (a.id * 31 + b.id * 17) % 97, a.id, b.id) - 1) / 10) AS BIGINT) AS batch
+FROM p a JOIN p b ON a.tournament = b.tournament AND a.id < b.id AND NOT (a.anchor AND b.anchor)), s AS (SELECT tournament, CAST(ceil(count(*) / 10) AS BIGINT) AS k FROM x GROUP BY tournament)
+SELECT * FROM x UNION ALL SELECT x.tournament, r, l, batch + k FROM x JOIN s USING (tournament)""")
 def pair_schedule(t: Tables) -> DataFrame:
-    players = t.supplier.where("s_suppkey < 40").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4 == 0).alias("is_anchor"))
+    players = t.supplier.select(F.col("s_nationkey").alias("tournament"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4 == 0).alias("is_anchor"))
     return triage.schedule(players, 10, (F.col("l") * 31 + F.col("r") * 17) % 97)
 
 
-MATCHES = """g AS (SELECT l_partkey % 20 AS tournament, l_orderkey * 10 + l_linenumber AS seq, l_suppkey % 12 AS l, (l_suppkey + l_linenumber) % 12 AS r, l_quantity AS q FROM lineitem WHERE l_orderkey < 2000),
+MATCHES = """g AS (SELECT l_partkey AS tournament, l_orderkey * 10 + l_linenumber AS seq, l_suppkey % 12 AS l, (l_suppkey + l_linenumber) % 12 AS r, l_quantity AS q FROM lineitem),
 m AS (SELECT tournament, seq, l, r, CASE WHEN q < 20 THEN 'l' WHEN q < 40 THEN 'r' ELSE 'tie' END AS winner FROM g WHERE l <> r)"""
 
 
 def matches(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
-    rows = t.lineitem.where("l_orderkey < 2000").select((F.col("l_partkey") % 20).alias("tournament"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 12).alias("l"), ((F.col("l_suppkey") + F.col("l_linenumber")) % 12).alias("r"), F.when(q < 20, "l").when(q < 40, "r").otherwise("tie").alias("winner"))
+    rows = t.lineitem.select(F.col("l_partkey").alias("tournament"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 12).alias("l"), ((F.col("l_suppkey") + F.col("l_linenumber")) % 12).alias("r"), F.when(q < 20, "l").when(q < 40, "r").otherwise("tie").alias("winner"))
     return rows.where("l <> r")
 
 
