@@ -19,24 +19,59 @@ def bridges(uses: DataFrame, seeds: DataFrame, least: int = 1) -> DataFrame:
 
 
 def matched_controls(found: DataFrame, pool: DataFrame, tries: int = 6) -> DataFrame:
-    """found and pool: (item, freq). For each found item the pool item of nearest frequency not taken yet, `tries` candidates each; passed-over candidates are spent. Sequential by nature: the found list is a top-k report."""
+    """found: (item, freq); pool: (item, freq) and silent, whether the item may serve (without the column all may). For each found item, in order of frequency, the nearest of
+    `tries` pool items by frequency that is silent; those passed over are spent, as the one taken is. Sequential by nature: the found list is a top-k report, and each of its items
+    brings no more than the candidates that those before it can spend."""
+    pool = pool if "silent" in pool.columns else pool.withColumn("silent", F.lit(True))
+    reach = max(found.count(), 1) * tries  # candidates that can be spent before the last item's turn
+    want = found.select(F.col("item").alias("found"), F.col("freq").alias("target"))
+    # A frequency can lose no more than `reach` items, so more of one frequency are never looked at.
+    near = top(pool, ["freq"], [F.col("item")], reach).join(F.broadcast(want)).withColumn("gap", F.abs(F.col("freq") - F.col("target")))
+    near = top(near, ["found"], [F.col("gap"), F.col("item")], reach)
 
     def pick(pdf):
         import pandas as pd
 
-        want, have = pdf[pdf.kind == 0].sort_values(["freq", "item"], ascending=[False, True]), pdf[pdf.kind == 1].sort_values(["freq", "item"])
-        free, rows = dict(zip(have["item"], have["freq"], strict=True)), []
-        for item, freq in zip(want["item"], want["freq"], strict=True):
-            near = sorted(free, key=lambda i: (abs(free[i] - freq), i))[:tries]
-            rows.append((item, freq, near[0] if near else None))
-            if near:
-                free.pop(near[0])
+        spent, rows = set(), []
+        order = pdf[["found", "target"]].drop_duplicates().sort_values(["target", "found"], ascending=[False, True])
+        by_found = dict(list(pdf[pdf["item"].notna()].sort_values(["gap", "item"]).groupby("found")))
+        for item, target in zip(order["found"], order["target"], strict=True):
+            control, asked = None, 0
+            own = by_found.get(item)
+            for candidate, silent in zip(own["item"], own["silent"], strict=True) if own is not None else ():
+                if candidate in spent:
+                    continue
+                spent.add(candidate)
+                asked += 1
+                if silent:
+                    control = candidate
+                if silent or asked == tries:
+                    break
+            rows.append((item, target, control))
         return pd.DataFrame(rows, columns=["item", "freq", "control"])
 
-    # A found item can only take one of the first few of a frequency: those before it take at most one each.
-    few = top(pool, ["freq"], [F.col("item")], found.count() + tries)
-    both = found.select("item", "freq", F.lit(0).alias("kind")).unionByName(few.select("item", "freq", F.lit(1).alias("kind")))
-    return both.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(pick, "item long, freq long, control long")
+    rows = want.join(near.drop("target"), "found", "left").select("found", "target", "item", "silent", "gap")
+    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(pick, "item long, freq long, control long")
+
+
+def silent_first(ranked: DataFrame, most: int = 20, scan: int = 8) -> DataFrame:
+    """ranked: (item, place from 1, silent). The first `most` silent items among the first scan * most places, with n_scanned, the places looked at until then."""
+    seen = ranked.where(F.col("place") <= scan * most)
+    taken = seen.where("silent").orderBy("place").limit(most)
+    ends = taken.agg(F.count("*").alias("n"), F.max("place").alias("last")).join(seen.agg(F.max("place").alias("all")))
+    return taken.join(F.broadcast(ends)).select("item", "place", F.when(F.col("n") == most, F.col("last")).otherwise(F.col("all")).cast("long").alias("n_scanned"))
+
+
+def gate(rows: DataFrame, ceiling: float = 0.5, least: float = 2.0) -> DataFrame:
+    """rows: (kind 'top' or 'control', hit, ltc). One row: hit rates, mean ltc, their ratio and the verdict. A control that hits above the ceiling, or no ratio, voids the experiment."""
+    own = lambda kind, value: F.avg(F.when(F.col("kind") == kind, value))
+    hit = F.col("hit").cast("int")
+    out = rows.agg(
+        own("top", hit).alias("top_hit_rate"), own("control", hit).alias("control_hit_rate"), F.count_if(F.col("kind") == "top").alias("n_top"), F.count_if(F.col("kind") == "control").alias("n_control"),
+        F.round(own("top", F.col("ltc")), 2).alias("mean_ltc_top"), F.round(own("control", F.col("ltc")), 2).alias("mean_ltc_control"),
+    )
+    out = out.withColumn("ratio", F.when((F.col("top_hit_rate") > 0) & (F.col("control_hit_rate") > 0), F.col("top_hit_rate") / F.col("control_hit_rate")))
+    return out.withColumn("verdict", F.when(F.col("control_hit_rate") > ceiling, "VOID").when(F.col("ratio").isNull(), "VOID").when(F.col("ratio") >= least, "PASS").otherwise("FAIL"))
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, per_step: int, weight: DataFrame) -> DataFrame:

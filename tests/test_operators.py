@@ -78,7 +78,7 @@ def test_clusters_and_survivors(spark):
 
 
 def test_schedule_isolates_batches(spark):
-    players = spark.createDataFrame([(i, i in (0, 1)) for i in range(7)], "id long, is_anchor boolean")
+    players = spark.createDataFrame([(5, i, i in (0, 1)) for i in range(7)], "tournament long, id long, is_anchor boolean")
     games = triage.schedule(players, 4, F.xxhash64(F.lit(3), "l", "r")).collect()
     assert len(games) == 2 * 20 and not any({g.l, g.r} == {0, 1} for g in games)
     halves = {}
@@ -211,3 +211,60 @@ def test_controls_spend_candidates(spark):
     found = spark.createDataFrame([(1, 10), (2, 10)], "item long, freq long")
     pool = spark.createDataFrame([(7, 10), (8, 12), (9, 50)], "item long, freq long")
     assert {r.item: r.control for r in discovery.matched_controls(found, pool).collect()} == {1: 7, 2: 8}
+
+
+def test_controls_pass_over_and_spend(spark):
+    """A candidate that is not silent is spent; after `tries` of them an item stays without a control."""
+    found = spark.createDataFrame([(1, 10), (2, 10), (3, 10)], "item long, freq long")
+    pool = spark.createDataFrame([(5, 10, False), (6, 10, False), (7, 11, True), (8, 12, False), (9, 13, False), (10, 14, True)], "item long, freq long, silent boolean")
+    got = {r.item: r.control for r in discovery.matched_controls(found, pool, tries=3).collect()}
+    assert got == {1: 7, 2: 10, 3: None}
+    got = {r.item: r.control for r in discovery.matched_controls(found, pool, tries=2).collect()}
+    assert got == {1: None, 2: 7, 3: None}
+
+
+def test_gate_is_void_without_a_ratio(spark):
+    rows = lambda a, b: spark.createDataFrame([("top", x, 1) for x in a] + [("control", x, 2) for x in b], "kind string, hit boolean, ltc int")
+    said = lambda a, b: discovery.gate(rows(a, b)).first().verdict
+    assert said([True, True], [True, False, False, False]) == "PASS" and said([True, False], [True, False, False]) == "FAIL"
+    assert said([True], [True, True]) == "VOID" and said([True], [False]) == "VOID" and said([], []) == "VOID"
+
+
+def test_search_survives_its_sources(spark):
+    from papyrine.operators import search
+
+    def down():
+        raise TimeoutError("late")
+
+    works, tried = search.search(spark, {"a": down, "b": None})
+    assert works.count() == 0 and [(r.source, r.answered, r.error) for r in tried.collect()] == [("a", False, "TimeoutError: late"), ("b", False, "LookupError: unknown source")]
+
+
+def test_lookup_rungs(spark):
+    from papyrine.operators import search
+
+    labels = spark.createDataFrame([("D1", "Lung Cancer"), ("D2", "Heart-Attack"), ("D3", "Stroke Volume")], "ui string, label string")
+    entries = spark.createDataFrame([("D2", "myocardial infarction")], "ui string, entry string")
+    synonyms = spark.createDataFrame([("apoplexy", "stroke"), ("stroke", "unused")], "term string, name string")
+    terms = spark.createDataFrame([(x,) for x in ("cancer lung", "Myocardial infarction", "heartattack", "apoplexy", "stroke", "nothing")], "term string")
+    got = {(r.term, r.ui, r.via) for r in search.lookup(terms, entries, labels, synonyms).collect()}
+    assert got == {("cancer lung", "D1", "label"), ("Myocardial infarction", "D2", "entry"), ("heartattack", "D2", "normalised"), ("apoplexy", "D3", "synonym"), ("stroke", "D3", "label")}
+
+
+def test_anchor_guards_and_list_of_missing(spark):
+    from papyrine.operators import evidence
+
+    rows = [(None, " a ", None, ["x"], "2019"), ("1", "b", "o", [], "soon"), ("2", " ", "o", None, "1799"), ("3", "c", "o", None, "2101")]
+    got = evidence.guarded(spark.createDataFrame(rows, "external_id string, title string, origin string, term_groups array<string>, cutoff string")).collect()
+    assert [(r.title, r.origin, r.term_groups, r.cutoff) for r in got] == [("a", "local", ["x"], 2019), ("b", "o", None, None), ("c", "o", None, None)]
+    graded = spark.createDataFrame([(1, "A", "one", "r", 1, 1), (1, "B", None, "r", 2, 2)], "idea int, tier string, missing string, route string, at int, id int")
+    assert evidence.acquisition(graded).first().missing == []
+    assert evidence.acquisition(graded.where("at = 1")).first().missing == ["one"]
+
+
+def test_concept_history(spark):
+    from papyrine.operators import evidence
+
+    rows = [(1, [("t1", [("stroke", None, False)]), ("t2", [("stroke", "Stroke", True), ("diet", "Diet", True)])])]
+    frame = spark.createDataFrame(rows, "project int, versions array<struct<at string, concepts array<struct<input string, descriptor string, expanded boolean>>>>")
+    assert sorted((r.input, r.descriptor, r.expanded, r.last_version, r.since, r.n_versions) for r in evidence.concept_history(frame).collect()) == [("diet", "Diet", True, 1, "t2", 1), ("stroke", "Stroke", True, 1, "t1", 2)]
