@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from papyrine.functions.text import clean, distinct_caseless, doi, from_inverted
 
@@ -112,14 +112,16 @@ def typed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ideas(spark: SparkSession, path: str) -> DataFrame:
-    """Ideas as a JSON array or as JSON lines; a missing id is made from the position in the file."""
+    """Ideas as a JSON array or as JSON lines; a missing id is made from the position in the file, counted from 1."""
     kind = "id string, code string, title string, statement string, rationale string"
-    lines = spark.read.schema(kind + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    plain = lines.cache()
-    if not plain.where("_bad IS NOT NULL").isEmpty():
-        plain = spark.read.schema(kind).option("multiLine", True).json(path)
-    rows = plain.drop("_bad").withColumn("pos", F.monotonically_increasing_id())
-    return rows.withColumn("id", F.coalesce("id", F.format_string("i%02d", F.col("pos") + 1))).drop("pos")
+    broken = spark.read.text(path).where("btrim(value) <> '' AND try_parse_json(value) IS NULL")
+    rows = spark.read.schema(kind).option("multiLine", not broken.isEmpty()).json(path)
+    at = F.monotonically_increasing_id()  # the partition above 33 bits, the place in it below
+    rows = rows.withColumn("part", F.shiftright(at, 33)).withColumn("place", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    made = F.format_string("i%02d", F.col("ahead") + F.col("place") + 1)
+    return rows.join(F.broadcast(ahead), "part").withColumn("id", F.coalesce("id", made)).drop("part", "place", "ahead")
 
 
 def packs(spark: SparkSession, path: str) -> DataFrame:

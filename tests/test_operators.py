@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papyrine.functions import measures, text as tx
 from papyrine.operators import corpus, discovery, profile, progress, relational as rel, triage, vocabulary as voc
 from papyrine.sources import records, sinks
-from papyrine.streaming.watch import first_seen
+from papyrine.streaming.watch import current, first_seen, merge_late, versions
 
 
 def one(spark, column, **values):
@@ -182,6 +182,9 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in records.delimited(spark, str(tmp_path / "t.csv")).collect()] == [("1", "2"), ("3", None)]
     (tmp_path / "i.json").write_text('[{"title": "x"},\n {"id": "k", "title": "y"}]')
     assert [r.id for r in records.ideas(spark, str(tmp_path / "i.json")).collect()] == ["i01", "k"]
+    lines = tmp_path / "lines"
+    spark.range(6).selectExpr("concat('{\"title\": \"', id, '\"}') AS value").repartition(3).write.text(str(lines))
+    assert sorted(r.id for r in records.ideas(spark, str(lines)).collect()) == [f"i0{k}" for k in range(1, 7)]  # dense over partitions
     (tmp_path / "ty.txt").write_text("D1|T2\nD1|T1\n")
     assert records.typed(spark, str(tmp_path / "ty.txt")).first().types == ["T1", "T2"]
     table = {"a": spark.range(3), "b": spark.range(0)}
@@ -207,6 +210,21 @@ def test_watch_never_forgets(spark, tmp_path):
     arrive([1, 2, 3], [1])
 
 
+def test_late_merge_keeps_the_version_before(spark, tmp_path):
+    source, table = tmp_path / "late", str(tmp_path / "table")
+    source.mkdir()
+    spark.createDataFrame([(1, "a"), (2, "b")], "key long, v string").write.parquet(f"{table}/v0")
+    merge = lambda old, new: rel.upsert(old, new, ["key"], {"v": "filled"}).select("key", "v")
+    for k, rows in enumerate([[(2, "x"), (3, "c")], [(4, "d")], [(5, None)]]):
+        spark.createDataFrame(rows, "key long, v string").coalesce(1).write.mode("append").parquet(str(source))
+        merge_late(spark, spark.readStream.schema("key long, v string").parquet(str(source)), table, merge)
+        assert versions(spark, table)[-2:] == [k, k + 1]
+    assert sorted(map(tuple, current(spark, table).collect())) == [(1, "a"), (2, "x"), (3, "c"), (4, "d"), (5, None)]
+    assert versions(spark, table) == [2, 3]
+    (tmp_path / "table" / "v3" / "_SUCCESS").unlink()  # a write that was not committed does not count
+    assert current(spark, table).count() == 4
+
+
 def test_controls_spend_candidates(spark):
     found = spark.createDataFrame([(1, 10), (2, 10)], "item long, freq long")
     pool = spark.createDataFrame([(7, 10), (8, 12), (9, 50)], "item long, freq long")
