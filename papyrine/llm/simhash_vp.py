@@ -226,7 +226,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
 
 GROUPS, DRAWN, SLACK = 14, 3, 0.4
 MINIMA = GROUPS * DRAWN
-SMALL = 64  # bodies of a bucket that are paired at once
 
 
 def odd_numbers(n: int) -> np.ndarray:
@@ -319,28 +318,30 @@ def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, least: float, seed: int) -> DataFrame:
-    """members: (key, body, n, root). The pairs (a, b) of a bucket and of different roots that can reach `least`.
+    """members: (body, n, root), a row per body. The pairs (a, b) of bodies of different roots that can reach `least`.
 
-    Such a pair shares one of the n - ceil(least * n) + 1 shingles of each side that are rarest in the bucket, and behind the
-    first that it shares both sides have enough shingles left. A passage that fills the bucket stands last in that order.
+    Put the shingles that no two roots share first, the others behind them, rarest first. Such a pair then shares one of the
+    n - ceil(least * n) + 1 first shingles of each side, and behind the first that it shares both sides have enough shingles
+    left. A passage of many bodies stands last in that order. Every body is exploded once, whatever the size of its buckets.
     """
     met = members.join(texts, "body")
 
     def explode(batch: pa.RecordBatch) -> dict:
         found = shingle_sets(batch.column("text").to_pylist(), width, seed)
-        at = np.repeat(np.arange(len(found)), [len(h) for h in found])
-        return {c: batch.column(c).take(pa.array(at)) for c in ("key", "body", "n", "root")} | {"shingle": pa.array(np.concatenate(found).view(np.int64))}
-
-    cells = stored(map_batches(met.select("key", "body", "n", "root", "text"), explode, "key long, body long, n long, root long, shingle long", "text"), "cells")
-    spread = cells.groupBy("key", "shingle").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("key", "body").orderBy("df", "shingle"))
-    head = cells.join(spread, ["key", "shingle"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
-    head = stored(head.where("df > 1").select("key", "shingle", "body", "n", "root", "rank"), "heads")
+        at = pa.array(np.repeat(np.arange(len(found)), [len(h) for h in found]))
+        return {c: batch.column(c).take(at) for c in ("body", "n", "root")} | {"shingle": pa.array(np.concatenate(found).view(np.int64))}
+
+    cells = stored(map_batches(met.select("body", "n", "root", "text"), explode, "body long, n long, root long, shingle long", "text"), "cells")
+    spread = cells.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "df")
+    own = Window.partitionBy("body")
+    shared = cells.join(spread, "shingle").withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(own))
+    head = shared.where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    head = stored(head.select("shingle", "body", "n", "root", "rank"), "heads")
     x, y = head.alias("x"), head.alias("y")
     n_a, n_b = F.col("x.n"), F.col("y.n")
     enough = 1 + F.least(n_a - F.col("x.rank"), n_b - F.col("y.rank")) >= least / (1 + least) * (n_a + n_b) - 1e-9
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.shingle") == F.col("y.shingle"))
-    return x.join(y, same & F.expr("x.body > y.body and x.root <> y.root") & enough).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
+    same = F.expr("x.shingle = y.shingle and x.body > y.body and x.root <> y.root")
+    return x.join(y, same & enough).select(F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
 
 
 def fingerprint_buckets(prints: DataFrame, radius: int) -> DataFrame:
@@ -359,8 +360,7 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
     Equal texts are one body from the start, and so are all texts without words. Bodies are candidates if their fingerprints are within the radius
     (found by vantage-point trees, which give buckets too) or if one of their GROUPS sample fingerprints is equal (one bucket): a pair at similarity
     0.8 shares one with probability 0.9999. Buckets are first joined by their two ends; in those that still hold more than
-    one component, all pairs of different components are decided, in buckets of more than SMALL bodies those that the
-    prefix filter leaves. Candidates that sizes and minima do not rule out are confirmed on their distinct
+    one component, all pairs of different components that an exact prefix filter leaves are decided. Candidates that sizes and minima do not rule out are confirmed on their distinct
     shingles, exactly.
     """
     wordless = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(BLANKS)) == ""
@@ -394,13 +394,9 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
     good = good.unionByName(stored(confirmed(more, *exact), "good"))
     root = components(good, "ends")
     held = buckets.join(root, buckets.body == root.node, "left").select("key", "body", "n", F.coalesce("root", "body").alias("root"))
-    mixed_keys = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
-    held = stored(held.join(mixed_keys, "key"), "held")
-    x, y = (held.where(F.col("m") <= SMALL).alias(c) for c in "xy")
-    enough = F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.body > y.body and x.root <> y.root") & enough).select(F.col("x.body").alias("a"), F.col("y.body").alias("b"))
-    large = held.where(F.col("m") > SMALL).select("key", "body", "n", "root")
-    pairs = pairs.unionByName(prefix_pairs(large, texts, width, least, seed)).distinct()
+    mixed_keys = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    held = stored(held.join(mixed_keys, "key").select("body", "n", "root").distinct(), "held")
+    pairs = prefix_pairs(held, texts, width, least, seed)
     good = good.unionByName(confirmed(close_pairs(pairs, bodies, least), *exact))
     root = components(good, "near")
     return rows.select("body", "doc_id").join(root, rows.body == root.node, "left").select("body", "doc_id", F.coalesce("root", "body").alias("root"))
