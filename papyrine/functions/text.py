@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,6 +12,24 @@ from pyspark.sql.types import StringType
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were")
 LABEL_STOP = ("of", "the", "and", "in", "or")
 GAP_CUES = ("unclear", "unknown", "future", "further", "remains", "limited")
+#: Phrases in which authors call something unfinished. Each row joins every beginning to every ending.
+CUE_TABLE = (
+    ("further", "studies|research|work|investigation|trials"),
+    ("future", "studies|research|work|direction|investigation"),
+    ("remain|remains", "to be|unclear|unknown|poorly|largely"),
+    ("warrant|warrants|warranted", "further|investigation|study"),
+    ("has yet|has not|have yet|have not", "to|been"),
+    ("little is known", ""),
+    ("not|not yet|not been|not yet been|not fully|not yet fully|not been fully|not yet been fully", "investigated|explored|studied|elucidated|understood|characterized|characterised"),
+    ("unclear", "whether|how|why|if"),
+    ("it is unclear|it remains unclear", ""),
+    ("should be", "explored|investigated|examined|addressed"),
+    ("larger", "studies|cohorts|samples"),
+    ("prospective studies are", "needed|required|warranted"),
+    ("no studies have|few studies have", ""),
+    ("studies are", "needed|required|warranted"),
+    ("deserve|deserves|merit|merits", "further|investigation"),
+)
 
 
 def clean(c: Column) -> Column:
@@ -96,13 +115,71 @@ def shared_depth(a: Column, b: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """A sentence ends at a closing mark when blanks and then a capital or an opening bracket follow: the blanks become a record separator, at which the text is cut."""
-    return F.split(F.regexp_replace(c, r"([!.?])\s+([(A-Z])", "$1\u001e$2"), "\u001e")
+    """Sentences with their own blanks. Words are taken with the blanks behind them; a sentence starts at the first word and at
+    every word that begins with a capital or an opening bracket behind one that ends in a closing mark."""
+    words = F.regexp_extract_all(F.regexp_replace(c, r"^\s+", ""), F.lit(r"\S+\s*"), 0)
+    end = lambda w: F.substring(F.regexp_replace(w, r"\s+$", ""), -1, 1)
+    starts = lambda w: F.zip_with(w, F.concat(F.array(F.lit("")), w), lambda own, before: F.substring(own, 1, 1).rlike(r"[A-Z(]") & end(before).isin(".", "!", "?"))
+    places = lambda on: F.filter(F.sequence(F.lit(0), F.size(on) - 2), lambda i: (i == 0) | F.get(on, i))
+    # Each step is an array of one row, so that its value is made once.
+    marked = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), starts(w).alias("on")))
+    placed = F.transform(F.filter(marked, lambda x: F.size(x["w"]) > 0), lambda x: F.struct(x["w"].alias("w"), places(x["on"]).alias("at")))
+
+    def cut(w: Column, at: Column) -> Column:
+        ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(w)))
+        return F.zip_with(at, ends, lambda lo, hi: F.array_join(F.slice(w, lo + 1, hi - lo), ""))
+
+    return F.when(c.isNotNull(), F.flatten(F.transform(placed, lambda x: cut(x["w"], x["at"]))))
+
+
+def ends_blank(c: Column) -> Column:
+    """Without the blanks at both ends, tabs and line ends included."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def gap_sentences(c: Column, cues: tuple[str, ...] = GAP_CUES, shortest: int = 60, longest: int = 400) -> Column:
     """Sentences of fitting length that hold a cue word."""
-    return F.filter(F.transform(sentences(c), F.trim), lambda s: F.length(s).between(shortest, longest) & F.lower(s).rlike("(^|[^a-z0-9_])(" + "|".join(cues) + ")([^a-z0-9_]|$)"))
+    return F.filter(F.transform(sentences(c), ends_blank), lambda s: F.length(s).between(shortest, longest) & F.lower(s).rlike("(^|[^a-z0-9_])(" + "|".join(cues) + ")([^a-z0-9_]|$)"))
+
+
+def cue_phrases(table: tuple[tuple[str, str], ...] = CUE_TABLE) -> tuple[str, ...]:
+    """Every beginning of a row of the table with every ending of it."""
+    return tuple(" ".join(x for x in (head, tail) if x) for heads, tails in table for head in heads.split("|") for tail in tails.split("|"))
+
+
+def cue_sentences(c: Column, phrases: tuple[str, ...], shortest: int = 60, longest: int = 400) -> Column:
+    """Sentences of fitting length that hold one of the phrases anywhere, in any case."""
+    fits = lambda s: F.lower(s).rlike("|".join(re.escape(p) for p in phrases))
+    return F.filter(F.transform(sentences(c), ends_blank), lambda s: F.length(s).between(shortest, longest) & fits(s))
+
+
+#: Words of the headings, and of the section types, under which papers say what they did not settle.
+OPEN_HEADINGS = ("discussion", "conclusion", "concluding", "future work", "future direction", "limitation", "limitations")
+OPEN_TYPES = ("discussion", "conclusion")
+
+
+def open_section(xml: Column, headings: tuple[str, ...] = OPEN_HEADINGS, types: tuple[str, ...] = OPEN_TYPES) -> Column:
+    """What a full text says under headings that hold one of the words: the text from behind the heading to the next section or the end of the body.
+
+    Without such a heading, the sections whose type holds one of the words, up to the next closing of a section. Tags go, blanks are
+    single, several parts are joined by a blank. Null without a body, and if nothing is found.
+    """
+    titled = r"(?i)^<title>[^<]*\b(?:" + "|".join(headings) + r")\b[^<]*</title>"
+    typed = r'(?i)<sec[^>]*sec-type="[^"]*(?:' + "|".join(types) + r')[^"]*"[^>]*>'
+
+    def behind(pieces: Column, mark: str) -> Column:
+        """For each piece that begins with the mark, all text from behind it."""
+        at = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.get(pieces, i - 1).rlike(mark))
+        return F.transform(at, lambda i: F.regexp_replace(F.array_join(F.slice(pieces, i, F.size(pieces)), ""), mark, ""))
+
+    stretches = F.split(xml, "<sec[ >]|</body")
+    by_heading = F.flatten(F.transform(stretches, lambda s: behind(F.split(s, "(?i)(?=<title>)"), titled)))
+    by_type = F.transform(behind(F.split(xml, "(?=" + typed + ")"), "^" + typed), lambda s: F.substring_index(s, "</sec>", 1))
+
+    def joined(parts: Column) -> Column:
+        return F.nullif(F.array_join(F.filter(F.transform(parts, clean), lambda p: p != ""), " "), F.lit(""))
+
+    return F.when(F.lower(xml).contains("<body"), F.coalesce(joined(by_heading), F.when(F.size(by_heading) == 0, joined(by_type))))
 
 
 def section(xml: Column, heading: str) -> Column:

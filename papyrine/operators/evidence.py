@@ -8,9 +8,9 @@ from papyrine.functions.measures import rate
 from papyrine.functions.text import one_space
 from papyrine.operators.relational import latest, top
 
-#: Verdict words that rule on a direction, and those that say no ruling was made.
-RULINGS = {"ALREADY DONE": "scooped", "PARTLY DONE": "adjacent"}
-NO_RULING = ("NO TERMS", "UNRESOLVED")
+#: Verdict words that rule on a direction with what is stored for them, and those that say no ruling was made.
+RULINGS = {"ALREADY DONE": "scooped", "PURSUED SINCE": "scooped"}
+NO_RULING = ("TERM TOO RARE", "NO TERMS", "SINGLE GROUP", "CHECK FAILED")
 
 
 def either(*names: Column) -> Column:

@@ -174,15 +174,18 @@ def harvest_again(t: Tables) -> DataFrame:
     return evidence.to_fetch(*papers(t), again=True).select("paper")
 
 
-SAID = "s AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'ALREADY DONE' WHEN 'error' THEN 'NO TERMS' WHEN 'signup' THEN 'PARTLY DONE' WHEN 'view' THEN 'STILL OPEN' END AS verdict, CASE WHEN value < 30 THEN 'ADJACENT' WHEN value < 60 THEN 'NEVER MEET' END AS zone, CASE WHEN user_id > 9 THEN 'user ' || user_id END AS why, user_id % 5 AS slots, CASE WHEN value > 90 THEN value END AS co FROM events)"
+WORDS = ("ALREADY DONE", "PURSUED SINCE", "STILL OPEN", "TERM TOO RARE", "NO TERMS", "SINGLE GROUP", "CHECK FAILED")
+SAID = f"""s AS (SELECT event_id, [{', '.join(f"'{w}'" for w in WORDS)}, NULL][event_id % 8 + 1] AS verdict,
+CASE WHEN value < 30 THEN 'ADJACENT' WHEN value < 60 THEN 'NEVER MEET' END AS zone, CASE WHEN user_id > 9 THEN 'user ' || user_id END AS why, user_id % 5 AS slots, CASE WHEN value > 90 THEN value END AS co FROM events)"""
 
 
-@query(f"""WITH {SAID} SELECT event_id, CASE WHEN verdict = 'STILL OPEN' THEN CASE WHEN zone = 'ADJACENT' THEN 'adjacent' ELSE 'no_prior_art' END WHEN verdict = 'ALREADY DONE' THEN 'scooped' WHEN verdict = 'PARTLY DONE' THEN 'adjacent' END AS stored,
-nullif(concat_ws(' | ', CASE WHEN verdict IN ('NO TERMS', 'UNRESOLVED') THEN 'no ruling: ' || coalesce(why, verdict) END, CASE WHEN slots >= 3 THEN 'three or more slots: a weak not-done' END, CASE WHEN zone = 'NEVER MEET' THEN 'concepts never met before the cutoff' END,
-CASE WHEN zone = 'ADJACENT' AND verdict = 'STILL OPEN' THEN 'adjacent is no praise of the question' END, CASE WHEN co IS NOT NULL THEN 'co-mentions of the open subset only' END), '') AS limits FROM s""")
+@query(f"""WITH {SAID} SELECT event_id, CASE WHEN verdict IN ('ALREADY DONE', 'PURSUED SINCE') THEN 'scooped' WHEN verdict = 'STILL OPEN' AND zone = 'ADJACENT' THEN 'adjacent' WHEN verdict = 'STILL OPEN' THEN 'no_prior_art' END AS stored,
+nullif(concat_ws(' | ', CASE WHEN verdict IN ('TERM TOO RARE', 'NO TERMS', 'SINGLE GROUP', 'CHECK FAILED') THEN 'no ruling: ' || coalesce(why, verdict) END, CASE WHEN slots >= 3 THEN 'three or more slots: a weak not-done' END,
+CASE WHEN zone = 'NEVER MEET' THEN 'concepts never met before the cutoff' END, CASE WHEN zone = 'ADJACENT' AND verdict = 'STILL OPEN' THEN 'adjacent is no praise of the question' END,
+CASE WHEN co IS NOT NULL THEN 'co-mentions of the open subset only' END), '') AS limits FROM s""")
 def verdict_limits(t: Tables) -> DataFrame:
-    kind, value = F.col("event_type"), F.col("value")
-    verdict = F.when(kind == "purchase", "ALREADY DONE").when(kind == "error", "NO TERMS").when(kind == "signup", "PARTLY DONE").when(kind == "view", "STILL OPEN")
+    value = F.col("value")
+    verdict = F.get(F.array(*map(F.lit, WORDS)), (F.col("event_id") % 8).cast("int"))
     zone = F.when(value < 30, "ADJACENT").when(value < 60, "NEVER MEET")
     why = F.when(F.col("user_id") > 9, F.concat(F.lit("user "), F.col("user_id").cast("string")))
     return t.events.select("event_id", evidence.novelty(verdict, zone).alias("stored"), evidence.limits(verdict, zone, why, F.col("user_id") % 5, F.when(value > 90, value)).alias("limits"))

@@ -11,11 +11,15 @@ from papyrine.plans.catalog import Tables, query
 from papyrine.plans.triage import TOKENS
 from papyrine.sources import records
 
-SPLIT = "regexp_replace({}, '([.!?])\\s+([A-Z(])', '\\1' || chr(30) || '\\2', 'g')"
+#: Words with the blanks behind them, numbered; a sentence begins at a word with a capital or bracket after one that closes.
+SENTENCES = """w AS (SELECT {id} AS id, u.w, u.i FROM {table}, unnest(regexp_extract_all({text}, '\\S+\\s*')) WITH ORDINALITY AS u(w, i)),
+b AS (SELECT *, CASE WHEN i = 1 OR (ascii(w) BETWEEN 65 AND 90 OR w[1] = '(') AND right(regexp_replace(lag(w) OVER (PARTITION BY id ORDER BY i), '\\s+$', ''), 1) IN ('.', '!', '?') THEN 1 ELSE 0 END AS starts FROM w),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY i) AS s FROM b),
+sentence AS (SELECT id, s, regexp_replace(string_agg(w, '' ORDER BY i), '\\s+$', '') AS sentence FROM n GROUP BY id, s)"""
 
 
-@query(f"""WITH s AS (SELECT doc_id, trim(unnest(string_split({SPLIT.format('text')}, chr(30)))) AS s FROM documents)
-SELECT doc_id, s AS sentence FROM s WHERE length(s) BETWEEN 60 AND 400 AND regexp_matches(lower(s), '(^|[^a-z0-9_])(the|was|heble)([^a-z0-9_]|$)')""")
+@query(f"""WITH {SENTENCES.format(id='doc_id', table='documents', text='text')}
+SELECT id AS doc_id, sentence FROM sentence WHERE length(sentence) BETWEEN 60 AND 400 AND regexp_matches(lower(sentence), '(^|[^a-z0-9_])(the|was|heble)([^a-z0-9_]|$)')""")
 def gap_sentences(t: Tables) -> DataFrame:
     found = tx.gap_sentences(F.col("text"), ("the", "was", "heble"))
     return t.documents.select("doc_id", F.explode(found).alias("sentence"))
