@@ -98,6 +98,41 @@ def verdicts(directions: DataFrame, postings: DataFrame, settled: int = 3, least
     return met.withColumn("verdict", verdict)
 
 
+def checked(directions: DataFrame, slots: DataFrame, postings: DataFrame, failed: DataFrame | None = None, default_cutoff: int = 2015, settled: int = 3, least_papers: int = 25, meet: int = 3) -> DataFrame:
+    """The verdict on each direction, each against its own cutoff, with the counts behind it and the zone of those that are not done.
+
+    directions: (direction, cutoff), a cutoff that is null stands for the default; slots: (direction, slot, term), the terms of a slot are alternatives;
+    postings: (doc, term, subject, open, year), subject where the abstract holds the term and not only the body; failed: (direction, why), checks that
+    broke off. A paper takes a direction if each slot has a term among its subjects. Co-mentions are open papers up to the cutoff that hold every slot anywhere.
+    """
+    own = directions.select("direction", F.coalesce("cutoff", F.lit(default_cutoff)).alias("cutoff"))
+    terms = slots.where(F.trim("term") != "").select("direction", "slot", "term").distinct()
+    met = terms.join(postings, "term").groupBy("direction", "slot", "doc").agg(F.max("subject").alias("subject"), F.max("open").alias("open"), F.max("year").alias("year"))
+    papers = met.groupBy("direction", "slot").agg(F.count_if("subject").alias("papers"))
+    sizes = terms.select("direction", "slot").distinct().join(papers, ["direction", "slot"], "left")
+    sizes = sizes.groupBy("direction").agg(F.count("*").alias("n_slots"), F.min(F.coalesce("papers", F.lit(0))).alias("rarest"))
+    docs = met.groupBy("direction", "doc").agg(F.count("*").alias("held"), F.count_if("subject").alias("subjects"), F.max("open").alias("open"), F.max("year").alias("year"))
+    docs = docs.join(sizes.join(own, "direction"), "direction")
+    taken, early = F.col("subjects") == F.col("n_slots"), F.col("year") <= F.col("cutoff")
+    counts = docs.where("held = n_slots").groupBy("direction").agg(
+        F.count_if(taken & early).alias("before"), F.count_if(taken & (F.col("year") > F.col("cutoff"))).alias("after"), F.count_if(early & F.col("open")).alias("met")
+    )
+    out = own.join(sizes, "direction", "left").join(counts, "direction", "left").fillna(0, ["n_slots", "before", "after", "met"])
+    broke = failed.groupBy("direction").agg(F.min("why").alias("_why")) if failed is not None else out.select("direction").limit(0).withColumn("_why", F.lit(None).cast("string"))
+    out = out.join(broke, "direction", "left")
+    verdict = (
+        F.when(F.col("n_slots") == 0, "NO TERMS").when(F.col("n_slots") < 2, "SINGLE GROUP").when(F.col("_why").isNotNull(), "CHECK FAILED").when(F.col("rarest") < least_papers, "TERM TOO RARE")
+        .when(F.col("before") >= settled, "ALREADY DONE").when(F.col("after") >= settled, "PURSUED SINCE").otherwise("STILL OPEN")
+    )
+    out = out.withColumn("verdict", verdict)
+    ruled, open_ = F.col("verdict").isin("ALREADY DONE", "PURSUED SINCE", "STILL OPEN"), F.col("verdict").isin("PURSUED SINCE", "STILL OPEN")
+    why = F.when(F.col("verdict") == "SINGLE GROUP", "all terms are in one slot").when(F.col("verdict") == "CHECK FAILED", F.col("_why")).when(F.col("verdict") == "TERM TOO RARE", "the rarest slot caps the conjunction")
+    return out.select(
+        "direction", "cutoff", "n_slots", F.when(F.col("n_slots") >= 2, F.col("rarest")).alias("rarest"), F.when(ruled, F.col("before")).alias("before"), F.when(ruled, F.col("after")).alias("after"), "verdict",
+        F.when(open_, F.col("met")).alias("co_mentions"), F.when(open_, F.when(F.col("met") >= meet, "ADJACENT").otherwise("NEVER MEET")).alias("zone"), why.alias("why"),
+    )
+
+
 def unseen(fresh: DataFrame, baseline: DataFrame, seq: str = "seq") -> DataFrame:
     """Rows of fresh (topic, key, seq) whose key no earlier watch of the topic has, each key once, first seen first."""
     new = fresh.join(baseline.select("topic", "key"), ["topic", "key"], "left_anti")

@@ -9,26 +9,58 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from papyrine.functions.text import label_score, label_tokens, squashed
 from papyrine.operators.corpus import by_relevance, merged, union_all
 from papyrine.operators.relational import top
+from papyrine.session import stored
+from papyrine.sources import paged
 
 
-def search(spark: SparkSession, sources: dict[str, Callable[[], DataFrame] | None], sort: str = "relevance") -> tuple[DataFrame, DataFrame]:
-    """(works, attempts). A source is a function that gives its records in their order (see corpus.merged, without src_rank, with place); one that is unknown (None) or fails is passed over.
+#: The record that sources give: see corpus.merged; place orders the records of a source.
+RECORD = "rec long, place long, doi string, title_key string, title string, citations long, year int"
+
+
+def asked(spark: SparkSession, sources: dict[str, Callable[[], DataFrame] | None]) -> tuple[DataFrame | None, DataFrame]:
+    """(records, attempts). A source is a function that gives its records; each is read once, into the shared folder, so one that fails while it is read is passed over like one that is unknown (None).
 
-    attempts: (source, answered, error), one row a source asked. Works are merged over the sources that answered.
+    records: those of the sources that answered, null if none did. attempts: (source, answered, error, n_records), one row a source asked.
     """
     batches, attempts = [], []
     for name, read in sources.items():
         try:
             if read is None:
                 raise LookupError("unknown source")
-            batches.append(in_source_rank(read().withColumn("source", F.lit(name))))
-            attempts.append((name, True, None))
+            batch = stored(in_source_rank(read().withColumn("source", F.lit(name))), "source")
+            attempts.append((name, True, None, batch.count()))
+            batches.append(batch)
         except Exception as error:  # one source that is down must not end the search; what it said is kept
-            attempts.append((name, False, f"{type(error).__name__}: {error}"[:400]))
-    tried = spark.createDataFrame(attempts, "source string, answered boolean, error string")
-    if not batches:
-        return spark.createDataFrame([], "work long, source string, rank int, doi string, title string, year int, citations long, also_in array<string>, n_records long"), tried
-    return in_order(merged(union_all(batches)), sort), tried
+            said = str(error).strip().splitlines() or [""]
+            attempts.append((name, False, f"{type(error).__name__}: {said[0]}"[:400], 0))
+    tried = spark.createDataFrame(attempts, "source string, answered boolean, error string, n_records long")
+    return (union_all(batches) if batches else None), tried
+
+
+def works_of(spark: SparkSession, records: DataFrame | None, sort: str = "relevance") -> DataFrame:
+    """The records of all sources as works, in order."""
+    if records is None:
+        return spark.createDataFrame([], "work long, source string, rank int, doi string, title string, year int, citations long, also_in array<string>, n_records long")
+    return in_order(merged(records), sort)
+
+
+def search(spark: SparkSession, sources: dict[str, Callable[[], DataFrame] | None], sort: str = "relevance") -> tuple[DataFrame, DataFrame]:
+    """(works, attempts) of asked and works_of."""
+    records, attempts = asked(spark, sources)
+    return works_of(spark, records, sort), attempts
+
+
+def paged_search(pages: DataFrame, item: str, record: Callable[[DataFrame], DataFrame], sort: str = "relevance") -> tuple[DataFrame, DataFrame]:
+    """(works, attempts) of pages (see sources.paged): the works of the sources that answered to the end, and how each source fared. record turns items into records.
+
+    The pages are stored first, so that every source is asked once.
+    """
+    met = stored(pages, "pages")
+    tried = paged.outcomes(met)
+    good = met.join(tried.where("answered").select("source"), "source", "left_semi")
+    records = in_source_rank(record(paged.items(good, item)))
+    counts = records.groupBy("source").agg(F.count("*").alias("n_records"))
+    return works_of(pages.sparkSession, records, sort), tried.join(counts, "source", "left").fillna(0, ["n_records"])
 
 
 def in_source_rank(records: DataFrame) -> DataFrame:

@@ -35,4 +35,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from papyrine.plans import operations, research, texts, triage  # noqa: F401
+    from papyrine.plans import literature, operations, research, texts, triage  # noqa: F401

@@ -22,9 +22,14 @@ def sources(t: Tables) -> dict:
     def down():
         raise ConnectionError("no answer")
 
+    def broken():
+        """Fails while it is read, at its last record."""
+        own = records(t.conversations, "conv_id", 3, "text", "text")
+        return own.withColumn("doi", F.when(F.col("rec") < 0, F.col("doi")).otherwise(F.raise_error(F.lit("broke off"))))
+
     return {
         "documents": lambda: records(t.documents, "doc_id", 0, "text", "text"), "benchmark": lambda: records(t.benchmark, "item_id", 1, "text", "text"),
-        "pages": lambda: records(t.pages, "page_id", 2, "url", "html"), "down": down, "nowhere": None,
+        "pages": lambda: records(t.pages, "page_id", 2, "url", "html"), "down": down, "broken": broken, "nowhere": None,
     }
 
 
@@ -35,9 +40,11 @@ def multi_source_search(t: Tables) -> DataFrame:
     return works.select("work", "source", "rank", "n_records", "citations", F.size("also_in").alias("n_sources"))
 
 
-@query("SELECT * FROM (VALUES ('documents', true, NULL), ('benchmark', true, NULL), ('pages', true, NULL), ('down', false, 'ConnectionError: no answer'), ('nowhere', false, 'LookupError: unknown source')) AS v(source, answered, error)")
+@query(f"""WITH {RECORDS}, n AS (SELECT source, count(*) AS n_records FROM x GROUP BY source), v(source, answered, error) AS (VALUES ('documents', true, NULL), ('benchmark', true, NULL), ('pages', true, NULL),
+('down', false, 'ConnectionError: no answer'), ('broken', false, 'breaks'), ('nowhere', false, 'LookupError: unknown source')) SELECT v.*, coalesce(n_records, 0) AS n_records FROM v LEFT JOIN n USING (source)""")
 def search_attempts(t: Tables) -> DataFrame:
-    return se.search(t.spark, sources(t))[1]
+    tried = se.asked(t.spark, sources(t))[1]
+    return tried.withColumn("error", F.when(F.col("source") == "broken", F.when(F.col("error").contains("broke off"), "breaks")).otherwise(F.col("error")))
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS src_rank FROM documents")
