@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papyrine.functions.text import label_score, squashed
+from papyrine.session import reachable
 
 
 def cascade(terms: DataFrame, labels: DataFrame) -> DataFrame:
@@ -54,24 +59,173 @@ def crossed(variants: DataFrame, most: int) -> DataFrame:
     return rows.select("plan", "q.total", F.array_join("q.terms", " AND ").alias("query"))
 
 
-def matches(docs: DataFrame, words: Column, dictionary: DataFrame, most: int) -> DataFrame:
-    """dictionary: (gram, ...). All places where a term of up to `most` words stands: (id, at, n, gram, ...). Only places whose word begins some term meet the dictionary, by that word."""
-    ahead = F.transform("w", lambda _, i: F.struct((i + 1).alias("at"), F.slice(F.col("w"), i + 1, F.lit(most)).alias("ahead")))
-    starts = docs.select("id", words.alias("w")).select("id", F.explode(ahead).alias("s")).select("id", "s.at", "s.ahead", F.get("s.ahead", F.lit(0)).alias("head"))
-    parts = F.split("gram", " ")
-    terms = dictionary.withColumn("head", F.get(parts, F.lit(0))).withColumn("n", F.size(parts)).where(F.col("n") <= most)
+#: Up to so many bytes of terms a dictionary is sent whole to every task, as a trie; a larger one is dealt by first words.
+TRIE_BYTES, HEAD_BITS = 32 << 20, 1 << 22
+
+#: Semantic types that say nothing about what a paper is about.
+UNINFORMATIVE_TYPES = (
+    "Human", "Population Group", "Age Group", "Family Group", "Group", "Patient or Disabled Group", "Professional or Occupational Group", "Group Attribute",
+    "Animal", "Mammal", "Rodent", "Vertebrate", "Amphibian", "Bird", "Fish", "Reptile",
+    "Qualitative Concept", "Quantitative Concept", "Temporal Concept", "Spatial Concept", "Idea or Concept", "Functional Concept", "Conceptual Entity", "Intellectual Product",
+    "Language", "Geographic Area", "Regulation or Law", "Classification", "Occupation or Discipline", "Occupational Activity",
+    "Organization", "Health Care Related Organization", "Professional Society", "Self-help or Relief Organization",
+    "Research Activity", "Governmental or Regulatory Activity", "Educational Activity", "Machine Activity",
+    "Laboratory Procedure", "Molecular Biology Research Technique", "Medical Device", "Research Device", "Manufactured Object", "Biomedical Occupation or Discipline",
+)
+
+
+def informative(types: Column, uninformative: tuple[str, ...] = UNINFORMATIVE_TYPES) -> Column:
+    """Whether a concept has semantic types and none of them is uninformative."""
+    return F.coalesce((F.size(types) > 0) & ~F.arrays_overlap(types, F.array(*map(F.lit, uninformative))), F.lit(False))
+
+
+def specific(concepts: DataFrame, paths: DataFrame, least: int = 3) -> DataFrame:
+    """concepts: (ui, ...); paths: (ui, path). Those whose deepest path has `least` parts; a concept without a path is specific by construction."""
+    depth = paths.groupBy(F.col("ui").alias("_ui")).agg(F.max(F.size(F.split("path", r"\."))).alias("_depth"))
+    return concepts.join(depth, F.col("ui") == F.col("_ui"), "left").where(F.coalesce("_depth", F.lit(least)) >= least).drop("_ui", "_depth")
+
+
+def on_one_branch(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """pairs: (a, b). Those of which one stands on a path at or above the other's; both directions are equi-joins on leading parts of paths."""
+    own, up = paths.select("ui", F.col("path").alias("own")), ancestors(paths).select("ui", F.col("up"))
+    some = pairs.select("a", "b").distinct()
+
+    def above(x: str, y: str) -> DataFrame:
+        return some.join(own.withColumnRenamed("ui", x), x).join(up.withColumnRenamed("ui", y), y).where("own = up").select("a", "b")
+
+    return above("a", "b").unionByName(above("b", "a")).distinct()
+
+
+def trie(grams: list[str]) -> dict:
+    """Nested dictionaries by word; under None the places in `grams` that end there."""
+    root: dict = {}
+    for k, gram in enumerate(grams):
+        node = root
+        for word in gram.split(" "):
+            node = node.setdefault(word, {})
+        node.setdefault(None, []).append(k)
+    return root
+
+
+def found_in(words: list[str], root: dict, greedy: bool) -> Iterator[tuple[int, int, int]]:
+    """(start, words, term) of all terms in a text; greedy: of the longest one at each start, and none inside it. The last of equal terms counts then."""
+    i = 0
+    while i < len(words):
+        node, j, taken = root.get(words[i]), i + 1, 0
+        while node is not None:
+            ends = node.get(None)
+            if ends:
+                if greedy:
+                    taken, best = j - i, ends[-1]
+                else:
+                    for k in ends:
+                        yield i, j - i, k
+            node, j = node.get(words[j]) if j < len(words) else None, j + 1
+        if taken:
+            yield i, taken, best
+        i += taken or 1
+
+
+def by_trie(docs: DataFrame, words: Column, terms: DataFrame, greedy: bool) -> DataFrame:
+    """One pass over the texts with the whole dictionary in every task. Only for dictionaries of a checked size."""
+    rows = docs.select("id", words.alias("w"))
+    table = terms.orderBy("gram", *[c for c in terms.columns if c != "gram"]).toArrow()
+    shared = reachable(docs.sparkSession).sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = trie(shared.value.column("gram").to_pylist())
+        for batch in batches:
+            hits = [(r, *h) for r, w in enumerate(batch.column("w").to_pylist()) if w for h in found_in(w, root, greedy)]
+            row, at, n, k = (np.array(x, np.int64) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 4
+            held = shared.value.take(pa.array(k))
+            own = {"id": batch.column("id").take(pa.array(row)), "at": pa.array((at + 1).astype(np.int32)), "n": pa.array(n.astype(np.int32))}
+            own |= {c: held.column(c).combine_chunks() for c in held.column_names}
+            yield pa.RecordBatch.from_pydict({c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in own.items()})
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in [("id", dict(rows.dtypes)["id"]), ("at", "int"), ("n", "int"), *terms.dtypes])
+    return rows.mapInArrow(run, kinds)
+
+
+def by_head(docs: DataFrame, words: Column, terms: DataFrame, most: int) -> DataFrame:
+    """An equi-join on first words, for dictionaries of any size. A bitmap of fixed size keeps words that begin no term from becoming rows."""
+    terms = terms.withColumn("head", F.substring_index("gram", " ", 1)).withColumn("n", F.size(F.split("gram", " ")))
+    bit = F.crc32("head") % HEAD_BITS + 1  # a bucket of a bitmap begins at 1
+    buckets = terms.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
+    whole = np.zeros((HEAD_BITS // 32768, 4096), np.uint8)
+    for r in buckets.collect():  # HEAD_BITS bits at most
+        whole[r.k - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = reachable(docs.sparkSession).sparkContext.broadcast(whole)
+    rows = docs.select("id", words.alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def begins(word: str) -> bool:
+            bucket, place = divmod(zlib.crc32(word.encode()) % HEAD_BITS, 32768)
+            return bool(bits[bucket, place // 8] >> (place % 8) & 1)
+
+        known: dict[str, bool] = {}
+        for batch in batches:
+            hits = []
+            for r, w in enumerate(batch.column("w").to_pylist()):
+                for i, word in enumerate(w or ()):
+                    on = known.get(word)
+                    if on is None:
+                        if len(known) > 1 << 18:
+                            known.clear()
+                        on = known[word] = begins(word)
+                    if on:
+                        hits.append((r, i + 1, w[i : i + most], word))
+            r, at, ahead, head = zip(*hits, strict=True) if hits else ((),) * 4
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(r, pa.int64())), "at": pa.array(at, pa.int32()), "ahead": pa.array(ahead, pa.list_(pa.string())), "head": pa.array(head, pa.string())})
+
+    starts = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, at int, ahead array<string>, head string")
     met = starts.join(terms, "head").where((F.size("ahead") >= F.col("n")) & (F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("gram")))
     return met.drop("ahead", "head")
 
 
-def concepts(docs: DataFrame, words: Column, dictionary: DataFrame, most: int = 6) -> DataFrame:
-    """dictionary: (gram, ui, informative). Leftmost-longest matches: of each start the longest, then starts inside an accepted match are passed over; uninformative matches consume their words but are not returned."""
-    found = matches(docs, words, dictionary, most)
+def small(terms: DataFrame, most: int) -> bool:
+    """Whether all terms fit into `most` bytes, each with the room a node of the trie takes."""
+    return (terms.agg(F.coalesce(F.sum(F.octet_length("gram") + 200), F.lit(0))).first()[0]) <= most
+
+
+def matches(docs: DataFrame, words: Column, dictionary: DataFrame, most: int, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """dictionary: (gram, ...). All places where a term of up to `most` words stands: (id, at, n, gram, ...), places from 1."""
+    terms = dictionary.where((F.size(F.split("gram", " ")) <= most) & (F.col("gram") != ""))
+    return by_trie(docs, words, terms, False) if small(terms, trie_bytes) else by_head(docs, words, terms, most)
+
+
+def concepts(docs: DataFrame, words: Column, dictionary: DataFrame, most: int = 6, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """dictionary: (gram, ui, informative). Leftmost-longest matches: of each start the longest, then starts inside an accepted match are passed over; uninformative matches consume their words but are not returned. Of equal terms the one with the largest ui counts."""
+    terms = dictionary.select("gram", "ui", "informative").where((F.size(F.split("gram", " ")) <= most) & (F.col("gram") != ""))
+    if small(terms, trie_bytes):
+        return by_trie(docs, words, terms, True).where("informative").select("id", "at", "gram", "ui")
+    found = by_head(docs, words, terms, most)
     longest = found.groupBy("id", "at").agg(F.max(F.struct("n", "gram", "ui", "informative")).alias("m"))
     runs = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "m.n", "m.gram", "m.ui", "m.informative"))).alias("ms"))
-    kind = "array<struct<at:int,n:int,gram:string,ui:string,informative:boolean>>"
-    taken = F.aggregate("ms", F.struct(F.lit(1).alias("next"), F.array().cast(kind).alias("out")), lambda s, m: F.when(m["at"] >= s["next"], F.struct((m["at"] + m["n"]).alias("next"), F.concat(s["out"], F.array(m).cast(kind)).alias("out"))).otherwise(s), lambda s: s["out"])
-    return runs.select("id", F.explode(taken).alias("m")).where("m.informative").select("id", "m.at", "m.gram", "m.ui")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for r, ms in enumerate(batch.column("ms").to_pylist()):
+                after = 0
+                for m in ms:
+                    if m["at"] >= after:
+                        after = m["at"] + m["n"]
+                        if m["informative"]:
+                            kept.append((r, m["at"], m["gram"], m["ui"]))
+            r, at, gram, ui = zip(*kept, strict=True) if kept else ((),) * 4
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(r, pa.int64())), "at": pa.array(at, pa.int32()), "gram": pa.array(gram, pa.string()), "ui": pa.array(ui, pa.string())})
+
+    return runs.mapInArrow(take, f"id {dict(runs.dtypes)['id']}, at int, gram string, ui string")
+
+
+def rejoined(found: DataFrame, missed: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """found: (term, ui); missed: (term). The terms that no exact entry has, matched without their blanks and marks: of several the first entry counts."""
+    keys = dictionary.select(squashed(F.col("gram"), None).alias("_k"), "gram", "ui").where("_k IS NOT NULL")
+    first = keys.groupBy("_k").agg(F.min(F.struct("gram", "ui")).alias("m")).select("_k", F.col("m.ui").alias("ui"))
+    rest = missed.join(found.select("term"), "term", "left_anti")
+    return found.select("term", "ui").unionByName(rest.withColumn("_k", squashed(F.col("term"), None)).join(first, "_k").select("term", "ui"))
 
 
 def ranked_concepts(found: DataFrame, titles: DataFrame, examples: int = 3) -> DataFrame:

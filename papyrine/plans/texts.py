@@ -115,21 +115,24 @@ def words(c):
     return F.filter(F.split(F.lower(c), "[^a-zà-öø-ÿ0-9]+"), lambda x: x != "")
 
 
-def dictionary(t: Tables, n: int = 3) -> DataFrame:
-    """Runs of one and of `n` words at the head of each benchmark passage as terms."""
+MOST = 6
+
+
+def dictionary(t: Tables, n: int = MOST) -> DataFrame:
+    """Runs of one, two and `n` words at the head of each benchmark passage as terms."""
     w = words(F.col("text"))
     heads = t.benchmark.select("item_id", F.explode(F.array(F.array_join(F.slice(w, 1, n), " "), F.array_join(F.slice(w, 2, 2), " "), F.array_join(F.slice(w, 1, 1), " "))).alias("gram"))
     return heads.where("gram <> ''").groupBy("gram").agg(F.concat(F.lit("u"), F.min("item_id").cast("string")).alias("ui"), (F.min("item_id") % 4 != 0).alias("informative"))
 
 
-DICTIONARY = f"""h AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), e AS (SELECT item_id, unnest([array_to_string(w[1:3], ' '), array_to_string(w[2:3], ' '), w[1]]) AS gram FROM h),
+DICTIONARY = f"""h AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), e AS (SELECT item_id, unnest([array_to_string(w[1:6], ' '), array_to_string(w[2:3], ' '), w[1]]) AS gram FROM h),
 dict AS (SELECT gram, 'u' || min(item_id) AS ui, min(item_id) % 4 <> 0 AS informative FROM e WHERE gram <> '' GROUP BY gram),
 d AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), s AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
-g AS (SELECT id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS gram FROM s, (VALUES (1), (2), (3)) x(n) WHERE pos + n - 1 <= len(w)), m AS (SELECT id, pos, n, gram, ui, informative FROM g JOIN dict USING (gram)), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id, pos ORDER BY n DESC) = 1)"""
+g AS (SELECT id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS gram FROM s, (SELECT DISTINCT len(string_split(gram, ' ')) AS n FROM dict) x WHERE pos + n - 1 <= len(w)), m AS (SELECT id, pos, n, gram, ui, informative FROM g JOIN dict USING (gram)), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id, pos ORDER BY n DESC) = 1)"""
 
 
 def extracted(t: Tables) -> DataFrame:
-    return voc.concepts(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), 3)
+    return voc.concepts(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), MOST)
 
 
 @query(f"""WITH RECURSIVE {DICTIONARY}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM b),
@@ -142,7 +145,7 @@ def concept_extract(t: Tables) -> DataFrame:
 
 @query(f"WITH {DICTIONARY}, c AS (SELECT ui, count(DISTINCT id) AS df FROM m GROUP BY ui), n AS (SELECT count(*) AS n FROM documents) SELECT ui, df, round(df / n, 6) AS share, df / n > 0.02 AS is_generic FROM c, n")
 def generic_filter(t: Tables) -> DataFrame:
-    found = voc.matches(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), 3)
+    found = voc.matches(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), MOST)
     counts = found.select("id", "ui").distinct().groupBy("ui").agg(F.count("*").alias("df"))
     return voc.generic(counts.join(F.broadcast(t.documents.agg(F.count("*").alias("n")))), F.col("n")).drop("n")
 
@@ -150,7 +153,7 @@ def generic_filter(t: Tables) -> DataFrame:
 @query(f"""WITH {DICTIONARY}, c AS (SELECT DISTINCT id, ui FROM m), x AS (SELECT ui, id, left(text, 20) AS title, row_number() OVER (PARTITION BY ui ORDER BY left(text, 20), id) AS k FROM c JOIN documents ON doc_id = id)
 SELECT ui, count(*) AS n_docs, string_agg(title, ' | ' ORDER BY title) FILTER (WHERE k <= 3) AS examples FROM x GROUP BY ui""")
 def concept_rank(t: Tables) -> DataFrame:
-    found = voc.matches(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), 3)
+    found = voc.matches(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), MOST)
     return voc.ranked_concepts(found, t.documents.select(F.col("doc_id").alias("id"), F.left("text", F.lit(20)).alias("title")))
 
 
@@ -165,6 +168,37 @@ def paths(t: Tables) -> DataFrame:
     return n.select(name("n", "n_nationkey").alias("ui"), up.alias("path")).unionByName(r.select(name("r", "r_regionkey").alias("ui"), name("r", "r_regionkey").alias("path"))).unionByName(s.select(name("s", "s_suppkey").alias("ui"), F.concat(up, F.lit("."), name("s", "s_suppkey")).alias("path")))
 
 
+@query(f"""WITH {PATHS}, {DICTIONARY}, k AS (SELECT DISTINCT path FROM p), t AS (SELECT ui, path FROM dict JOIN k ON substr(ui, 2)::INT % 40 = length(path) + ascii(right(path, 1)) % 20),
+dp AS (SELECT ui, max(len(string_split(path, '.'))) AS depth FROM t GROUP BY ui), c AS (SELECT ui, count(DISTINCT id) AS df FROM m WHERE informative GROUP BY ui)
+SELECT ui, df, coalesce(depth, 3) AS depth FROM c LEFT JOIN dp USING (ui) WHERE coalesce(depth, 3) >= 3 AND df <= 0.02 * (SELECT count(*) FROM documents)""")
+def title_concepts(t: Tables) -> DataFrame:
+    """Informative concepts that are specific by their paths and not generic, with their documents."""
+    found = voc.matches(t.documents.select(F.col("doc_id").alias("id"), "text"), words(F.col("text")), dictionary(t), MOST).where("informative")
+    counts = found.select("id", "ui").distinct().groupBy("ui").agg(F.count("*").alias("df"))
+    some = voc.specific(counts, concept_paths(t))
+    n = t.documents.agg(F.count("*").alias("n"))
+    kept = voc.generic(some.join(F.broadcast(n)), F.col("n")).where("NOT is_generic").select("ui", "df")
+    depth = concept_paths(t).groupBy("ui").agg(F.max(tx.path_depth(F.col("path"))).alias("depth"))
+    return kept.join(depth, "ui", "left").select("ui", "df", F.coalesce("depth", F.lit(3)).alias("depth"))
+
+
+def concept_paths(t: Tables) -> DataFrame:
+    """The star schema's paths given to the dictionary's concepts."""
+    key = F.length("path") + F.ascii(F.substring("path", -1, 1)) % 20
+    nodes = paths(t).select("path", key.alias("k")).distinct()
+    own = dictionary(t).select("ui", (F.substring("ui", 2, 20).cast("int") % 40).alias("k")).distinct()
+    return own.join(nodes, "k").select("ui", "path")
+
+
+@query(f"""WITH {PATHS}, o AS (SELECT DISTINCT ui, split_part(path, '.', 1) AS root FROM p), x AS (SELECT a.ui AS a, b.ui AS b FROM o a JOIN o b USING (root) WHERE b.ui NOT LIKE 's%')
+SELECT a, b FROM x WHERE EXISTS (SELECT 1 FROM p i JOIN p j ON i.path = j.path OR i.path LIKE j.path || '.%' OR j.path LIKE i.path || '.%' WHERE i.ui = a AND j.ui = b)""")
+def branch_pairs(t: Tables) -> DataFrame:
+    """Of each node and the nations and regions under its root, those on one branch."""
+    own = paths(t).select("ui", F.substring_index("path", ".", 1).alias("root")).distinct()
+    pairs = own.withColumnRenamed("ui", "a").join(own.where("ui NOT LIKE 's%'").withColumnRenamed("ui", "b"), "root")
+    return voc.on_one_branch(pairs, paths(t))
+
+
 @query(f"WITH {PATHS} SELECT a.ui, b.ui AS below FROM p a JOIN p b ON b.path = a.path OR b.path LIKE a.path || '.%'")
 def tree_prefix_join(t: Tables) -> DataFrame:
     return voc.descendants(paths(t))
