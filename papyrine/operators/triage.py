@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papyrine.functions.measures import blend, expectation, tfidf
-from papyrine.session import stored
+from papyrine.session import reachable, stored
 
 
 def token_rows(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -21,22 +24,85 @@ def weights(rows: DataFrame, n: DataFrame) -> DataFrame:
     return raw.withColumn("w", F.when(norm > 0, F.col("v") / norm).otherwise(0.0)).select("id", "token", "df", "w")
 
 
-def similar_pairs(rows: DataFrame, n: DataFrame) -> DataFrame:
-    """(a, b, cosine, jaccard, score) of the pairs that share a token: an equi-join on tokens, so pairs at zero are never made."""
+#: How much of the score is cosine and how much Jaccard.
+COSINE, JACCARD = 0.7, 0.3
+SLACK = 1e-3  # scores are rounded to three places
+
+
+def classes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs (id, text) with class_id, the smallest id of its text: copies are compared once."""
+    first = docs.groupBy(F.xxhash64(text).alias("_h"), text).agg(F.min("id").alias("class_id"))
+    return docs.join(first.withColumnRenamed(text, "_t"), (F.xxhash64(text) == F.col("_h")) & F.col(text).eqNullSafe(F.col("_t"))).drop("_h", "_t")
+
+
+def ranked_tokens(rows: DataFrame, n: DataFrame) -> DataFrame:
+    """(id, token, df, w, size, rest, rest_sq): the tokens of each document in one order for all, rarest first, with how many there are from it on and their squared weight."""
     w = weights(rows, n)
-    sizes = rows.groupBy("id").agg(F.count("*").alias("size"))
-    met = w.toDF("a", "token", "df_a", "w_a").join(w.toDF("b", "token", "df_b", "w_b"), "token").where("a < b")
-    dot = met.groupBy("a", "b").agg(F.round(F.sum(F.col("w_a") * F.col("w_b")), 6).alias("cosine"), F.count("*").alias("shared"))
-    out = dot.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
-    out = out.withColumn("jaccard", F.round(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 6))
+    own, ahead = Window.partitionBy("id"), Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("token").desc())
+    out = w.withColumn("size", F.count("*").over(own)).withColumn("rest", F.row_number().over(ahead))
+    return out.withColumn("rest_sq", F.sum(F.col("w") * F.col("w")).over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def candidates(ranked: DataFrame, least: float, cosine: float, jaccard: float) -> DataFrame:
+    """The pairs (a, b), a < b, whose score cosine * cos + jaccard * J may reach `least`, as far as bounds at a shared token tell.
+
+    Tokens behind the first one that two documents share are all that their score can come from: their cosine is at most the
+    product of the norms of the rests, their Jaccard at most the smaller rest over the union. So a token is looked at only
+    where its own document's rest could reach `least` with any partner, which leaves the frequent tokens out, and a meeting only
+    counts if both rests together can. No pair is lost: its first shared token passes both tests.
+    """
+    least = max(least - SLACK, 0.0)
+    alone = cosine * F.sqrt("rest_sq") + jaccard * F.col("rest") / F.col("size")
+    head = ranked.where((F.col("df") > 1) & (alone >= least - 1e-9)).select("id", "token", "size", "rest", "rest_sq")
+    x, y = head.alias("x"), head.alias("y")
+    both = F.least("x.rest", "y.rest")
+    bound = cosine * F.sqrt(F.col("x.rest_sq") * F.col("y.rest_sq")) + jaccard * both / (F.col("x.size") + F.col("y.size") - both)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (bound >= least - 1e-9))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def similar_pairs(rows: DataFrame, n: DataFrame, least: float = 0.0, cosine: float = COSINE, jaccard: float = JACCARD) -> DataFrame:
+    """(a, b, cosine, jaccard, score) of the pairs that share a token and may reach `least` by the bounds of `candidates`; scores are exact. rows: (id, token, tf); n: one row with the number of documents."""
+    ranked = stored(ranked_tokens(rows, n), "ranked")
+    pairs = candidates(ranked, least, cosine, jaccard)
+    vectors = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("v"))
+    met = pairs.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict = {}
+            dots, shared, union = [], [], []
+            ids, sides = [batch.column(c).to_pylist() for c in ("a", "b")], [batch.column(c) for c in ("va", "vb")]
+            for i, pair in enumerate(zip(*ids, strict=True)):
+                for one, side in zip(pair, sides, strict=True):
+                    if one not in held:
+                        v = side[i].values
+                        held[one] = dict(zip(v.field("token").to_pylist(), v.field("w").to_pylist(), strict=True))
+                small, large = sorted((held[k] for k in pair), key=len)
+                met = [(w, large[t]) for t, w in small.items() if t in large]
+                dots.append(sum(x * y for x, y in met))
+                shared.append(len(met))
+                union.append(len(small) + len(large) - len(met))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "dot": pa.array(dots, pa.float64()), "shared": pa.array(shared, pa.int64()), "all": pa.array(union, pa.int64())})
+
+    kind = dict(ranked.dtypes)["id"]
+    out = met.select("a", "b", "va", "vb").mapInArrow(score, f"a {kind}, b {kind}, dot double, shared long, all long")
+    out = out.withColumn("cosine", F.round("dot", 6)).withColumn("jaccard", F.round(F.col("shared") / F.col("all"), 6))
     return out.withColumn("score", blend(F.col("cosine"), F.col("jaccard"))).select("a", "b", "cosine", "jaccard", "score")
 
 
 def near_duplicates(docs: DataFrame, tokens: Column, threshold: float, top: int) -> DataFrame:
-    """Pairs at the threshold or among the top with a positive score, flagged."""
+    """docs: (id, ...), one row a text (see classes). Pairs at the threshold or among the top with a positive score, flagged.
+
+    The top are sought among the pairs at the threshold; only if these are too few, the bound falls by halves until there are enough or all pairs that share a token are scored.
+    """
     rows = stored(token_rows(docs, tokens), "tokens")
-    pairs = similar_pairs(rows, docs.agg(F.count("*").alias("n")))
-    # Two top-k scans instead of one window over all pairs.
+    n, least = docs.agg(F.count("*").alias("n")), threshold
+    while True:
+        pairs = stored(similar_pairs(rows, n, least).where(F.col("score") >= least if least else F.col("score") > 0), "pairs")
+        if not least or pairs.limit(top).count() >= top:
+            break
+        least = least / 2 if least > 0.05 else 0.0
     best = pairs.where("score > 0").orderBy(F.col("score").desc(), "a", "b").limit(top).select("a", "b", F.lit(True).alias("is_top"))
     met = pairs.join(best, ["a", "b"], "left").where((F.col("score") >= threshold) | F.col("is_top"))
     return met.withColumn("above", F.col("score") >= threshold).drop("is_top")

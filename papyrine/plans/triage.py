@@ -38,7 +38,46 @@ def near_duplicates(t: Tables) -> DataFrame:
 @query(f"WITH {PAIRS} SELECT a, b, jaccard FROM z WHERE jaccard > 0.1")
 def jaccard_pairs(t: Tables) -> DataFrame:
     rows = stored(triage.token_rows(ideas(t), tokens(F.col("text"))), "tokens")
-    return triage.similar_pairs(rows, ideas(t).agg(F.count("*").alias("n"))).where("jaccard > 0.1").select("a", "b", "jaccard")
+    met = triage.similar_pairs(rows, ideas(t).agg(F.count("*").alias("n")), 0.1, 0.0, 1.0)
+    return met.where("jaccard > 0.1").select("a", "b", "jaccard")
+
+
+#: Documents as ideas: one of each text. Pairs of near copies lie far above 0.6, so the bounds keep candidates few.
+DOC_LEAST, DOC_JACCARD = 0.6, 0.5
+DOC_PAIRS = PAIRS.replace("FROM benchmark", "FROM (SELECT min(doc_id) AS item_id, text FROM documents GROUP BY text)")
+
+
+def one_a_text(t: Tables) -> DataFrame:
+    """(id, text): every different text with the smallest id that has it."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return stored(triage.classes(docs).where("id = class_id").select("id", "text").distinct(), "texts")
+
+
+@query(f"WITH {DOC_PAIRS}, k AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM z) SELECT a, b, cosine, jaccard, score, score >= {DOC_LEAST} AS above FROM k WHERE score >= {DOC_LEAST} OR (n <= 25 AND score > 0)")
+def near_duplicate_documents(t: Tables) -> DataFrame:
+    """Pairs between the representatives of equal texts; `document_links` has the members."""
+    return triage.near_duplicates(one_a_text(t), tokens(F.col("text")), DOC_LEAST, 25)
+
+
+@query(f"WITH {DOC_PAIRS} SELECT a, b, jaccard FROM z WHERE jaccard >= {DOC_JACCARD}")
+def jaccard_documents(t: Tables) -> DataFrame:
+    reps = one_a_text(t)
+    rows = stored(triage.token_rows(reps, tokens(F.col("text"))), "tokens")
+    met = triage.similar_pairs(rows, reps.agg(F.count("*").alias("n")), DOC_JACCARD, 0.0, 1.0)
+    return met.where(F.col("jaccard") >= DOC_JACCARD).select("a", "b", "jaccard")
+
+
+@query(f"""WITH {DOC_PAIRS}, e AS (SELECT a, b FROM z WHERE score >= {DOC_LEAST}), l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY id)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, coalesce(n, 0) AS n_links FROM documents LEFT JOIN l ON id = (SELECT min(x.doc_id) FROM documents x WHERE x.text IS NOT DISTINCT FROM documents.text)""")
+def document_links(t: Tables) -> DataFrame:
+    """Each document with its class of equal texts and how many other classes that one is linked to."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    members = triage.classes(docs).select(F.col("id").alias("doc_id"), "class_id")
+    reps = one_a_text(t)
+    rows = stored(triage.token_rows(reps, tokens(F.col("text"))), "tokens")
+    pairs = triage.similar_pairs(rows, reps.agg(F.count("*").alias("n")), DOC_LEAST).where(F.col("score") >= DOC_LEAST)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(links, "class_id", "left").fillna(0, ["n_links"]).select("doc_id", "class_id", "n_links")
 
 
 @query("SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(" + TOKENS.format("text") + ") AS token FROM documents) GROUP BY token")
