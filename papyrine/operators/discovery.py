@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from papyrine.operators.relational import top
+from papyrine.session import stored
 
 
 def bridges(uses: DataFrame, seeds: DataFrame, least: int = 1) -> DataFrame:
@@ -18,40 +23,92 @@ def bridges(uses: DataFrame, seeds: DataFrame, least: int = 1) -> DataFrame:
     return c.groupBy("c", "b").agg(F.count("*").alias("n")).groupBy("c").agg(F.count("*").alias("ltc"), F.sum("n").alias("freq")).where(F.col("ltc") >= least)
 
 
+def nearest(pool: DataFrame, targets: list[tuple[int, int]], most: int) -> DataFrame:
+    """pool: (item, freq, place, silent); targets: a top-k report's (found, freq). For each target the `most` pool rows nearest by frequency, ties by place.
+
+    Each task keeps its nearest ones for each target in one pass, at most targets * most rows, and these are ranked again: no pool row is paired with every target.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {found: None for found, _ in targets}
+        for batch in batches:
+            rows = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in ("item", "freq", "place", "silent")], np.int64).T
+            for found, freq in targets:
+                both = rows if held[found] is None else np.concatenate([held[found], rows])
+                held[found] = both[np.lexsort((both[:, 2], np.abs(both[:, 1] - freq)))[:most]]
+        for found, rows in held.items():
+            if rows is not None and len(rows):
+                columns = [pa.array(np.full(len(rows), found)), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)], pa.array(rows[:, 3].astype(bool))]
+                yield pa.RecordBatch.from_arrays(columns, names=["found", "item", "freq", "place", "silent"])
+
+    near = pool.select(F.col("item").cast("long"), F.col("freq").cast("long"), F.col("place").cast("long"), "silent").mapInArrow(run, "found long, item long, freq long, place long, silent boolean")
+    want = pool.sparkSession.createDataFrame(targets, "found long, target long")
+    near = near.join(F.broadcast(want), "found").withColumn("gap", F.abs(F.col("freq") - F.col("target")))
+    return top(near, ["found"], [F.col("gap"), F.col("place")], most).drop("rank")
+
+
 def matched_controls(found: DataFrame, pool: DataFrame, tries: int = 6) -> DataFrame:
-    """found: (item, freq); pool: (item, freq) and silent, whether the item may serve (without the column all may). For each found item, in order of frequency, the nearest of
-    `tries` pool items by frequency that is silent; those passed over are spent, as the one taken is. Sequential by nature: the found list is a top-k report, and each of its items
-    brings no more than the candidates that those before it can spend."""
+    """found: (item, freq), a top-k report, taken in the order of its column place, without one by falling frequency; pool: (item, freq) and, if they matter, silent (whether the
+    item may serve) and place (which settles ties). For each found item the first silent one of its `tries` nearest pool items by frequency that are not spent; those passed over
+    are spent, as the one taken is. Sequential by nature, over at most len(found) * tries candidates an item: those before it can spend no more. (item, freq, control)."""
     pool = pool if "silent" in pool.columns else pool.withColumn("silent", F.lit(True))
-    reach = max(found.count(), 1) * tries  # candidates that can be spent before the last item's turn
-    want = found.select(F.col("item").alias("found"), F.col("freq").alias("target"))
-    # A frequency can lose no more than `reach` items, so more of one frequency are never looked at.
-    near = top(pool, ["freq"], [F.col("item")], reach).join(F.broadcast(want)).withColumn("gap", F.abs(F.col("freq") - F.col("target")))
-    near = top(near, ["found"], [F.col("gap"), F.col("item")], reach)
-
-    def pick(pdf):
-        import pandas as pd
-
-        spent, rows = set(), []
-        order = pdf[["found", "target"]].drop_duplicates().sort_values(["target", "found"], ascending=[False, True])
-        by_found = dict(list(pdf[pdf["item"].notna()].sort_values(["gap", "item"]).groupby("found")))
-        for item, target in zip(order["found"], order["target"], strict=True):
-            control, asked = None, 0
-            own = by_found.get(item)
-            for candidate, silent in zip(own["item"], own["silent"], strict=True) if own is not None else ():
-                if candidate in spent:
-                    continue
-                spent.add(candidate)
-                asked += 1
-                if silent:
-                    control = candidate
-                if silent or asked == tries:
-                    break
-            rows.append((item, target, control))
-        return pd.DataFrame(rows, columns=["item", "freq", "control"])
-
-    rows = want.join(near.drop("target"), "found", "left").select("found", "target", "item", "silent", "gap")
-    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(pick, "item long, freq long, control long")
+    pool = pool if "place" in pool.columns else pool.withColumn("place", F.col("item"))
+    order = [F.col("place")] if "place" in found.columns else [F.col("freq").desc(), F.col("item")]
+    targets = [(r.item, r.freq) for r in found.orderBy(*order).select("item", "freq").collect()]  # the report itself
+    schema = "item long, freq long, control long"
+    if not targets:
+        return found.sparkSession.createDataFrame([], schema)
+    near: dict[int, list] = {}
+    for r in nearest(pool, targets, len(targets) * tries).orderBy("found", "gap", "place").collect():
+        near.setdefault(r.found, []).append((r.item, r.silent))
+    spent, rows = set(), []
+    for item, freq in targets:
+        free = [c for c in near.get(item, ()) if c[0] not in spent][:tries]
+        at = next((k for k, c in enumerate(free) if c[1]), None)
+        spent |= {c[0] for c in (free if at is None else free[: at + 1])}
+        rows.append((item, freq, None if at is None else free[at][0]))
+    return found.sparkSession.createDataFrame(rows, schema)
+
+
+def linked(uses: DataFrame, anchor: int, n_b: int = 30) -> DataFrame:
+    """uses: (doc, item), no repeats. Items that never stand with the anchor, by the linking items they stand with: (item, ltc, freq). The linking items are the `n_b` that most often stand with
+    the anchor, a parameter of the experiment, so a document has at most n_b rows for each of its items, however many it holds."""
+    with_a = uses.join(uses.where(F.col("item") == anchor).select("doc"), "doc", "left_semi")
+    a_items = stored(with_a.groupBy("item").agg(F.count("*").alias("n")), "a")
+    b = a_items.where(F.col("item") != anchor).orderBy(F.col("n").desc(), "item").limit(n_b).select(F.col("item").alias("b"))
+    b_docs = stored(uses.join(F.broadcast(b), uses.item == b.b).select("doc", "b"), "b")
+    far = uses.join(a_items.select("item"), "item", "left_anti").where(F.col("item") != anchor)
+    per = far.join(b_docs, "doc").groupBy("item", "b").agg(F.count("*").alias("n"))
+    return per.groupBy("item").agg(F.count("*").alias("ltc"), F.sum("n").alias("freq"))
+
+
+def experiment(uses: DataFrame, anchor: int, most: int = 20, n_b: int = 30, scan: int = 8, tries: int = 6, least_docs: int = 3, exclude: DataFrame | None = None, checks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(report, rows). Do items that are only linked to the anchor before the cutoff meet it afterwards, more often than others of like frequency?
+
+    uses: (doc, item, is_before), no repeats; exclude: (item) judged to be no hypothesis; checks: (item, before, after), how often an item stands with the anchor, where asked elsewhere, else it is counted.
+    The ranking is by ltc, then freq. The first `most` silent items among the first scan * most are the top, their controls are matched among those ranked behind the places scanned.
+    rows: (kind, item, ltc, freq, before, after, hit); report: one row, the gate's, with pool_size, n_excluded and n_scanned.
+    """
+    early = uses.where("is_before").select("doc", "item")
+    found = stored(linked(early, anchor, n_b), "linked")
+    kept = found if exclude is None else found.join(exclude.select("item").distinct(), "item", "left_anti")
+    if checks is None:
+        with_a = uses.join(uses.where(F.col("item") == anchor).select("doc", "is_before"), ["doc", "is_before"], "left_semi")
+        checks = with_a.groupBy("item").agg(F.count_if("is_before").alias("before"), F.count_if(~F.col("is_before")).alias("after"))
+    pool = kept.join(checks.select("item", "before", "after"), "item", "left").fillna(0, ["before", "after"]).withColumn("silent", F.col("before") == 0)
+    pool = stored(pool, "pool")
+    order = [F.col("ltc").desc(), F.col("freq").desc(), F.col("item")]
+    head = pool.orderBy(*order).limit(scan * most)  # the places that are looked at
+    head = stored(head.withColumn("place", F.row_number().over(Window.orderBy(*order))), "head")
+    best = stored(silent_first(head.select("item", "place", "silent"), most, scan), "top").join(head.drop("place", "silent"), "item")
+    scanned = (best.agg(F.max("n_scanned")).first()[0]) or 0
+    rest = pool.join(head.where(F.col("place") <= scanned).select("item"), "item", "left_anti")
+    rest = rest.withColumn("place", F.col("item"))  # ties of frequency go by item
+    controls = matched_controls(best.select("item", "freq", "place"), rest, tries).select(F.col("control").alias("item")).where("item IS NOT NULL")
+    sides = best.select(F.lit("top").alias("kind"), "item").unionByName(controls.select(F.lit("control").alias("kind"), "item"))
+    rows = stored(sides.join(pool, "item").select("kind", "item", "ltc", "freq", "before", "after", (F.col("after") >= least_docs).alias("hit")), "rows")
+    size, whole = pool.count(), found.count()
+    return gate(rows).withColumns({"pool_size": F.lit(size).cast("long"), "n_excluded": F.lit(whole - size).cast("long"), "n_scanned": F.lit(scanned).cast("long")}), rows
 
 
 def silent_first(ranked: DataFrame, most: int = 20, scan: int = 8) -> DataFrame:

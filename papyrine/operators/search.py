@@ -170,7 +170,8 @@ def overlap(topic: Column, own: Column) -> Column:
 
 def role_signals(citations: Column, year: Column, seed_year: Column, topic: Column, own: Column) -> Column:
     """How much a work looks like the ground, the baseline and the topic of a later one: citations up to a cap, weighted by how long before it appeared, and shared topic words."""
-    n, gap = F.coalesce(citations, F.lit(0)), F.coalesce(seed_year - year, F.lit(0))
+    known = lambda y: F.nullif(y, F.lit(0))
+    n, gap = F.coalesce(citations, F.lit(0)), F.coalesce(known(seed_year) - known(year), F.lit(0))
     weighed = lambda cap, fits, less: F.round(F.least(n / cap, F.lit(1.0)) * F.when(fits, 1.0).otherwise(less), 3)
     return F.struct(weighed(1000, gap >= 5, 0.6).alias("foundational"), weighed(300, (gap > 0) & (gap <= 5), 0.5).alias("baseline_like"), overlap(topic, own).alias("same_topic"))
 
@@ -190,3 +191,41 @@ def neighbours(edges: DataFrame, works: DataFrame, per_step: int = 6, milestone:
     later = F.when(F.col("way") == "forward", F.coalesce("citations", F.lit(0))).otherwise(0)
     kept = top(back.unionByName(onward), ["seed", "way"], [F.col("score").desc(), later.desc(), F.col("work")], per_step)
     return kept.select("seed", "way", "work", "score", "rank", (F.coalesce("citations", F.lit(0)) >= milestone).alias("stops"))
+
+
+def chains(edges: DataFrame, works: DataFrame, seeds: DataFrame, depth: int, per_step: int = 6, milestone: int = 1000, topic: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, ends). From each seed a chain of works, each round one step on: the best works the present one cites (by its strongest role) and
+    that cite it (by topic, then citations; none that the chain went through). The best citing work is the next one, unless it is a milestone, which ends the chain.
+
+    edges: (src, dst) cites; works: (work, citations, year, tokens); seeds: (work); topic: tokens for all, else each present work's own. The state of a
+    round is one row a chain and is stored with the round's rows, so lost executors cost one round.
+    rows: (chain, step, work, way, neighbour, score, rank, is_milestone); ends: (chain, steps, why).
+    """
+    pairs = edges.select("src", "dst").distinct().where("src <> dst")
+    info = works.select(F.col("work").alias("neighbour"), "citations", F.col("year").alias("_year"), F.col("tokens").alias("_tokens"))
+    heads = seeds.select(F.col("work").alias("chain"), "work").distinct()
+    seen, rounds, ends = heads, [], []
+    for step in range(depth):
+        own = heads.join(works.select("work", F.col("year").alias("seed_year"), (F.col("tokens") if topic is None else topic).alias("topic")), "work")
+        back = own.join(pairs, own.work == pairs.src).select("chain", "work", "seed_year", "topic", F.col("dst").alias("neighbour")).join(info, "neighbour")
+        roles = role_signals(F.col("citations"), F.col("_year"), F.col("seed_year"), F.col("topic"), F.col("_tokens"))
+        back = back.withColumn("r", roles).select("chain", "work", F.lit("backward").alias("way"), "neighbour", F.greatest("r.foundational", "r.baseline_like", "r.same_topic").alias("score"), "citations")
+        onward = own.join(pairs, own.work == pairs.dst).select("chain", "work", "topic", F.col("src").alias("neighbour"))
+        onward = onward.join(seen.select("chain", F.col("work").alias("neighbour")), ["chain", "neighbour"], "left_anti").join(info, "neighbour")
+        onward = onward.select("chain", "work", F.lit("forward").alias("way"), "neighbour", overlap(F.col("topic"), F.col("_tokens")).alias("score"), "citations")
+        later = F.when(F.col("way") == "forward", F.coalesce("citations", F.lit(0))).otherwise(0)
+        kept = top(back.unionByName(onward), ["chain", "way"], [F.col("score").desc(), later.desc(), F.col("neighbour")], per_step)
+        is_big = F.coalesce("citations", F.lit(0)) >= milestone
+        kept = stored(kept.select("chain", F.lit(step).alias("step"), "work", "way", "neighbour", "score", "rank", is_big.alias("is_milestone")), "chain")
+        rounds.append(kept)
+        first = kept.where("way = 'forward' AND rank = 1").select("chain", F.col("neighbour").alias("_next"), "is_milestone")
+        state = heads.select("chain").join(first, "chain", "left")
+        last = F.lit(step + 1 == depth)
+        why = F.when(F.col("_next").isNull(), "nothing onward").when(last, "depth").when(F.col("is_milestone"), "milestone")
+        state = stored(state.withColumn("why", why), "chainstate")
+        ends.append(state.where("why IS NOT NULL").select("chain", F.lit(step + 1).alias("steps"), "why"))
+        heads = state.where("why IS NULL").select("chain", F.col("_next").alias("work"))
+        seen = seen.unionByName(heads)
+        if step + 1 < depth and heads.isEmpty():
+            break
+    return union_all(rounds), union_all(ends)

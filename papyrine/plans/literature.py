@@ -9,6 +9,7 @@ from papyrine.operators import discovery, evidence, harvest as hv, search as se
 from papyrine.plans.catalog import Tables, query
 from papyrine.plans.texts import SENTENCES
 from papyrine.plans.triage import TOKENS
+from papyrine.session import stored
 from papyrine.sources import blocks, paged
 
 # --- paged sources ---------------------------------------------------------------------------
@@ -192,3 +193,76 @@ def direction_checks(t: Tables) -> DataFrame:
     stored_as = evidence.novelty(F.col("verdict"), F.col("zone"))
     limits = evidence.limits(F.col("verdict"), F.col("zone"), F.col("why"), F.col("n_slots"), F.col("co_mentions"))
     return out.select("direction", "cutoff", "n_slots", "rarest", "before", "after", "verdict", "co_mentions", stored_as.alias("stored"), limits.alias("limits"))
+
+
+# --- citation chains -------------------------------------------------------------------------
+
+#: Customers as works that cite those with about half their number, by their orders; a part of the years is unknown.
+CHAIN_WORKS = "wk AS (SELECT c_custkey AS work, CAST(floor(abs(c_acctbal)) AS BIGINT) AS citations, CASE WHEN c_custkey % 9 > 0 THEN 1950 + c_custkey % 70 ELSE 0 END AS year, [lower(c_mktsegment), 'n' || c_nationkey, 'x' || c_custkey % 3] AS k FROM customer)"
+CHAIN_EDGES = "ed AS (SELECT DISTINCT o_custkey AS src, o_custkey // 2 + o_orderkey % 5 AS dst FROM orders WHERE o_custkey <> o_custkey // 2 + o_orderkey % 5)"
+OVER = "CASE WHEN len({a}) > 0 THEN round(len(list_intersect({a}, {b})) / len({a}), 3) ELSE 0.0 END"
+GAP = "coalesce(nullif(s.year, 0) - nullif(d.year, 0), 0)"
+
+
+def chain_round(j: int) -> str:
+    seen = " UNION ALL ".join(f"SELECT chain, work FROM h{i}" for i in range(j + 1))
+    return f"""b{j} AS (SELECT h.chain, h.work, 'backward' AS way, d.work AS neighbour, greatest(round(least(d.citations / 1000, 1.0) * CASE WHEN {GAP} >= 5 THEN 1.0 ELSE 0.6 END, 3), round(least(d.citations / 300, 1.0) * CASE WHEN {GAP} > 0 AND {GAP} <= 5 THEN 1.0 ELSE 0.5 END, 3), {OVER.format(a='s.k', b='d.k')}) AS score, 0 AS later, d.citations
+FROM h{j} h JOIN wk s ON s.work = h.work JOIN ed ON src = h.work JOIN wk d ON d.work = dst),
+f{j} AS (SELECT h.chain, h.work, 'forward' AS way, d.work AS neighbour, {OVER.format(a='s.k', b='d.k')} AS score, d.citations AS later, d.citations FROM h{j} h JOIN wk s ON s.work = h.work JOIN ed ON dst = h.work JOIN wk d ON d.work = src WHERE (h.chain, d.work) NOT IN ({seen})),
+k{j} AS (SELECT chain, {j} AS step, work, way, neighbour, score, row_number() OVER (PARTITION BY chain, way ORDER BY score DESC, later DESC, neighbour) AS rank, citations >= 9000 AS is_milestone FROM (SELECT * FROM b{j} UNION ALL SELECT * FROM f{j}) QUALIFY rank <= 4),
+h{j + 1} AS (SELECT chain, neighbour AS work FROM k{j} WHERE way = 'forward' AND rank = 1 AND NOT is_milestone)"""
+
+
+CHAINS = f"{CHAIN_WORKS}, {CHAIN_EDGES}, h0 AS (SELECT work AS chain, work FROM wk), {', '.join(map(chain_round, range(3)))}"
+
+
+def chained(t: Tables) -> tuple[DataFrame, DataFrame]:
+    key = F.col("c_custkey")
+    tag = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    tokens = F.array(F.lower("c_mktsegment"), tag("n", F.col("c_nationkey")), tag("x", key % 3))
+    works = t.customer.select(key.alias("work"), F.floor(F.abs("c_acctbal")).alias("citations"), F.when(key % 9 > 0, 1950 + key % 70).otherwise(0).alias("year"), tokens.alias("tokens"))
+    edges = t.orders.select(F.col("o_custkey").alias("src"), (F.floor(F.col("o_custkey") / 2) + F.col("o_orderkey") % 5).alias("dst"))
+    return se.chains(edges, works, works.select("work"), 3, 4, 9000)
+
+
+@query(f"WITH {CHAINS} SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2")
+def citation_chains(t: Tables) -> DataFrame:
+    return chained(t)[0]
+
+
+def ended(j: int) -> str:
+    rest = "'depth'" if j == 2 else "CASE WHEN is_milestone THEN 'milestone' END"
+    return f"SELECT h.chain, {j + 1} AS steps, CASE WHEN n.chain IS NULL THEN 'nothing onward' ELSE {rest} END AS why FROM h{j} h LEFT JOIN (SELECT * FROM k{j} WHERE way = 'forward' AND rank = 1) n ON n.chain = h.chain"
+
+
+@query(f"WITH {CHAINS} SELECT * FROM ({' UNION ALL '.join(map(ended, range(3)))}) WHERE why IS NOT NULL")
+def chain_ends(t: Tables) -> DataFrame:
+    return chained(t)[1]
+
+
+# --- the bridge experiment -------------------------------------------------------------------
+
+#: The anchor is the smallest part of an order; orders up to a year are before the cutoff.
+BRIDGE = """us AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS item, l_orderkey % 2 = 0 AS early FROM lineitem), an AS (SELECT min(item) AS a FROM us WHERE early),
+ad AS (SELECT doc, early FROM us, an WHERE item = a), ai AS (SELECT item, count(*) AS n FROM us JOIN (SELECT doc FROM ad WHERE early) USING (doc) GROUP BY item), bb AS (SELECT item AS b FROM ai, an WHERE item <> a ORDER BY n DESC, item LIMIT 30),
+bd AS (SELECT doc, b FROM us JOIN bb ON item = b WHERE early), lk AS (SELECT item, count(*) AS ltc, CAST(sum(n) AS BIGINT) AS freq FROM (SELECT item, b, count(*) AS n FROM us JOIN bd USING (doc) WHERE item NOT IN (SELECT item FROM ai) GROUP BY ALL) GROUP BY item),
+ex AS (SELECT p_partkey AS item FROM part WHERE p_size = 7), ck AS (SELECT item, count(*) FILTER (WHERE early) AS before, count(*) FILTER (WHERE NOT early) AS after FROM us JOIN (SELECT doc FROM ad) USING (doc) GROUP BY item),
+po AS (SELECT lk.*, coalesce(before, 0) AS before, coalesce(after, 0) AS after, row_number() OVER (ORDER BY ltc DESC, freq DESC, item) AS place FROM lk LEFT JOIN ck USING (item) WHERE item NOT IN (SELECT item FROM ex))"""
+
+
+def bridge_report(t: Tables) -> tuple[DataFrame, DataFrame]:
+    uses = stored(t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item"), (F.col("l_orderkey") % 2 == 0).alias("is_before")).distinct(), "uses")
+    anchor = uses.where("is_before").agg(F.min("item")).first()[0]
+    return discovery.experiment(uses, anchor, 20, 30, 8, 6, 1, t.part.where("p_size = 7").select(F.col("p_partkey").alias("item")))
+
+
+@query(f"WITH {BRIDGE} SELECT item, ltc, freq, before, after, after >= 1 AS hit FROM po WHERE place <= 20")
+def bridge_top(t: Tables) -> DataFrame:
+    """Nothing stands with the anchor before the cutoff that is linked to it only, so the first twenty are all silent."""
+    return bridge_report(t)[1].where("kind = 'top'").drop("kind")
+
+
+@query()
+def bridge_experiment(t: Tables) -> DataFrame:
+    """Matching without replacement is beyond SQL: the test plays it by hand."""
+    return bridge_report(t)[0]

@@ -212,13 +212,13 @@ def hierarchy_relatives(t: Tables) -> DataFrame:
 
 
 USES = "u AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS item FROM lineitem)"
-BRIDGES = f"""WITH {USES}, sd AS (SELECT p_partkey AS item FROM part WHERE p_partkey = 1), ad AS (SELECT DISTINCT doc FROM u JOIN sd USING (item)), wa AS (SELECT DISTINCT item FROM u JOIN ad USING (doc)), b AS (SELECT item AS b FROM wa WHERE item NOT IN (SELECT item FROM sd)),
+BRIDGES = f"""WITH {USES}, sd AS (SELECT p_partkey AS item FROM part WHERE p_size = 3 AND p_brand LIKE 'Brand#1%'), ad AS (SELECT DISTINCT doc FROM u JOIN sd USING (item)), wa AS (SELECT DISTINCT item FROM u JOIN ad USING (doc)), b AS (SELECT item AS b FROM wa WHERE item NOT IN (SELECT item FROM sd)),
 cb AS (SELECT y.item AS c, b.b, count(*) AS n FROM u x JOIN b ON x.item = b.b JOIN u y ON y.doc = x.doc AND y.item <> b.b WHERE y.item NOT IN (SELECT item FROM wa) AND y.item NOT IN (SELECT item FROM sd) GROUP BY ALL), br AS (SELECT c, count(*) AS ltc, CAST(sum(n) AS BIGINT) AS freq FROM cb GROUP BY c)"""
 
 
 def bridged(t: Tables) -> DataFrame:
     uses = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item")).distinct()
-    return discovery.bridges(uses, t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("item")))
+    return discovery.bridges(uses, t.part.where("p_size = 3 AND p_brand LIKE 'Brand#1%'").select(F.col("p_partkey").alias("item")))
 
 
 @query(f"{BRIDGES} SELECT c, ltc, freq FROM br")
