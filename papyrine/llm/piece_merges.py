@@ -24,6 +24,7 @@ one with user-defined symbols or without byte fallback) is refused with a ValueE
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from dataclasses import dataclass, field
@@ -180,20 +181,33 @@ class Encoder:
         out = self.search(chunk)
         return [x for i in out for x in self.bare.get(i, (i,))] if self.bare else out
 
+    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
+        """The ids of a chunk, and in decimal, joined by commas."""
+        found = self.before.get(chunk)
+        if found is None:
+            ids = tuple(self.chunk_ids(chunk))
+            found = ids, ",".join(map(str, ids))
+        if len(chunk) <= CHUNK:
+            if len(self.chunks) >= CHUNKS:  # what was used lately comes over from the generation before
+                self.chunks, self.before = {}, self.chunks
+            self.chunks[chunk] = found
+        return found
+
+    def written(self, normal: str) -> tuple[list[int], str]:
+        """All ids of a normalised text, and in decimal, joined by commas."""
+        ids, decimal, known = [], [], self.chunks
+        for chunk in self.cut.findall(normal):
+            found = known.get(chunk)
+            if found is None:
+                found = self.chunk(chunk)
+                known = self.chunks
+            ids += found[0]
+            decimal.append(found[1])
+        return ids, ",".join(decimal)
+
     def encode(self, normal: str) -> list[int]:
         """All ids of a normalised text."""
-        out, known = [], self.chunks
-        for chunk in self.cut.findall(normal):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self.before.get(chunk) or tuple(self.chunk_ids(chunk))
-                if len(chunk) <= CHUNK:
-                    if len(known) >= CHUNKS:  # what was used lately comes over from the generation before
-                        known, self.before = {}, known
-                        self.chunks = known
-                    known[chunk] = ids
-            out += ids
-        return out
+        return self.written(normal)[0]
 
 
 @lru_cache(maxsize=2)
@@ -201,7 +215,10 @@ def tools(model: bytes):
     """The library's processor, for normal forms and decoding, and our encoder: one of each a worker process."""
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_proto=model), Encoder(load(model))
+    made = sentencepiece.SentencePieceProcessor(model_proto=model), Encoder(load(model))
+    gc.collect()
+    gc.freeze()  # the tables stay: no later collection need walk over them
+    return made
 
 
 def digested(model: bytes, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
@@ -209,9 +226,9 @@ def digested(model: bytes, texts: list[str | None]) -> tuple[list[int], list[str
     sp, encoder = tools(model)
     counts, ids_sha, text_sha = [], [], []
     for text in texts:
-        ids = encoder.encode(sp.normalize(text or ""))
+        ids, decimal = encoder.written(sp.normalize(text or ""))
         counts.append(len(ids))
-        ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
         text_sha.append(hashlib.sha256(sp.decode(ids).encode()).hexdigest())
     return counts, ids_sha, text_sha
 
