@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from papyrine.session import reachable, stored
+from papyrine.session import dropped, reachable, stored
 
 #: The six ASCII white-space characters that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -72,7 +72,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         large = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, large.a == low.u).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = stored(small.where("a <> b").distinct(), name)
+        before, now = now, stored(small.where("a <> b").distinct(), name)
+        dropped(before)  # the round before is not read again
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if mark == tuple(seen):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

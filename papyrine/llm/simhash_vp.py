@@ -2,7 +2,8 @@
 
 Fingerprints are 64-bit majorities over the XXH64 hashes of word shingles. Distinct fingerprints are
 dealt into shards by a vantage-point tree whose depth follows their number and whose nodes are fitted on a sample of
-PER_LEAF fingerprints a leaf, at most 2 ** 20 (8 MB; beyond 2 ** DEPTH leaves the shards grow, and split further on their own): a node sends a
+PER_LEAF fingerprints a leaf, at most 2 ** 20 (8 MB). Every level deals some fingerprints to both sides, so the tree stays flat: up to 2 ** FLAT
+leaves of any size over LEAF, and more only when a leaf would hold over WIDE fingerprints (2 MB); shards split further in memory. A node sends a
 fingerprint nearer to its vantage point than the threshold left, others right. By the triangle bound a
 pair within `radius` that a node parts has its left member within `radius` below the threshold, so only
 those boundary members are also queried against the right side: every linked pair meets in some shard,
@@ -29,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from papyrine.llm.common import BLANKS, components, map_batches
-from papyrine.session import reachable, stored
+from papyrine.session import dropped, reachable, stored
 
 PER_LEAF, DEPTH, LEAF, BLOCK, DENSE = 64, 14, 4_096, 256, 65_536
+FLAT, WIDE = 6, 1 << 18
 
 
 def shingle_hashes(text: str | None, width: int, seed: int, lower: bool = True) -> np.ndarray:
@@ -185,11 +187,17 @@ def shard_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return prints[linked], prints[roots[linked]]
 
 
+def depth_for(count: int) -> int:
+    """Levels of the tree that deals `count` fingerprints to shards."""
+    levels = lambda leaf: int(np.ceil(np.log2(max(count, 1) / leaf)))
+    return max(0, min(levels(LEAF), FLAT), min(levels(WIDE), DEPTH))
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """distinct: (fp), no repeats. Edges (a, b) that span the graph of pairs within the radius."""
     reachable(distinct.sparkSession)
     count = distinct.count()
-    depth = int(np.clip(np.ceil(np.log2(max(count, 1) / LEAF)), 0, DEPTH))
+    depth = depth_for(count)
     drawn = distinct.orderBy(F.xxhash64("fp"), "fp").limit(PER_LEAF << depth).toArrow()  # at most PER_LEAF << DEPTH numbers, 8 MB
     nodes = grow(drawn.column("fp").to_numpy().view(np.uint64), depth, radius)
 
@@ -317,7 +325,7 @@ def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return out.withColumn("r_a", F.coalesce("r_a", "a")).withColumn("r_b", F.coalesce("r_b", "b")).where("r_a <> r_b")
 
 
-def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, least: float, seed: int) -> DataFrame:
+def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, least: float, seed: int, stored=stored) -> DataFrame:
     """members: (body, n, root), a row per body. The pairs (a, b) of bodies of different roots that can reach `least`.
 
     Put the shingles that no two roots share first, the others behind them, rarest first. Such a pair then shares one of the
@@ -375,30 +383,38 @@ def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2,
         }
 
     rows = stored(map_batches(keyed, work, f"doc_id {dict(keyed.dtypes)['doc_id']}, body long, n long, fp long, minima binary, keys array<long>", "text"), "sketches")
-    bodies = stored(rows.groupBy("body").agg(*[F.first(c).alias(c) for c in ("n", "fp", "minima", "keys")]).where("n > 0"), "bodies")
+    spent = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        spent.append(stored(df, name))
+        return spent[-1]
+
+    bodies = kept(rows.groupBy("body").agg(*[F.first(c).alias(c) for c in ("n", "fp", "minima", "keys")]).where("n > 0"), "bodies")
     prints = bodies.select("body", "n", "fp")
     drawn = bodies.select("body", "n", F.explode(F.array_distinct("keys")).alias("key"))
     drawn = drawn.unionByName(fingerprint_buckets(prints, radius).withColumn("key", F.xxhash64("key", F.lit("fp"))))
     ends = drawn.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo < hi")
-    buckets = stored(drawn.join(ends, "key"), "buckets")
+    buckets = kept(drawn.join(ends, "key"), "buckets")
     pairs = buckets.select("body", F.explode(F.array("lo", "hi")).alias("other"))
     pairs = pairs.where("body <> other").select(F.greatest("body", "other").alias("a"), F.least("body", "other").alias("b")).distinct()
     texts = keyed.join(buckets.select("body").distinct(), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
-    texts = stored(texts, "texts")
-    pairs = stored(close_pairs(pairs, bodies, least), "close")
+    texts = kept(texts, "texts")
+    pairs = kept(close_pairs(pairs, bodies, least), "close")
     exact = (texts, width, least, seed)
     # The closest partner of each body first, then its closest in each other component.
-    good = stored(confirmed(pairs.groupBy("a").agg(F.max_by("b", F.struct("close", "b")).alias("b")), *exact), "good")
+    good = kept(confirmed(pairs.groupBy("a").agg(F.max_by("b", F.struct("close", "b")).alias("b")), *exact), "good")
     root = components(good, "closest")
     more = apart(pairs, root).groupBy("a", "r_b").agg(F.max_by("b", F.struct("close", "b")).alias("b"))
-    good = good.unionByName(stored(confirmed(more, *exact), "good"))
+    good = good.unionByName(kept(confirmed(more, *exact), "good"))
     root = components(good, "ends")
     held = buckets.join(root, buckets.body == root.node, "left").select("key", "body", "n", F.coalesce("root", "body").alias("root"))
     mixed_keys = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    held = stored(held.join(mixed_keys, "key").select("body", "n", "root").distinct(), "held")
-    pairs = prefix_pairs(held, texts, width, least, seed)
+    held = kept(held.join(mixed_keys, "key").select("body", "n", "root").distinct(), "held")
+    pairs = prefix_pairs(held, texts, width, least, seed, kept)
     good = good.unionByName(confirmed(close_pairs(pairs, bodies, least), *exact))
     root = components(good, "near")
+    for done in spent:  # the answer is in `rows` and `root`
+        dropped(done)
     return rows.select("body", "doc_id").join(root, rows.body == root.node, "left").select("body", "doc_id", F.coalesce("root", "body").alias("root"))
 
 

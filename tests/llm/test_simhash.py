@@ -43,6 +43,17 @@ def test_shards_meet_every_pair():
             assert held[i] & held[int(j)]
 
 
+def test_copies_a_print_stay_few():
+    """2 ** 24 fingerprints are dealt by so flat a tree that each goes to fewer than three shards on the average."""
+    depth = vp.depth_for(1 << 24)
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, 1 << 20, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 1 << 20, dtype=np.uint64)
+    nodes = vp.grow(prints[: vp.PER_LEAF << depth], depth, 2)
+    own, leaf = vp.shards(prints, nodes, 2)
+    assert len(set(leaf.tolist())) > 16 and len(own) < 3 * len(prints)
+    assert vp.depth_for(0) == 0 and vp.depth_for(4097) == 1 and vp.depth_for(1 << 30) == 12
+
+
 def test_dense_shard_looks_up(monkeypatch):
     prints = clustered(2500, 3)
     for dense in (10, 1 << 20):
