@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papyrine.functions.measures import blend, expectation, tfidf
-from papyrine.session import reachable, stored
+from papyrine.session import dropped, reachable, stored
 
 
 def token_rows(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -118,7 +118,8 @@ def clusters(edges: DataFrame, name: str = "clusters") -> DataFrame:
         out = both.join(least, both.a == least.u).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = out.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         back = out.join(least, out.a == least.u).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = stored(back.where("a <> b").distinct(), name)
+        last, now = now, stored(back.where("a <> b").distinct(), name)
+        dropped(last)  # the round before is not read again
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
