@@ -74,6 +74,12 @@ def identity(doi_: Column, pmid: Column, title: Column, width: int = 120) -> Col
     return F.coalesce(doi(doi_), F.concat(F.lit("pmid:"), blank(pmid)), F.left(blank(F.lower(title)), F.lit(width)))
 
 
+def watch_key(doi_: Column, pmid: Column, title: Column, width: int = 80) -> Column:
+    """The key a watch compares papers by: the DOI as it stands, else the PMID, else the head of the title; null if none."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(F.lower(blank(doi_)), blank(pmid), F.left(blank(F.lower(title)), F.lit(width)))
+
+
 def link(doi_: Column, pmid: Column) -> Column:
     return F.when(doi_.isNotNull(), F.concat(F.lit("https://doi.org/"), doi_)).when(pmid.isNotNull(), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")))
 
@@ -209,6 +215,30 @@ def any_of(groups: Column, quote: bool = True) -> Column:
     return F.array_join(F.transform(groups, lambda g: F.concat(F.lit("("), F.array_join(F.transform(g, word), " OR "), F.lit(")"))), " AND ")
 
 
+def query_terms(descriptor: Column, terms: Column, most: int = 4) -> Column:
+    """The descriptor and its synonyms, longest first, one of each set of words in order, `most` in all."""
+    every = F.filter(F.concat(F.array(descriptor), F.coalesce(terms, F.array().cast("array<string>"))), lambda t: F.coalesce(t != "", F.lit(False)))
+    ranked = F.array_sort(F.transform(every, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t"))))
+    keyed = F.transform(ranked, lambda x: F.struct(F.array_join(F.filter(F.split(F.lower(x["t"]), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*LABEL_STOP)), " ").alias("k"), F.trim(F.regexp_replace(x["t"], r"\s+", " ")).alias("t")))
+    first = F.filter(keyed, lambda x: x["k"] != "")
+    once = F.filter(first, lambda x, i: F.array_position(F.transform(first, lambda y: y["k"]), x["k"]) == i + 1)
+    return F.slice(F.transform(once, lambda x: x["t"]), 1, most)
+
+
+def rendered(concepts: Column, source: str) -> Column:
+    """concepts: array<struct<descriptor, terms>>, crossed. Each source reads its own dialect: fields in brackets, quoted phrases, or the descriptors as a bag of words. Concepts without a term are left out."""
+    some = F.filter(F.transform(concepts, lambda c: F.struct(c["descriptor"].alias("d"), query_terms(c["descriptor"], c["terms"]).alias("g"))), lambda c: F.size(c["g"]) > 0)
+    quoted = lambda g, tail: F.transform(g, lambda t: F.concat(F.lit('"'), t, F.lit('"' + tail)))
+    either = lambda alts: F.concat(F.lit("("), F.array_join(alts, " OR "), F.lit(")"))
+    named = lambda c: F.coalesce(c["d"] != "", F.lit(False))
+    if source == "pubmed":
+        heading = lambda c: F.when(named(c), F.array(F.concat(F.lit('"'), c["d"], F.lit('"[MeSH Terms]')))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.transform(some, lambda c: either(F.concat(heading(c), quoted(c["g"], "[tiab]")))), " AND ")
+    if source == "europepmc":
+        return F.array_join(F.transform(some, lambda c: either(quoted(c["g"], ""))), " AND ")
+    return F.array_join(F.transform(some, lambda c: F.replace(F.when(named(c), c["d"]).otherwise(F.get(c["g"], F.lit(0))), F.lit(","), F.lit(" "))), " ")
+
+
 def year_clause(term: Column, lo: Column, hi: Column) -> Column:
     """A term with its open-ended window of years."""
     return F.when(lo.isNull() & hi.isNull(), term).otherwise(F.concat(F.lit("("), term, F.lit(") AND "), F.coalesce(lo, F.lit(1800)).cast("string"), F.lit(":"), F.coalesce(hi, F.lit(3000)).cast("string"), F.lit("[dp]")))

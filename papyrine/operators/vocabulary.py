@@ -46,6 +46,25 @@ def descendants(paths: DataFrame) -> DataFrame:
     return own.join(ancestors(paths).select(F.col("ui").alias("below"), "up"), "up").select("ui", "below").distinct()
 
 
+def relatives(edges: DataFrame, paths: DataFrame, want_broader: bool = True, least: int = 4) -> DataFrame:
+    """edges: (ui, broader); paths: (ui, path). One step down, and one step up where the broader one lies at depth `least` or below: shallow ones name categories. (ui, relative, relation, depth, place): narrower ones first, broader ones deepest first."""
+    depth = paths.groupBy(F.col("ui").alias("relative")).agg(F.max(F.size(F.split("path", r"\."))).alias("depth"))
+    down = edges.select(F.col("broader").alias("ui"), F.col("ui").alias("relative"), F.lit("narrower").alias("relation"))
+    up = edges.select("ui", F.col("broader").alias("relative"), F.lit("broader").alias("relation"))
+    rows = (down.unionByName(up) if want_broader else down).distinct().join(depth, "relative", "left").fillna(0, ["depth"])
+    rows = rows.where((F.col("relation") == "narrower") | (F.col("depth") >= least))
+    place = F.row_number().over(Window.partitionBy("ui").orderBy(F.col("relation").desc(), F.when(F.col("relation") == "broader", -F.col("depth")), "relative"))
+    return rows.select("ui", "relative", "relation", "depth", place.alias("place"))
+
+
+def by_concept(extra: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """extra: (spelling, synonym), curated; dictionary: (gram, ui). The synonyms keyed by concept, so that any spelling of it reaches them: (ui, synonyms). Spellings are looked up as terms are, with and then without their blanks and marks."""
+    asked = extra.withColumn("term", F.trim(F.regexp_replace(F.lower("spelling"), "[^a-z0-9]+", " "))).where("term <> ''")
+    exact = asked.select("term").distinct().join(dictionary.select(F.col("gram").alias("term"), "ui"), "term").groupBy("term").agg(F.min("ui").alias("ui"))
+    known = rejoined(exact, asked.select("term").distinct(), dictionary)
+    return asked.join(known, "term").groupBy("ui").agg(F.array_sort(F.collect_set("synonym")).alias("synonyms"))
+
+
 def crossed(variants: DataFrame, most: int) -> DataFrame:
     """variants: (plan, concept, place, term), concepts numbered from 0. Combinations of one term a concept, least sum of places first, `most` a plan; sides are cut to the width first."""
     k = variants.groupBy("plan").agg(F.count_distinct("concept").alias("k"))
