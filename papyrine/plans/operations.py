@@ -279,6 +279,28 @@ def column_profile(t: Tables) -> DataFrame:
     return profile.columns(t.customer)
 
 
+VISITS = "vs AS (SELECT event_id, 'p' || user_id AS patient, strftime(ts, '%Y-%m-%d') AS visit_date, CASE WHEN value > 10 THEN event_type ELSE ' ' END AS city, value AS lab_value FROM events)"
+
+
+def visits(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("patient"), F.date_format("ts", "yyyy-MM-dd").alias("visit_date"), F.when(F.col("value") > 10, F.col("event_type")).otherwise(" ").alias("city"), F.col("value").alias("lab_value"))
+
+
+KINDS = {"area": ("city", "region"), "time": ("date", "visit"), "site": ("hospital", "ward")}
+
+
+@query(f"""WITH {VISITS}, n AS (SELECT count(*) AS n FROM vs) SELECT 1 AS place, 'event_id' AS name, 'integer' AS dtype, 0.0 AS missing_rate, count(DISTINCT event_id) AS n_unique, NULL AS first, NULL AS last, true AS unique_per_row, NULL AS joins_on FROM vs
+UNION ALL SELECT 2, 'patient', 'text', 0.0, count(DISTINCT patient), NULL, NULL, count(DISTINCT patient) = count(*), NULL FROM vs UNION ALL SELECT 3, 'visit_date', 'date', 0.0, count(DISTINCT visit_date), min(visit_date), max(visit_date), false, 'time' FROM vs
+UNION ALL SELECT 4, 'city', 'text', round(1 - count(*) FILTER (WHERE city <> ' ') / count(*), 4), count(DISTINCT nullif(city, ' ')), NULL, NULL, false, 'area' FROM vs UNION ALL SELECT 5, 'lab_value', 'number', 0.0, count(DISTINCT lab_value), NULL, NULL, count(DISTINCT lab_value) = count(*), NULL FROM vs""")
+def columns_described(t: Tables) -> DataFrame:
+    return profile.described(visits(t), KINDS).select(F.col("place").cast("int").alias("place"), "name", "dtype", "missing_rate", "n_unique", "first", "last", "unique_per_row", "joins_on")
+
+
+@query(f"WITH {VISITS}, g AS (SELECT patient, count(*) AS n FROM vs GROUP BY 1) SELECT CASE WHEN max(n) > 1 THEN 'longitudinal' ELSE 'cross-sectional' END AS shape, 'patient' AS key, count(*) AS n_groups, max(n) AS most_rows, CASE WHEN max(n) > 1 THEN 'patient repeats and visit_date gives them an order' ELSE 'patient is one row a value' END AS why FROM g")
+def structure_detected(t: Tables) -> DataFrame:
+    return profile.detected(visits(t))
+
+
 @query("""WITH v AS (SELECT 'event_type' AS name, event_type AS value FROM events UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM events), c AS (SELECT name, value, count(*) AS n FROM v GROUP BY ALL)
 SELECT * FROM c WHERE name IN (SELECT name FROM c GROUP BY name HAVING count(*) <= 12)""")
 def level_histogram(t: Tables) -> DataFrame:
