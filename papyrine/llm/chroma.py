@@ -5,15 +5,18 @@ into twelve pitch classes, smoothed and normalised. Sixteen filters compare area
 through its integral image; each answers with two Gray-coded bits, so every frame gives one packed
 32-bit integer. Recordings of equal media are one class from the start; all others are compared by their fingerprints.
 
-Scales. SCALES gives frame and hop for long and for short recordings. Which scales a recording has follows from its length: the
-long one from 896 bytes on, the short one below 1,792, so two recordings of which neither is twice as long as the other have a scale in common.
+Scales. SCALES gives a long and a short pair of frame and hop. Every recording has the short scale, and from 896 bytes on the long one too, so an
+excerpt of 448 bytes or more (less its frames at both ends, which smoothing changes, it has three landmarks) that starts at a multiple of the short hop
+meets the recording it was taken from, however long that is.
 
 Search. The landmarks of a recording are its distinct runs of GRAM consecutive integers, each at its first place. A query
 matches a recording on a scale if, at the offset most landmarks agree on (the peak of the offset histogram), at
 least three and `share` of the query's landmarks agree and at most `errors` of the bits over the overlap differ. A query
 that needs k of its n landmarks shares one of its n - k + 1 rarest with every match, so only those are looked up:
-passages that very many recordings carry are never joined on, and no match is lost. Candidates are then
-judged on their whole fingerprints.
+passages that very many recordings carry are never joined on, and no match is lost. Of all other recordings only
+landmarks that some query has are kept: a bitmap of fixed size (BITS, 8 MB) of the queries' landmarks goes to every task and drops nearly all others before
+anything is shuffled; the join behind it is exact, so a full bitmap costs time, never a match. Fingerprints of candidates are made again from
+their media and judged whole; no other fingerprint is ever stored.
 
 Defined cases: null and empty media are one class and match nothing; recordings of under 384 bytes have fewer than three
 landmarks on any scale and match only their equals, exactly, by class; rows that repeat an id are
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papyrine.llm.anchors import finish
 from papyrine.llm.common import map_batches
@@ -34,8 +37,9 @@ from papyrine.session import reachable, stored
 
 RATE, FRAME, HOP, WIDTH, SHARE, ERRORS = 8000, 256, 32, 16, 0.3, 0.2
 GRAM, VOTES, SCALE = 4, 3, 4096
-#: (frame, hop, least bytes, bytes below which it is used): the long scale, and the short one for recordings that have too few landmarks on it.
-SCALES = ((FRAME, HOP, 896, 1 << 62), (64, 16, 0, 1792))
+#: (frame, hop, least bytes): the long scale and the short one.
+SCALES = ((FRAME, HOP, 896), (64, 16, 0))
+BITS = 1 << 26
 #: Filters by a rule: the six shapes in turn, lower edge, height and width stepping through the image.
 FILTERS = [(k % 6, (7 * k) % 9, 3 if k % 6 == 4 else 2 + k % 2, 4 + 4 * (k % 4)) for k in range(16)]
 CUTS = (-0.25, 0.0, 0.25)
@@ -149,27 +153,43 @@ def matches(query: np.ndarray, other: np.ndarray, share: float = SHARE, errors:
 
 def scales(media: bytes | None) -> list[tuple[int, int] | None]:
     """(frame, hop) of each scale the recording has, else None."""
-    return [(frame, hop) if media and least <= len(media) < below else None for frame, hop, least, below in SCALES]
+    return [(frame, hop) if media and least <= len(media) else None for frame, hop, least in SCALES]
 
 
-def prints(docs: DataFrame, id_col: str, media_col: str, rate: int = RATE) -> DataFrame:
-    """(doc_id, media_id, codes): media_id the MD5 of the media (null as empty), codes one fingerprint a scale, empty where the recording has not the scale."""
+def codes_of(media: list[bytes | None], rate: int = RATE) -> list[list[np.ndarray]]:
+    """Of each recording one fingerprint a scale, empty where it has not the scale."""
+    own = [scales(m) for m in media]
+    each = [fingerprints([m if s[k] else None for m, s in zip(media, own, strict=True)], rate=rate, frame=frame, hop=hop) for k, (frame, hop, _) in enumerate(SCALES)]
+    return [list(x) for x in zip(*each, strict=True)]
 
-    def work(batch: pa.RecordBatch) -> dict:
-        media = batch.column("media").to_pylist()
-        own, codes = [scales(m) for m in media], []
-        for k, (frame, hop, _, _) in enumerate(SCALES):
-            codes.append(fingerprints([m if s[k] else None for m, s in zip(media, own, strict=True)], rate=rate, frame=frame, hop=hop))
-        return {"doc_id": batch.column("doc_id"), "media_id": batch.column("media_id"), "codes": pa.array([[c.tobytes() for c in x] for x in zip(*codes, strict=True)], pa.list_(pa.binary()))}
 
-    media = F.coalesce(F.col(media_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(media).alias("media_id"), media.alias("media"))
-    return map_batches(rows, work, "doc_id long, media_id string, codes array<binary>", "media")
+def marked(codes: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """The landmarks of each recording and scale; one of the second scale differs from one of the first."""
+    return [[finish(landmarks(c)[0] + np.uint64(k)) for k, c in enumerate(own)] for own in codes]
+
+
+def first_scale_codes(size: Column) -> Column:
+    """How many integers a recording of so many bytes has on the first scale that it has."""
+    out = F.lit(0)
+    for frame, hop, least in reversed(SCALES):
+        n = F.floor((F.greatest(size, F.lit(frame + hop * (WIDTH - 1))) - frame) / hop) + 2 - WIDTH
+        out = F.when((size > 0) & (size >= least), n).otherwise(out)
+    return out.cast("long")
+
+
+def filled(keys: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits with those of the keys set; what the driver gets is that bitmap, whatever the number of keys."""
+    at = keys.select((F.col("key").bitwiseAND(BITS - 1) + 1).alias("b"))
+    parts = at.groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.k - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel()
 
 
 def best_match(query: list[np.ndarray], other: list[np.ndarray], share: float = SHARE, errors: float = ERRORS) -> tuple[int, int, int, float] | None:
     """The match on the first scale that gives one; the offset in bytes, the overlap in places of that scale."""
-    for x, y, (_, hop, _, _) in zip(query, other, SCALES, strict=True):
+    for x, y, (_, hop, _) in zip(query, other, SCALES, strict=True):
         if len(x) and len(y) and (found := matches(x, y, share, errors)):
             return found[0] * hop, *found[1:]
     return None
@@ -181,29 +201,48 @@ def search(docs: DataFrame, queries_by: str = "doc_id % 100 = 0", id_col: str =
     Every document has its class, the smallest id with its media, in one row without a query; the row of a class's
     representative is followed by one for each class that holds a query and matches it.
     """
-    reachable(docs.sparkSession)
-    own = stored(prints(docs, id_col, media_col, **how), "prints")
-    reps = own.groupBy("media_id").agg(F.min("doc_id").alias("class_id"), F.first("codes").alias("codes"), F.max(F.expr(queries_by)).alias("asks"))
-    n_codes = F.aggregate("codes", F.lit(0), lambda n, c: F.when(n > 0, n).otherwise(F.octet_length(c) / 4).cast("int"))
-    reps = stored(reps.withColumn("n_codes", n_codes.cast("long")).withColumn("cls", F.xxhash64("media_id")), "classes")
-
-    def explode(batch: pa.RecordBatch) -> dict:
-        # A landmark of the second scale differs from one of the first.
-        found = [[finish(landmarks(np.frombuffer(c, np.uint32))[0] + np.uint64(k)) for k, c in enumerate(codes)] for codes in batch.column("codes").to_pylist()]
+    spark = reachable(docs.sparkSession)
+    media = F.coalesce(F.col(media_col).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(media).alias("media_id"), media.alias("media")).withColumn("cls", F.xxhash64("media_id"))
+    own = stored(rows.select("doc_id", "media_id", F.octet_length("media").alias("size")), "own")
+    reps = own.groupBy("media_id").agg(F.min("doc_id").alias("class_id"), F.max(F.expr(queries_by)).alias("asks"), first_scale_codes(F.first("size")).alias("n_codes"))
+    reps = stored(reps.withColumn("cls", F.xxhash64("media_id")), "classes")
+
+    def ask(batch: pa.RecordBatch) -> dict:
+        found = marked(codes_of(batch.column("media").to_pylist(), **how))
         n = np.array([[len(x) for x in f] for f in found], np.int64).reshape(-1, len(SCALES))
         cls, total = batch.column("cls").to_numpy(zero_copy_only=False), n.sum(axis=1)
         keys = np.concatenate([x for f in found for x in f]) if found else np.zeros(0, np.uint64)
         return {"cls": pa.array(np.repeat(cls, total)), "scale": pa.array(np.repeat(np.tile(np.arange(len(SCALES)), len(n)), n.ravel()).astype(np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(np.repeat(n.ravel(), n.ravel()))}
 
-    marks = "cls long, scale int, key long, n long"
-    asked = stored(map_batches(reps.where("asks").select("cls", F.expr("codes[0]").alias("c"), "codes"), explode, marks, "c"), "asked")
-    every = map_batches(reps.select("cls", F.expr("codes[0]").alias("c"), "codes"), explode, marks, "c").select("cls", "key")
-    hits = stored(every.join(asked.select("key").distinct().hint("shuffle_hash"), "key"), "hits")
+    asking = rows.join(reps.where("asks").select("media_id"), "media_id", "left_semi").dropDuplicates(["media_id"])
+    asked = stored(map_batches(asking.select("cls", "media"), ask, "cls long, scale int, key long, n long", "media"), "asked")
+    bits = spark.sparkContext.broadcast(filled(asked))
+
+    def heard(batch: pa.RecordBatch) -> dict:
+        found, on = marked(codes_of(batch.column("media").to_pylist(), **how)), bits.value
+        keys = [np.concatenate(f) for f in found]
+        at = [k & np.uint64(BITS - 1) for k in keys]
+        kept = [k[(on[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)] for k, p in zip(keys, at, strict=True)]
+        cls = np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), [len(k) for k in kept])
+        return {"cls": pa.array(cls), "key": pa.array((np.concatenate(kept) if kept else np.zeros(0, np.uint64)).view(np.int64))}
+
+    every = map_batches(rows.select("cls", "media"), heard, "cls long, key long", "media")
+    hits = stored(every.join(asked.select("key").distinct().hint("shuffle_hash"), "key").distinct(), "hits")
     spread = hits.groupBy("key").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("cls", "scale").orderBy("df", "key"))
     rarest = asked.join(spread, "key").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.greatest(F.lit(VOTES), F.ceil(F.col("n") * share)) + 1)
     pairs = rarest.select(F.col("cls").alias("q"), "key").join(hits.select("key", F.col("cls").alias("d")), "key").where("q <> d").select("q", "d").distinct()
-    sides = reps.select("cls", "class_id", "codes")
+    pairs = stored(pairs, "pairs")
+    some = pairs.select(F.explode(F.array("q", "d")).alias("cls")).distinct()
+
+    def fingerprint(batch: pa.RecordBatch) -> dict:
+        codes = codes_of(batch.column("media").to_pylist(), **how)
+        return {"cls": batch.column("cls"), "codes": pa.array([[c.tobytes() for c in x] for x in codes], pa.list_(pa.binary()))}
+
+    again = rows.select("doc_id", "cls", "media").join(some, "cls", "left_semi").join(reps.select("cls", "class_id"), "cls").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    codes = map_batches(again.select("cls", "media"), fingerprint, "cls long, codes array<binary>", "media").dropDuplicates(["cls"])
+    sides = stored(codes.join(reps.select("cls", "class_id"), "cls").select("cls", "class_id", "codes"), "sides")
     met = pairs.join(sides.toDF("q", "q_class", "q_codes"), "q").join(sides.toDF("d", "d_class", "d_codes"), "d")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,3 +86,26 @@ def test_search(spark):
     assert (1, 0, 50 * 64) in {x[:3] for x in want}
     assert {d for d, q, *_ in want if q == 300} >= {301, 302} and not any(303 in x[:2] for x in want)
     assert chroma.search(frame.limit(0), id_col="id").count() == 0
+
+
+def test_excerpts_of_any_length_meet_their_recording(spark):
+    """Exact excerpts of 448 to 2,000 bytes, from recordings of 3,840 bytes to a megabyte; unrelated recordings meet nothing."""
+    rng = np.random.default_rng(9)
+    words = rng.integers(97, 123, (4000, 7)).astype(np.uint8)
+    words[:, 6] = 32
+
+    def prose(n, seed):
+        return words[np.random.default_rng(seed).integers(0, 4000, n // 7 + 1)].tobytes()[:n]
+
+    rows, want = [], set()
+    for k, size in enumerate((3840, 20_000, 1_000_000)):
+        whole = prose(size, k)
+        rows.append((1000 * (k + 1) + 1, whole))
+        for j, length in enumerate((448, 700, 880, 900, 1500, 2000)):
+            at = 16 * (20 + 7 * j)
+            rows.append((1000 * (k + 1) + 100 * (j + 1), whole[at : at + length]))
+            want.add((1000 * (k + 1) + 100 * (j + 1), 1000 * (k + 1) + 1, at))
+    rows += [(50 + k, prose(1200, 100 + k)) for k in range(20)]
+    got = chroma.search(spark.createDataFrame(rows, "doc_id long, media binary").repartition(4)).where("query_class is not null").collect()
+    assert want <= {(r.query_class, r.doc_id, r.offset) for r in got}
+    assert not any(r.doc_id < 100 for r in got)
