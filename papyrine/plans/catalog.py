@@ -35,4 +35,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from papyrine.plans import listings, literature, operations, research, state, texts, triage  # noqa: F401
+    from papyrine.plans import formats, listings, literature, operations, research, state, texts, triage  # noqa: F401
