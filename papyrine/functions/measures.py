@@ -36,9 +36,12 @@ def expectation(own: Column, other: Column) -> Column:
 
 def price(rate_in: Column, rate_out: Column, tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column, batch: Column) -> Column:
     """Dollars of a call; an unknown price is an error, never free."""
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    usd = (zero(tokens_in) * rate_in + zero(tokens_out) * rate_out + zero(cache_read) * rate_in * CACHE_READ + zero(cache_write) * rate_in * CACHE_WRITE) / 1e6
-    return F.when(rate_in.isNull(), F.raise_error("no price is known for this model").cast("double")).otherwise(F.round(usd * F.when(batch, BATCH).otherwise(1.0), 6))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(12,0)")
+    exact = lambda x, kind: F.lit(str(x)).cast(kind)
+    r_in, r_out = rate_in.cast("decimal(8,4)"), rate_out.cast("decimal(8,4)")
+    usd = count(tokens_in) * r_in + count(tokens_out) * r_out + count(cache_read) * r_in * exact(CACHE_READ, "decimal(3,2)") + count(cache_write) * r_in * exact(CACHE_WRITE, "decimal(3,2)")
+    usd = usd * F.when(batch, exact(BATCH, "decimal(2,1)")).otherwise(exact(1.0, "decimal(2,1)")) * exact("0.000001", "decimal(7,6)")  # decimals: halves round the same everywhere
+    return F.when(rate_in.isNull(), F.raise_error("no price is known for this model").cast("double")).otherwise(F.round(usd, 6).cast("double"))
 
 
 def width_of_crossing(most: int, concepts: Column) -> Column:

@@ -247,3 +247,12 @@ def year_clause(term: Column, lo: Column, hi: Column) -> Column:
 def first_text(*parts: Column) -> Column:
     """The parts that are not empty, joined by blanks."""
     return F.trim(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]))
+
+
+def iso(at: Column) -> Column:
+    """A moment as ISO text, whole seconds, in UTC."""
+    return F.date_format(at.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def years_before(at: Column, n: int) -> Column:
+    return F.year(at) - n

@@ -95,9 +95,18 @@ def query_repeat_rate(queries: DataFrame) -> DataFrame:
 
 
 def venue_tier(venue: Column, general: list[str], special: list[str]) -> Column:
-    """2 for a venue that fits a general pattern, 1 for one of the domain's, else 0. Patterns as in LIKE, without regard to case."""
+    """2 for a venue that fits a general pattern, 1 for one of the domain's, else 0, without regard to case. A percent sign at an end of a pattern leaves that end open; all else in it is meant as it stands."""
     name = F.lower(F.trim(venue))
-    fits = lambda patterns: F.coalesce(F.greatest(F.lit(False), F.lit(False), *[name.like(p.lower()) for p in patterns]), F.lit(False))
+
+    def one(pattern: str) -> Column:
+        core = F.lit(pattern.lower().removeprefix("%").removesuffix("%"))
+        if pattern.startswith("%") and pattern.endswith("%"):
+            return F.contains(name, core)
+        if pattern.endswith("%"):
+            return F.startswith(name, core)
+        return F.endswith(name, core) if pattern.startswith("%") else name == core
+
+    fits = lambda patterns: F.coalesce(F.greatest(F.lit(False), F.lit(False), *[one(p) for p in patterns]), F.lit(False)) & (name != "")
     return F.when(fits(general), 2).when(fits(special), 1).otherwise(0)
 
 

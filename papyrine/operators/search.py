@@ -88,7 +88,7 @@ def lookup(terms: DataFrame, entries: DataFrame, labels: DataFrame, synonyms: Da
 
     An entry term that equals the term scores 100. Labels that contain the term, or its words back to front, as whole words score by
     overlap. Terms that found nothing are matched without punctuation; those that still found nothing by the names that synonyms
-    propose, which go through the same first two lookups. A descriptor stands once a term, with its best score.
+    propose, which go through the same first two lookups, one after another until one answers. A descriptor stands once a term, with its best score.
     """
     found = _direct(terms.select("term", F.col("term").alias("asked")), entries, labels)
     rest = terms.join(found.select("term").distinct(), "term", "left_anti")
@@ -96,11 +96,25 @@ def lookup(terms: DataFrame, entries: DataFrame, labels: DataFrame, synonyms: Da
     out = found.unionByName(plain)
     if synonyms is not None:
         rest = rest.join(plain.select("term").distinct(), "term", "left_anti")
-        named = rest.join(synonyms, "term").select("term", F.col("name").alias("asked"))
-        out = out.unionByName(_direct(named, entries, labels).withColumn("via", F.lit("synonym")))
+        named = rest.join(proposals(synonyms), "term").select("term", F.col("name").alias("asked"), "place")
+        hits = _direct(named.select(F.struct("term", "place").alias("term"), "asked"), entries, labels).select("term.term", "term.place", "ui", "label", F.lit("synonym").alias("via"), "score")
+        first = hits.groupBy("term").agg(F.min("place").alias("place"))
+        out = out.unionByName(hits.join(first, ["term", "place"]).drop("place"))
     return top(out, ["term", "ui"], [F.col("score").desc(), F.col("via")], 1).drop("rank")
 
 
+#: Fixed value: what a service of synonyms says where it has none.
+NO_SYNONYM = "NO RESULTS"
+
+
+def proposals(synonyms: DataFrame, most: int = 5) -> DataFrame:
+    """synonyms: (term, name) and place, the order they were proposed in, without which they go by name. The first `most` different names of a term, without the row that says there are none: (term, name, place)."""
+    rows = synonyms if "place" in synonyms.columns else synonyms.withColumn("place", F.dense_rank().over(Window.partitionBy("term").orderBy("name")))
+    rows = rows.where((F.trim("name") != "") & (F.upper(F.trim("name")) != NO_SYNONYM))
+    once = top(rows, ["term", "name"], [F.col("place")], 1).drop("rank")
+    return top(once, ["term"], [F.col("place"), F.col("name")], most).select("term", "name", F.col("rank").alias("place"))
+
+
 def _direct(asked: DataFrame, entries: DataFrame, labels: DataFrame) -> DataFrame:
     exact = asked.join(entries, F.lower("asked") == F.lower("entry")).join(labels, "ui").select("term", "ui", "label", F.lit("entry").alias("via"), F.lit(100.0).alias("score"))
     ways = asked.withColumn("way", F.explode(F.filter(F.array("asked", reversed_words(F.col("asked"))), lambda x: x.isNotNull())))

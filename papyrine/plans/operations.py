@@ -22,9 +22,8 @@ def latest_per_key(t: Tables) -> DataFrame:
 
 @query("SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS o_orderkey, o.o_totalprice FROM customer c LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) o ON true")
 def latest_lateral(t: Tables) -> DataFrame:
-    t.orders.createOrReplaceTempView("_orders")
-    t.customer.createOrReplaceTempView("_customer")
-    return t.spark.sql("SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS o_orderkey, o.o_totalprice FROM _customer c LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM _orders WHERE o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) o ON true")
+    asked = "SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS o_orderkey, o.o_totalprice FROM {customer} c LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) o ON true"
+    return t.spark.sql(asked, customer=t.customer, orders=t.orders)
 
 
 @query("SELECT c_custkey, (SELECT o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer")
@@ -92,8 +91,9 @@ def budget_gate(t: Tables) -> DataFrame:
     return progress.gate(projects, t.orders.select(F.col("o_custkey").alias("project"), (F.col("o_totalprice") / 100).alias("usd")), 4).select("project", "remaining", "note", "allowed")
 
 
-@query("""WITH p(flag, i, o) AS (VALUES ('A', 5.0, 25.0), ('N', 3.0, 15.0), ('R', 1.0, 5.0))
-SELECT l_orderkey, l_linenumber, round((l_partkey * i + l_suppkey * o + l_quantity * i * 0.1 + l_linenumber * i * 1.25) / 1e6 * CASE WHEN l_linestatus = 'F' THEN 0.5 ELSE 1.0 END + 1e-13, 6) AS usd FROM lineitem JOIN p ON flag = l_returnflag""")
+@query("""WITH p(flag, i, o) AS (VALUES ('A', 5.0, 25.0), ('N', 3.0, 15.0), ('R', 1.0, 5.0)), k AS (SELECT *, CAST(l_quantity AS DECIMAL(12, 0)) AS q, CAST(i AS DECIMAL(8, 4)) AS di, CAST(o AS DECIMAL(8, 4)) AS dout FROM lineitem JOIN p ON flag = l_returnflag)
+SELECT l_orderkey, l_linenumber, CAST(round((CAST(l_partkey AS DECIMAL(12, 0)) * di + CAST(l_suppkey AS DECIMAL(12, 0)) * dout + q * di * CAST(0.1 AS DECIMAL(3, 2)) + CAST(l_linenumber AS DECIMAL(12, 0)) * di * CAST(1.25 AS DECIMAL(3, 2)))
+* CASE WHEN l_linestatus = 'F' THEN CAST(0.5 AS DECIMAL(2, 1)) ELSE CAST(1.0 AS DECIMAL(2, 1)) END * CAST(0.000001 AS DECIMAL(7, 6)), 6) AS DOUBLE) AS usd FROM k""")
 def token_price(t: Tables) -> DataFrame:
     prices = t.spark.createDataFrame([("A", 5.0, 25.0), ("N", 3.0, 15.0), ("R", 1.0, 5.0)], "l_returnflag string, rate_in double, rate_out double")
     usd = price(F.col("rate_in"), F.col("rate_out"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"), F.col("l_linenumber"), F.col("l_linestatus") == "F")
@@ -274,6 +274,13 @@ def cells(name: str, kind: str, missing: str = "CAST(0 AS DOUBLE)", numbers: boo
     return f"SELECT '{name}' AS name, '{kind}' AS dtype, {missing} AS missing_rate, count(DISTINCT {name}) AS n_unique, {personal} AS personal, {shown.split(', ')[0]} AS min, {', '.join(shown.split(', ')[1:])} AS max, NOT {personal} AND count(DISTINCT {name}) = count(*) AS unique_per_row FROM customer"
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso, CAST(year(ts) - 10 AS INT) AS since FROM events")
+def iso_times(t: Tables) -> DataFrame:
+    from papyrine.functions.text import iso, years_before
+
+    return t.events.select("event_id", iso(F.col("ts")).alias("iso"), years_before(F.col("ts"), 10).alias("since"))
+
+
 @query(" UNION ALL ".join([cells("c_custkey", "integer", numbers=True), cells("c_name", "text", personal="true"), cells("c_nationkey", "integer", numbers=True), cells("c_acctbal", "number", numbers=True), cells("c_mktsegment", "text")]))
 def column_profile(t: Tables) -> DataFrame:
     return profile.columns(t.customer)

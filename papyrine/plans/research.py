@@ -100,9 +100,17 @@ def concept_expansion(t: Tables) -> DataFrame:
     return expanded(t)[1].select("term", "ui", "relation", "rank")
 
 
-@query("SELECT true AS degraded, CAST(1 AS BIGINT) AS n, 'no such thing' AS unexpanded")
+@query("""WITH n AS (SELECT n_name AS label FROM nation UNION SELECT r_name FROM region), t AS (SELECT DISTINCT c_mktsegment AS term FROM customer UNION SELECT label FROM n), x AS (SELECT term, term IN (SELECT label FROM n) AS expanded FROM t)
+SELECT bool_or(NOT expanded) AS degraded, count(*) FILTER (WHERE NOT expanded) AS n, coalesce(string_agg(term, '|' ORDER BY term) FILTER (WHERE NOT expanded), '') AS unexpanded FROM x""")
 def expansion_degraded(t: Tables) -> DataFrame:
-    return se.degraded(expanded(t)[0]).withColumn("unexpanded", F.array_join("unexpanded", "|"))
+    """Segments of customers are no names of nations or regions."""
+    from pyspark.sql import Window
+
+    nodes = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("ui"), F.col("n_name").alias("label")).union(t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), "r_name"))
+    terms = t.customer.select(F.col("c_mktsegment").alias("term")).union(nodes.select("label")).distinct()
+    found = terms.join(nodes, F.col("term") == F.col("label")).withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("ui")))
+    none = nodes.select("ui", F.col("ui").alias("relative"), "label", F.lit("broader").alias("relation"), F.lit(1).alias("place")).limit(0)
+    return se.degraded(se.expansion(terms, found, none)[0]).withColumn("unexpanded", F.array_join("unexpanded", "|"))
 
 
 @query(f"""WITH {PATHS} SELECT p.ui, string_agg(DISTINCT path, '|' ORDER BY path) AS paths, coalesce(min(n_name), '') AS broader, min(r_name) AS note

@@ -86,37 +86,52 @@ def doc_frequency(t: Tables) -> DataFrame:
     return each.groupBy("token").agg(F.count("*").alias("df"))
 
 
-@query(f"WITH {WEIGHTS} SELECT id, token, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 6) DESC, token) AS n FROM w) WHERE n <= 5")
+DOC_WEIGHTS = WEIGHTS.replace("item_id AS id", "doc_id AS id").replace("FROM benchmark", "FROM documents")
+
+
+@query(f"WITH {DOC_WEIGHTS} SELECT id, token, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 6) DESC, token) AS n FROM w) WHERE n <= 5")
 def tfidf_top_terms(t: Tables) -> DataFrame:
     from papyrine.operators.relational import top
 
-    rows = triage.token_rows(ideas(t), tokens(F.col("text")))
-    w = triage.weights(rows, ideas(t).agg(F.count("*").alias("n"))).withColumn("w", F.round("w", 6))
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    rows = triage.token_rows(docs, tokens(F.col("text")))
+    w = triage.weights(rows, docs.agg(F.count("*").alias("n"))).withColumn("w", F.round("w", 6))
     return top(w, ["id"], [F.col("w").desc(), F.col("token")], 5).select("id", "token", "w")
 
 
-#: Edges: each order's parts in line order.
-CHAIN = "SELECT o_orderkey AS a, o_custkey * 7 % 1000 + 1000000 AS b FROM orders"
+#: Customers of one nation and segment, side by side if their balances lie within 200: paths of any length, which SQL reads as islands.
+ISLANDS = "g AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, CASE WHEN c_acctbal - lag(c_acctbal) OVER w <= 200 THEN 0 ELSE 1 END AS starts FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey)), i AS (SELECT *, sum(starts) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) AS island FROM g)"
 
 
 def edges(t: Tables) -> DataFrame:
-    return t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") * 7 % 1000 + 1000000).alias("b"))
+    from pyspark.sql import Window
 
+    side = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_acctbal", "c_custkey")
+    rows = t.customer.select(F.col("c_custkey").alias("a"), F.lag("c_custkey").over(side).alias("b"), (F.col("c_acctbal") - F.lag("c_acctbal").over(side)).alias("gap"))
+    return rows.where("gap <= 200").select("a", "b")
 
-@query(f"WITH e AS ({CHAIN}), h AS (SELECT b, min(a) AS root FROM e GROUP BY b) SELECT a AS node, root FROM e JOIN h USING (b) UNION SELECT b, root FROM h")
+
+@query(f"WITH {ISLANDS}, r AS (SELECT c_custkey AS node, min(c_custkey) OVER k AS root, count(*) OVER k AS n FROM i WINDOW k AS (PARTITION BY c_nationkey, c_mktsegment, island)) SELECT node, root FROM r WHERE n > 1")
 def duplicate_clusters(t: Tables) -> DataFrame:
     return triage.clusters(edges(t))
 
 
-@query("""WITH m AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS root, source, n_chars, lang, count(*) OVER (PARTITION BY text) AS k FROM documents),
-o AS (SELECT *, row_number() OVER w AS n, first_value(id) OVER w AS best FROM m WHERE k > 1 WINDOW w AS (PARTITION BY root ORDER BY (id % 11 = 0) DESC, id % 4 DESC, n_chars, coalesce(source, '~'), id))
+@query("""WITH m AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS root, source, n_chars, lang, count(*) OVER (PARTITION BY text) AS k, CAST(trim(lang) <> '' AND lang <> 'en' AS INT) + CAST(trim(source) <> '' AS INT) + CAST(quality IS NOT NULL AS INT) + CAST(toxic = 1 AS INT) AS held
+FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
+o AS (SELECT *, row_number() OVER w AS n, first_value(id) OVER w AS best FROM m WHERE k > 1 WINDOW w AS (PARTITION BY root ORDER BY (id % 11 = 0) DESC, coalesce(held, 0) DESC, n_chars, coalesce(source, '~'), id))
 SELECT root, id, n = 1 AS survives, best AS merged_into FROM o""")
 def cluster_survivors(t: Tables) -> DataFrame:
+    """The most complete of equal texts: the one with most fields filled, its labels among them."""
+    from papyrine.operators.evidence import filled
+
     body = t.documents.withColumn("h", F.sha2("text", 256))
     first = body.groupBy("h").agg(F.min("doc_id").alias("b"))
     near = body.join(first, "h").select(F.col("doc_id").alias("a"), "b")
     root = triage.clusters(near, "copies")
-    members = body.join(root, body.doc_id == root.node).select("root", F.col("doc_id").alias("id"), F.col("source").alias("code"), (F.col("doc_id") % 11 == 0).alias("pinned"), (F.col("doc_id") % 4).alias("completeness"), F.col("n_chars").alias("created"))
+    marks = t.labels.groupBy("doc_id").agg(F.min("quality").cast("string").alias("quality"), F.max(F.when(F.col("toxic") == 1, "toxic")).alias("toxic"))
+    held = filled(F.when(F.col("lang") != "en", F.col("lang")), F.col("source"), F.col("quality"), F.col("toxic"))
+    members = body.join(root, body.doc_id == root.node).join(marks, "doc_id", "left")
+    members = members.select("root", F.col("doc_id").alias("id"), F.col("source").alias("code"), (F.col("doc_id") % 11 == 0).alias("pinned"), held.alias("completeness"), F.col("n_chars").alias("created"))
     return triage.survivors(members).select("root", "id", "survives", "merged_into")
 
 
