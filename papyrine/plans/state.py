@@ -185,3 +185,51 @@ def background_shares(t: Tables) -> DataFrame:
 @query("SELECT p_brand AS ui, count(*) AS n, CAST(0 AS DOUBLE) AS share, false AS is_generic FROM part GROUP BY 1")
 def background_missing(t: Tables) -> DataFrame:
     return bg.with_share(counted_types(t), bg.background(t.spark, scratch(t, "nowhere")))
+
+
+# --- moves on chains -------------------------------------------------------------------------
+
+PLAN = [(1, "dedup", None, False), (2, "tournament", None, False), (3, "feasibility", None, True), (4, "novelty", None, True), (5, "debate", None, True), (6, "report", None, False)]
+NAMES = "['dedup', 'tournament', 'feasibility', 'novelty', 'debate', 'report']"
+#: Each customer's last two orders as runs; the stage follows the priority, the state the order's.
+CHAIN_RUNS = f"""ru AS (SELECT 'r' || o_orderkey AS run, o_custkey AS project, {NAMES}[CAST(left(o_orderpriority, 1) AS INT)] AS stage, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'awaiting_review' END AS status,
+CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 2 = 0 END AS pause_after, o_orderkey AS started_at, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS finished_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 2),
+pl AS (SELECT unnest({NAMES}) AS stage, unnest([false, false, true, true, true, false]) AS pauses, unnest({NAMES}[2:] || [NULL]) AS next)"""
+
+
+def chain_runs(t: Tables) -> DataFrame:
+    from papyrine.operators.relational import top
+
+    key = F.col("o_orderkey")
+    stage = F.get(F.array(*[F.lit(p[1]) for p in PLAN]), F.left("o_orderpriority", F.lit(1)).cast("int") - 1)
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "running").otherwise("awaiting_review")
+    rows = top(t.orders, ["o_custkey"], [key.desc()], 2)
+    return rows.select(F.concat(F.lit("r"), key.cast("string")).alias("run"), F.col("o_custkey").alias("project"), stage.alias("stage"), status.alias("status"), F.when(key % 7 == 0, key % 2 == 0).alias("pause_after"), key.alias("started_at"), F.when(key % 3 > 0, key).alias("finished_at"))
+
+
+@query(f"""WITH {CHAIN_RUNS}, fi AS (SELECT c_custkey AS project, {NAMES}[1 + c_custkey % 6] AS stage, c_acctbal > 0 AS ok FROM customer), op AS (SELECT * FROM ru WHERE status IN ('pending', 'running') QUALIFY row_number() OVER (PARTITION BY project, stage ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS LAST, run DESC) = 1),
+mv AS (SELECT fi.project, fi.stage, op.run AS own, next, CASE WHEN NOT ok THEN 'failed' WHEN coalesce(op.pause_after, pauses) AND next IS NOT NULL THEN 'awaiting_review' ELSE 'done' END AS st FROM fi JOIN pl USING (stage) LEFT JOIN op ON op.project = fi.project AND op.stage = fi.stage),
+af AS (SELECT ru.run, ru.project, ru.stage, coalesce(st, status) AS status, pause_after, started_at, CASE WHEN st IS NOT NULL THEN 99 ELSE finished_at END AS finished_at FROM ru LEFT JOIN mv ON mv.own = ru.run UNION ALL SELECT project || '/' || stage || '/99', project, stage, st, NULL, 99, 99 FROM mv WHERE own IS NULL)
+SELECT * FROM af UNION ALL SELECT project || '/' || next || '/99', project, next, 'pending', NULL, NULL, NULL FROM mv WHERE st = 'done' AND next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM af WHERE af.project = mv.project AND af.stage = mv.next AND af.status IN ('pending', 'running'))""")
+def chain_advanced(t: Tables) -> DataFrame:
+    """Each customer reports one stage as finished."""
+    from papyrine.operators import chains, progress
+
+    finished = t.customer.select(F.col("c_custkey").alias("project"), F.get(F.array(*[F.lit(p[1]) for p in PLAN]), (F.col("c_custkey") % 6).cast("int")).alias("stage"), (F.col("c_acctbal") > 0).alias("ok"), F.lit(99).cast("long").alias("at"))
+    return chains.advanced(chain_runs(t), finished, progress.stages(t.spark, PLAN))
+
+
+@query(f"""WITH {CHAIN_RUNS}, pk AS (SELECT ru.*, next FROM ru JOIN pl USING (stage) WHERE status = 'awaiting_review' QUALIFY row_number() OVER (PARTITION BY project ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS LAST, run DESC) = 1),
+af AS (SELECT ru.* REPLACE (CASE WHEN pk.run IS NULL THEN ru.status WHEN pk.finished_at IS NOT NULL THEN 'done' ELSE 'pending' END AS status) FROM ru LEFT JOIN pk ON pk.run = ru.run)
+SELECT * FROM af UNION ALL SELECT project || '/' || next || '/99', project, next, 'pending', NULL, NULL, NULL FROM pk WHERE finished_at IS NOT NULL AND next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM af WHERE af.project = pk.project AND af.stage = pk.next AND af.status IN ('pending', 'running'))""")
+def chain_resumed(t: Tables) -> DataFrame:
+    from papyrine.operators import chains, progress
+
+    return chains.resumed(chain_runs(t), t.customer.select(F.col("c_custkey").alias("project"), F.lit(99).cast("long").alias("at")), progress.stages(t.spark, PLAN))
+
+
+@query(f"""WITH {CHAIN_RUNS}, s AS (SELECT c_custkey AS project FROM customer WHERE c_acctbal < 0) SELECT run, project, stage, CASE WHEN hit THEN 'stopped' ELSE status END AS status, pause_after, started_at, CASE WHEN hit THEN 99 ELSE finished_at END AS finished_at FROM (SELECT *, project IN (SELECT project FROM s) AND status IN ('running', 'awaiting_review') AS hit FROM ru)""")
+def chain_stopped(t: Tables) -> DataFrame:
+    from papyrine.operators import chains
+
+    return chains.stopped(chain_runs(t), t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("project"), F.lit(99).cast("long").alias("at")))

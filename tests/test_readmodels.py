@@ -114,3 +114,32 @@ def test_listings(spark):
     assert (r["any"], r.last, r.n) == (None, None, 0)
     named = rm.named(spark.createDataFrame([("a",), ("b",)], "ui string"), spark.createDataFrame([("a", "A")], "ui string, label string"), spark.createDataFrame([("a", "T")], "ui string, type string"))
     assert sorted(map(tuple, named.collect())) == [("a", "A", ["T"]), ("b", "b", [])]
+
+
+def test_moves_on_a_chain(spark):
+    from papyrine.operators import chains, progress
+
+    plan = progress.stages(spark, [(1, "a", None, False), (2, "b", "one", True), (3, "c", None, False)])
+    schema = "run string, project string, stage string, status string, pause_after boolean, started_at long, finished_at long"
+    none = spark.createDataFrame([], schema)
+
+    def told(runs):
+        return sorted((r.project, r.stage, r.status) for r in runs.collect())
+
+    def ends(*rows):
+        return spark.createDataFrame([(*r, 5) for r in rows], "project string, stage string, ok boolean, at long")
+
+    first = chains.advanced(none, ends(("p", "a", True), ("q", "a", False), ("r", "x", True), ("s", "c", True)), plan)
+    assert told(first) == [("p", "a", "done"), ("p", "b", "pending"), ("q", "a", "failed"), ("r", "x", "failed"), ("s", "c", "done")]
+    parked = chains.advanced(first, ends(("p", "b", True)), plan)
+    assert told(parked)[:2] == [("p", "a", "done"), ("p", "b", "awaiting_review")]
+    on = spark.createDataFrame([("p", 9), ("q", 9)], "project string, at long")
+    assert told(chains.resumed(parked, on, plan))[:3] == [("p", "a", "done"), ("p", "b", "done"), ("p", "c", "pending")]
+    assert told(chains.stopped(parked, on))[:3] == [("p", "a", "done"), ("p", "b", "stopped"), ("q", "a", "failed")]
+    marked = chains.pausing(first, spark.createDataFrame([("p", "b", False)], "project string, stage string, pause boolean"))
+    assert ("p", "c", "pending") in told(chains.advanced(marked, ends(("p", "b", True)), plan))
+    waits = spark.createDataFrame([("r1", "p", "b", "paused_budget", None, None, None)], schema)
+    assert told(chains.resumed(waits, on, plan)) == [("p", "b", "pending")]  # it never ran
+    twice = chains.advanced(first.unionByName(spark.createDataFrame([("r9", "p", "a", "running", None, 1, None)], schema)), ends(("p", "a", True)), plan)
+    assert told(twice).count(("p", "b", "pending")) == 1
+    assert told(chains.advanced(none, spark.createDataFrame([], "project string, stage string, ok boolean, at long"), plan)) == []
