@@ -233,3 +233,34 @@ def chain_stopped(t: Tables) -> DataFrame:
     from papyrine.operators import chains
 
     return chains.stopped(chain_runs(t), t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("project"), F.lit(99).cast("long").alias("at")))
+
+
+# --- late evidence ---------------------------------------------------------------------------
+
+
+@query("SELECT user_id AS topic, event_type AS kind, count(*) AS n, max(value) AS most FROM events GROUP BY ALL")
+def late_counts(t: Tables) -> DataFrame:
+    """Counts up to a day, and a stream of what came later, merged into the next version of the table."""
+    from papyrine.streaming.watch import current, merge_late
+
+    def summed(df: DataFrame) -> DataFrame:
+        return df.groupBy("topic", "kind").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select(F.col("user_id").alias("topic"), F.col("event_type").alias("kind"), F.lit(1).cast("long").alias("n"), F.col("value").alias("most"))
+
+    table = scratch(t, "late")
+    summed(rows(t.events.where(f"ts < TIMESTAMP_NTZ '{SINCE}'"))).write.parquet(f"{table}/v0")
+    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).where(f"ts >= TIMESTAMP_NTZ '{SINCE}'")
+    merge_late(t.spark, rows(stream), table, lambda old, new: summed(old.unionByName(new)))
+    return current(t.spark, table)
+
+
+@query("SELECT CASE WHEN p_size % 2 = 0 THEN 'p' || p_partkey END AS code, 'p' || p_partkey AS id, p_name AS title, p_type AS statement FROM part")
+def idea_lines(t: Tables) -> DataFrame:
+    """Ideas as JSON lines in as many files as Spark writes."""
+    from papyrine.sources import records
+
+    path, own = scratch(t, "ideas"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    t.part.select(own.alias("id"), F.when(F.col("p_size") % 2 == 0, own).alias("code"), F.col("p_name").alias("title"), F.col("p_type").alias("statement")).write.json(path)
+    return records.ideas(t.spark, path).select("code", "id", "title", "statement")
