@@ -10,7 +10,12 @@ from papyrine.plans.catalog import Tables, query
 from papyrine.plans.state import scratch
 from papyrine.sources import records as rc, sinks
 
-KEY, SIZE = F.col("p_partkey"), F.col("p_size")
+def key() -> Column:
+    return F.col("p_partkey")
+
+
+def size() -> Column:
+    return F.col("p_size")
 
 
 def text(c: Column | str) -> Column:
@@ -32,15 +37,15 @@ def shown(df: DataFrame) -> DataFrame:
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 2 = 0 THEN '10.1/x' || p_partkey END AS doi, CAST(p_partkey AS VARCHAR) AS pmid, p_name || ' of ' || p_brand AS title, p_type || ' ' || p_brand || ' end' AS abstract, CASE WHEN p_size % 3 > 0 THEN 1950 + p_size ELSE 1998 END AS year,
 CASE WHEN p_size % 5 > 0 THEN p_brand END AS venue, 'A' || p_size || ' X|B Y' AS authors, CAST(NULL AS BIGINT) AS citations, 'Journal Article; ' || p_type AS type, 'https://pubmed.ncbi.nlm.nih.gov/' || p_partkey || '/' AS url, CASE WHEN lower(p_type) = lower(p_brand) THEN p_type ELSE p_type || '|' || p_brand END AS headings FROM part""")
 def article_records(t: Tables) -> DataFrame:
-    date = F.when(SIZE % 3 > 0, tag("Year", SIZE + 1950)).otherwise(tag("MedlineDate", F.lit("Winter 1998-1999")))
-    journal = tag("Journal", tag("Title", F.when(SIZE % 5 > 0, F.col("p_brand")).otherwise("")), tag("JournalIssue", tag("PubDate", date)))
+    date = F.when(size() % 3 > 0, tag("Year", size() + 1950)).otherwise(tag("MedlineDate", F.lit("Winter 1998-1999")))
+    journal = tag("Journal", tag("Title", F.when(size() % 5 > 0, F.col("p_brand")).otherwise("")), tag("JournalIssue", tag("PubDate", date)))
     parts = tag("Abstract", tag("AbstractText", "p_type"), tag("AbstractText", "p_brand", F.lit(" <b>end</b>"), own=' Label="X"'))
-    authors = tag("AuthorList", tag("Author", tag("LastName", F.concat(F.lit("A"), text(SIZE))), tag("Initials", F.lit("X"))), tag("Author", tag("LastName", F.lit("B")), tag("Initials", F.lit("Y"))))
+    authors = tag("AuthorList", tag("Author", tag("LastName", F.concat(F.lit("A"), text(size()))), tag("Initials", F.lit("X"))), tag("Author", tag("LastName", F.lit("B")), tag("Initials", F.lit("Y"))))
     kinds = tag("PublicationTypeList", tag("PublicationType", F.lit("Journal Article")), tag("PublicationType", "p_type"))
     mesh = tag("MeshHeadingList", *[tag("MeshHeading", tag("DescriptorName", c)) for c in (F.col("p_type"), F.upper("p_type"), F.col("p_brand"), F.lower("p_brand"))])
-    ids = tag("ArticleIdList", F.when(SIZE % 2 == 0, tag("ArticleId", F.lit("https://doi.org/10.1/X"), KEY, own=' IdType="doi"')).otherwise(tag("ArticleId", F.lit("z"), own=' IdType="pii"')))
+    ids = tag("ArticleIdList", F.when(size() % 2 == 0, tag("ArticleId", F.lit("https://doi.org/10.1/X"), key(), own=' IdType="doi"')).otherwise(tag("ArticleId", F.lit("z"), own=' IdType="pii"')))
     title = tag("ArticleTitle", F.lit("<i>"), "p_name", F.lit("</i> of\n "), "p_brand")
-    rows = t.part.select(tag("PubmedArticle", tag("MedlineCitation", tag("PMID", KEY), tag("Article", journal, title, parts, authors, kinds), mesh), tag("PubmedData", ids)).alias("xml"))
+    rows = t.part.select(tag("PubmedArticle", tag("MedlineCitation", tag("PMID", key()), tag("Article", journal, title, parts, authors, kinds), mesh), tag("PubmedData", ids)).alias("xml"))
     return shown(rc.article_xml(rows)).join(rows.select(F.xpath_string("xml", F.lit("//PMID")).alias("id"), F.array_join(rc.descriptors(), "|").alias("headings")), "id")
 
 
@@ -50,9 +55,9 @@ def europe_records(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     heads = F.array(*[F.struct(c.alias("descriptorName")) for c in (F.col("p_type"), F.lit(""), none, F.lower("p_type"))])
     body = F.struct(
-        text(KEY).alias("id"), F.when(SIZE % 2 == 0, F.concat(F.lit("p"), text(KEY))).alias("pmid"), F.concat(F.lit("http://dx.doi.org/"), "p_brand", F.lit("/"), text(KEY)).alias("doi"), F.concat(F.lit("<b>"), "p_name", F.lit("</b>")).alias("title"), F.col("p_type").alias("abstractText"),
-        text(SIZE + 1950).alias("pubYear"), F.concat(F.lit("A B,  "), "p_name").alias("authorString"), (KEY * 2).alias("citedByCount"), F.when(SIZE % 3 == 1, F.col("p_type")).otherwise("").alias("journalTitle"),
-        F.struct(F.struct(F.when(SIZE % 3 == 0, F.col("p_brand")).alias("title")).alias("journal")).alias("journalInfo"), F.struct(F.lit("press").alias("publisher")).alias("bookOrReportDetails"), F.struct(heads.alias("meshHeading")).alias("meshHeadingList"),
+        text(key()).alias("id"), F.when(size() % 2 == 0, F.concat(F.lit("p"), text(key()))).alias("pmid"), F.concat(F.lit("http://dx.doi.org/"), "p_brand", F.lit("/"), text(key())).alias("doi"), F.concat(F.lit("<b>"), "p_name", F.lit("</b>")).alias("title"), F.col("p_type").alias("abstractText"),
+        text(size() + 1950).alias("pubYear"), F.concat(F.lit("A B,  "), "p_name").alias("authorString"), (key() * 2).alias("citedByCount"), F.when(size() % 3 == 1, F.col("p_type")).otherwise("").alias("journalTitle"),
+        F.struct(F.struct(F.when(size() % 3 == 0, F.col("p_brand")).alias("title")).alias("journal")).alias("journalInfo"), F.struct(F.lit("press").alias("publisher")).alias("bookOrReportDetails"), F.struct(heads.alias("meshHeading")).alias("meshHeadingList"),
     )
     rows = t.part.select(F.to_json(body).alias("json"))
     return shown(rc.europe_json(rows)).join(rows.select(F.get_json_object("json", "$.id").alias("id"), F.array_join(rc.europe_descriptors(), "|").alias("headings")), "id")
@@ -66,7 +71,7 @@ def work_records(t: Tables) -> DataFrame:
     places = F.transform("once", lambda w: F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.get("ws", i) == w))
     author = lambda c: F.struct(F.struct(F.col(c).alias("display_name")).alias("author"))
     body = F.struct(
-        F.concat(F.lit("W"), text(KEY)).alias("id"), F.when(SIZE % 2 == 0, F.concat(F.lit("https://doi.org/10.5/"), text(KEY))).alias("doi"), F.col("p_name").alias("title"), (SIZE + 1950).alias("publication_year"), (KEY + 1).alias("cited_by_count"), F.lit("article").alias("type"),
+        F.concat(F.lit("W"), text(key())).alias("id"), F.when(size() % 2 == 0, F.concat(F.lit("https://doi.org/10.5/"), text(key()))).alias("doi"), F.col("p_name").alias("title"), (size() + 1950).alias("publication_year"), (key() + 1).alias("cited_by_count"), F.lit("article").alias("type"),
         F.map_from_arrays("once", places).alias("abstract_inverted_index"), F.array(author("p_type"), author("p_brand")).alias("authorships"), F.struct(F.struct(F.col("p_brand").alias("display_name")).alias("source")).alias("primary_location"),
     )
     return shown(rc.work_json(rows.select(F.to_json(body).alias("json"))))
@@ -76,16 +81,16 @@ def work_records(t: Tables) -> DataFrame:
 def crossref_records(t: Tables) -> DataFrame:
     none = F.array().cast("array<string>")
     body = F.struct(
-        F.concat(F.lit("10.2/"), text(KEY)).alias("DOI"), F.array("p_name").alias("title"), F.concat(F.lit("<jats:p>"), "p_type", F.lit("</jats:p>")).alias("abstract"), F.when(SIZE % 3 > 0, F.array("p_brand")).otherwise(none).alias("container-title"),
-        F.array(F.struct(F.lit("A").alias("given"), F.col("p_name").alias("family"))).alias("author"), F.when(SIZE % 4 > 0, F.struct(F.array(F.array(SIZE + 1950, F.lit(2))).alias("date-parts"))).alias("issued"), KEY.alias("is-referenced-by-count"), F.lit("journal-article").alias("type"), F.concat(F.lit("u"), text(KEY)).alias("URL"),
+        F.concat(F.lit("10.2/"), text(key())).alias("DOI"), F.array("p_name").alias("title"), F.concat(F.lit("<jats:p>"), "p_type", F.lit("</jats:p>")).alias("abstract"), F.when(size() % 3 > 0, F.array("p_brand")).otherwise(none).alias("container-title"),
+        F.array(F.struct(F.lit("A").alias("given"), F.col("p_name").alias("family"))).alias("author"), F.when(size() % 4 > 0, F.struct(F.array(F.array(size() + 1950, F.lit(2))).alias("date-parts"))).alias("issued"), key().alias("is-referenced-by-count"), F.lit("journal-article").alias("type"), F.concat(F.lit("u"), text(key())).alias("URL"),
     )
     return shown(rc.crossref_json(t.part.select(F.to_json(body).alias("json"))))
 
 
 @query("""SELECT 's' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '10.3/' || p_partkey END AS doi, 'm' || p_partkey AS pmid, p_name AS title, p_type AS abstract, 1950 + p_size AS year, p_brand AS venue, p_type || '|' || p_name AS authors, p_partkey AS citations, CAST(NULL AS VARCHAR) AS type, 'u' AS url FROM part""")
 def scholar_records(t: Tables) -> DataFrame:
-    ids = F.struct(F.when(SIZE % 2 == 0, F.concat(F.lit("10.3/"), text(KEY))).alias("DOI"), F.concat(F.lit("m"), text(KEY)).alias("PubMed"))
-    body = F.struct(F.concat(F.lit("s"), text(KEY)).alias("paperId"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), (SIZE + 1950).alias("year"), F.col("p_brand").alias("venue"), KEY.alias("citationCount"), F.lit("u").alias("url"), ids.alias("externalIds"), F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.col("p_name").alias("name"))).alias("authors"))
+    ids = F.struct(F.when(size() % 2 == 0, F.concat(F.lit("10.3/"), text(key()))).alias("DOI"), F.concat(F.lit("m"), text(key())).alias("PubMed"))
+    body = F.struct(F.concat(F.lit("s"), text(key())).alias("paperId"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), (size() + 1950).alias("year"), F.col("p_brand").alias("venue"), key().alias("citationCount"), F.lit("u").alias("url"), ids.alias("externalIds"), F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.col("p_name").alias("name"))).alias("authors"))
     return shown(rc.scholar_json(t.part.select(F.to_json(body).alias("json"))))
 
 
@@ -93,8 +98,8 @@ def scholar_records(t: Tables) -> DataFrame:
 'http://a.org/abs/v' || p_partkey AS url FROM r WHERE y IS NULL OR y >= 1970""")
 def atom_records(t: Tables) -> DataFrame:
     author = lambda c: tag("author", tag("name", c))
-    date = F.when(SIZE % 4 > 0, F.concat(text(SIZE + 1950), F.lit("-03-01T00:00:00Z"))).otherwise("")
-    rows = t.part.select(tag("entry", tag("id", F.lit("http://a.org/abs/v"), KEY), tag("title", "p_name", F.lit("\n ")), tag("summary", "p_type"), tag("published", date), author("p_brand"), author("p_type")).alias("xml"))
+    date = F.when(size() % 4 > 0, F.concat(text(size() + 1950), F.lit("-03-01T00:00:00Z"))).otherwise("")
+    rows = t.part.select(tag("entry", tag("id", F.lit("http://a.org/abs/v"), key()), tag("title", "p_name", F.lit("\n ")), tag("summary", "p_type"), tag("published", date), author("p_brand"), author("p_type")).alias("xml"))
     return shown(rc.atom(rows, "xml", 1970))
 
 
@@ -106,11 +111,11 @@ m AS (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN lower(p_bra
 SELECT term, ui FROM s UNION ALL SELECT term, ui FROM m WHERE length(term) BETWEEN 4 AND 60 AND len(string_split(term, ' ')) <= 6 AND (length(term) - length(regexp_replace(term, '[0-9]', '', 'g'))) * 5 <= length(term) * 2 AND term NOT IN (SELECT term FROM s)""")
 def vocabulary_terms(t: Tables) -> DataFrame:
     """Descriptor records, ambiguous terms dropped, and what a supplement adds."""
-    own = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set(F.when(SIZE < 4, F.col("p_type")))).alias("ts"))
+    own = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set(F.when(size() < 4, F.col("p_type")))).alias("ts"))
     term = lambda c: tag("Term", tag("String", c))
     rows = own.select(tag("DescriptorRecord", tag("DescriptorUI", "p_brand"), tag("DescriptorName", tag("String", "p_brand")), tag("TreeNumber", F.lit("A01")), tag("TermList", F.array_join(F.transform("ts", term), ""), term("p_brand"), term(F.lit("abc")))).alias("xml"))
     sole = rc.vocabulary_xml(rows)[1].select("term", "ui")
-    more = t.part.select(F.when(SIZE % 3 == 0, F.col("p_name")).when(SIZE % 3 == 1, F.lower("p_brand")).otherwise(F.concat(F.lit("x1234567"), text(SIZE))).alias("term"), F.lit("more").alias("ui")).distinct()
+    more = t.part.select(F.when(size() % 3 == 0, F.col("p_name")).when(size() % 3 == 1, F.lower("p_brand")).otherwise(F.concat(F.lit("x1234567"), text(size()))).alias("term"), F.lit("more").alias("ui")).distinct()
     return rc.supplemented(sole, more)
 
 
@@ -132,7 +137,7 @@ def delimited_rows(t: Tables) -> DataFrame:
 
 @query("""SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 3 = 0 THEN 'C' || p_partkey END, CASE WHEN p_size % 2 = 0 THEN 'D' || p_partkey END) AS pmcid FROM part""")
 def full_text_ids(t: Tables) -> DataFrame:
-    refs = t.part.select(KEY.alias("id"), F.concat(F.lit("p"), text(KEY)).alias("pmid"), F.concat(F.lit("d"), text(KEY)).alias("doi"), "p_size")
+    refs = t.part.select(key().alias("id"), F.concat(F.lit("p"), text(key())).alias("pmid"), F.concat(F.lit("d"), text(key())).alias("doi"), "p_size")
     by_pmid = refs.where("p_size % 3 = 0").select("pmid", F.concat(F.lit("C"), text("id")).alias("pmcid"))
     by_doi = refs.where("p_size % 2 = 0").select("doi", F.concat(F.lit("D"), text("id")).alias("pmcid"))
     return rc.resolved(refs.drop("p_size"), by_pmid, by_doi).select("id", "pmcid")
@@ -141,10 +146,10 @@ def full_text_ids(t: Tables) -> DataFrame:
 @query("""SELECT p_partkey AS id, trim(concat_ws(' ', CASE WHEN p_size % 2 = 0 THEN p_name END, p_type)) AS first_text, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 2 = 0 THEN 'W' || p_partkey END AS openalex,
 CAST(p_size % 2 = 0 AS INT) + CAST(p_size % 5 > 0 AS INT) + 1 AS filled, CASE WHEN p_size % 2 = 0 THEN 'anchor' ELSE 'idea' END AS side FROM part""")
 def field_helpers(t: Tables) -> DataFrame:
-    name = F.when(SIZE % 2 == 0, F.col("p_name")).otherwise("")
+    name = F.when(size() % 2 == 0, F.col("p_name")).otherwise("")
     return t.part.select(
-        KEY.alias("id"), tx.first_text(name, F.col("p_type")).alias("first_text"), evidence.source_id(F.when(SIZE % 3 == 0, F.col("p_brand")), F.when(SIZE % 2 == 0, "openalex").otherwise("crossref"), F.concat(F.lit("W"), text(KEY))).alias("openalex"),
-        evidence.filled(name, F.when(SIZE % 5 > 0, F.col("p_brand")).otherwise(" "), F.col("p_type")).alias("filled"), evidence.side(F.when(SIZE % 2 == 0, "anchor").otherwise("direction")).alias("side"),
+        key().alias("id"), tx.first_text(name, F.col("p_type")).alias("first_text"), evidence.source_id(F.when(size() % 3 == 0, F.col("p_brand")), F.when(size() % 2 == 0, "openalex").otherwise("crossref"), F.concat(F.lit("W"), text(key()))).alias("openalex"),
+        evidence.filled(name, F.when(size() % 5 > 0, F.col("p_brand")).otherwise(" "), F.col("p_type")).alias("filled"), evidence.side(F.when(size() % 2 == 0, "anchor").otherwise("direction")).alias("side"),
     )
 
 
@@ -175,4 +180,4 @@ def markdown_reports(t: Tables) -> DataFrame:
 @query("SELECT json_object('a', p_partkey, 'b', p_name) AS json FROM part")
 def json_lines(t: Tables) -> DataFrame:
     """Written as JSON text; the SQL gives the same characters."""
-    return sinks.as_json(t.part.select(KEY.alias("a"), F.col("p_name").alias("b")))
+    return sinks.as_json(t.part.select(key().alias("a"), F.col("p_name").alias("b")))
