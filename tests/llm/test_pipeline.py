@@ -39,4 +39,4 @@ def test_registered():
     import __spark_entry__
 
     assert set(queries()) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 14)}
