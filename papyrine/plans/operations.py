@@ -22,8 +22,9 @@ def latest_per_key(t: Tables) -> DataFrame:
 
 @query("SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS o_orderkey, o.o_totalprice FROM customer c LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) o ON true")
 def latest_lateral(t: Tables) -> DataFrame:
-    asked = "SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS o_orderkey, o.o_totalprice FROM {customer} c LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) o ON true"
-    return t.spark.sql(asked, customer=t.customer, orders=t.orders)
+    """Spark's own lateral join with a limit numbers the rows behind a shuffle that loses the inner order; a window with the order does not."""
+    last = rel.latest(t.orders, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "o_totalprice")
+    return t.customer.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o_orderkey", F.lit(-1).cast("long")).alias("o_orderkey"), "o_totalprice")
 
 
 @query("SELECT c_custkey, (SELECT o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer")

@@ -43,3 +43,9 @@ def test_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["a", "b", "cosine", "jaccard", "score", "above"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_latest_orders_by_its_window(spark):
+    """The order belongs to the numbering itself: a sort below it is lost in the shuffle."""
+    plan = catalog.QUERIES["latest_lateral"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderdate" in plan.split("row_number()")[1].split("\n")[0]
