@@ -135,13 +135,14 @@ def pack_section(content: Column, name: str) -> Column:
     return F.nullif(F.btrim(F.regexp_extract(content, rf"(?ms)^## {name}[^\n]*\n(.*?)(?=^## |\z)", 1), F.lit(" \n")), F.lit(""))
 
 
-def delimited(spark: SparkSession, path: str, most: int = 20_000) -> DataFrame:
-    """CSV, TSV, semicolon or pipe file with a header, all columns text; the delimiter is the one most frequent in the header, a byte order mark goes, ragged rows are padded. `most` rows profile a file."""
+def delimited(spark: SparkSession, path: str, most: int | None = 20_000) -> DataFrame:
+    """CSV, TSV, semicolon or pipe file with a header, all columns text; the delimiter is the one most frequent in the header, a byte order mark goes, ragged rows are padded. `most` rows profile a file; None reads all of it."""
     head = spark.read.text(path).limit(1).select("value").first()
     line = head[0] if head else ""
     sep = max(",\t;|", key=line.count)
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="PERMISSIVE")
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns]).limit(most)
+    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df if most is None else df.limit(most)
 
 
 def stratified(df: DataFrame, by: str, per: int, seed: int = 7) -> DataFrame:

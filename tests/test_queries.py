@@ -49,3 +49,10 @@ def test_latest_orders_by_its_window(spark):
     """The order belongs to the numbering itself: a sort below it is lost in the shuffle."""
     plan = catalog.QUERIES["latest_lateral"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderdate" in plan.split("row_number()")[1].split("\n")[0]
+
+
+def test_every_delimited_row(spark, tmp_path):
+    suppliers = spark.range(20_500).selectExpr("id AS s_suppkey", "concat('S;', id) AS s_name", "CAST(id % 25 AS INT) AS s_nationkey")
+    suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalog.QUERIES["delimited_rows"](spark, str(tmp_path))
+    assert got.distinct().count() == 20_500 and got.where("s_name <> concat('S;', s_suppkey)").count() == 0
