@@ -127,8 +127,8 @@ def clusters(edges: DataFrame, name: str = "clusters") -> DataFrame:
 
 
 def survivors(members: DataFrame) -> DataFrame:
-    """members: (root, id, code, pinned, completeness, created). Of each cluster: a pinned one, else the most complete, earliest, by code (none last), by id."""
-    order = [F.col("pinned").desc(), F.col("completeness").desc(), F.col("created"), F.coalesce("code", F.lit("~")), F.col("id")]
+    """members: (root, id, code, pinned, completeness, created). Of each cluster: a pinned one, else the most complete, earliest (unknown last), by code (none last), by id."""
+    order = [F.col("pinned").desc(), F.col("completeness").desc(), F.col("created").asc_nulls_last(), F.coalesce("code", F.lit("~")), F.col("id")]
     rank = F.row_number().over(Window.partitionBy("root").orderBy(*order))
     return members.withColumn("survives", rank == 1).withColumn("merged_into", F.first("id").over(Window.partitionBy("root").orderBy(*order)))
 

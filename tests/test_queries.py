@@ -56,3 +56,18 @@ def test_every_delimited_row(spark, tmp_path):
     suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
     got = catalog.QUERIES["delimited_rows"](spark, str(tmp_path))
     assert got.distinct().count() == 20_500 and got.where("s_name <> concat('S;', s_suppkey)").count() == 0
+
+
+def test_survivors_with_unknown_fields(spark, con, tmp_path):
+    """Null texts are one class; unlabelled copies, and copies with a null field, count no field; a null length is last."""
+    docs = [(1, "x", "en", "b", 3), (2, "x", "fr", "c", 3), (3, None, "en", None, 1), (4, None, "fr", "a", 1), (5, "y", "en", "a", None), (6, "y", "en", "a", 1), (7, "z", "fr", "a", 1), (8, "u", "de", "a", 2), (9, "u", "en", "b", 2)]
+    marks = [(4, 1, None), (8, 0, 0), (9, 1, 1)]
+    tables = {"documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"), "labels": (marks, "doc_id long, quality int, toxic int")}
+    own = duckdb.connect()
+    for name, (rows_, kind) in tables.items():
+        spark.createDataFrame(rows_, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+        own.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    df = catalog.QUERIES["cluster_survivors"](spark, str(tmp_path))
+    want = own.execute(catalog.ORACLES["cluster_survivors"])
+    columns = [c[0] for c in want.description]
+    assert rows(df.collect(), df.columns) == rows(want.fetchall(), columns) and df.count() == 8
