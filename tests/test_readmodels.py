@@ -51,6 +51,18 @@ def test_ingest_and_caveats(spark):
     assert (b.n_rounds, b.drift, b.n_done) == (0, None, 1) and (c.n_papers, c.n_graded, c.done) == (None, 0, [])
 
 
+def test_lists_of_a_project_are_joined_last(spark):
+    ideas = spark.createDataFrame([(1, "p", "B"), (2, "p", "A"), (3, "q", "C")], "idea long, project string, code string")
+    reads = spark.createDataFrame([], "project string, status string, n_papers long, n_with_fulltext long, n_gap_sentences long, at long, id long")
+    checks = spark.createDataFrame([(1, "adversarial", "scooped", 2, 2), (2, "adversarial", "scooped", 2, 2)], "idea long, method string, verdict string, at long, id long")
+    rounds = spark.createDataFrame([], "idea long, round int, drift double, n_open int, terminated boolean, reason string")
+    out = rm.caveats_by_idea(ideas, reads, ideas.select("idea"), checks, rounds)
+    outer = out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter, ")[1].split("\n")[0]
+    assert "project" in outer and "idea" not in outer  # behind a join by idea every row of the shuffle would hold its project's list
+    text = rm.caveats_by_idea(ideas, reads, ideas.select("idea"), checks, rounds, "|")
+    assert {r.idea: r.done for r in text.collect()} == {1: "A|B", 2: "A|B", 3: ""}
+
+
 CONCEPTS = [("Lung Neoplasms", ["lung  cancer", "cancer, lung", "Cancer of the Lung", "LUNG CANCER", ""]), (None, ["fine dust"]), ("", None), ("Asthma, Severe", [])]
 
 
