@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,41 +44,104 @@ def ranked_tokens(rows: DataFrame, n: DataFrame) -> DataFrame:
     return out.withColumn("rest_sq", F.sum(F.col("w") * F.col("w")).over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def candidates(ranked: DataFrame, least: float, cosine: float, jaccard: float) -> DataFrame:
+#: Classes of tokens by the share of documents that hold one, up to these, and how many words of 64 bits stand for the tokens of each in a signature.
+SHARES, WIDTHS = (0.0004, 0.002, 0.02, 1.0), (8, 8, 8, 4)
+
+
+def signatures(ranked: DataFrame, n: DataFrame) -> DataFrame:
+    """(id, bits, n, sq, low): by class of tokens that other documents hold too, a bitmap of the tokens' hashes, how many there are, their squared weight and the least one."""
+    share = F.col("df") / F.col("n")
+    cls = F.when(F.col("df") > 1, sum((F.when(share > s, 1).otherwise(0) for s in SHARES[:-1]), F.lit(0)))
+    rows = ranked.join(F.broadcast(n.select("n"))).select("id", cls.alias("c"), F.xxhash64("token").alias("h"), (F.col("w") * F.col("w")).alias("q"))
+    bits, per = [], []
+    for c, width in enumerate(WIDTHS):
+        own, at = F.col("c") == c, F.pmod(F.col("h"), F.lit(64 * width))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+        bits += [F.coalesce(F.bit_or(F.when(own & (F.floor(at / 64) == k), bit)), F.lit(0).cast("long")).alias(f"b{c}_{k}") for k in range(width)]
+        per += [F.count_if(own).alias(f"n{c}"), F.coalesce(F.sum(F.when(own, F.col("q"))), F.lit(0.0)).alias(f"q{c}"), F.coalesce(F.min(F.when(own, F.col("q"))), F.lit(0.0)).alias(f"m{c}")]
+    return rows.groupBy("id").agg(*bits, *per)
+
+
+def candidates(ranked: DataFrame, n: DataFrame, least: float, cosine: float, jaccard: float) -> DataFrame:
     """The pairs (a, b), a < b, whose score cosine * cos + jaccard * J may reach `least`, as far as bounds at a shared token tell.
 
     Tokens behind the first one that two documents share are all that their score can come from: their cosine is at most the
     product of the norms of the rests, their Jaccard at most the smaller rest over the union. So a token is looked at only
     where its own document's rest could reach `least` with any partner, which leaves the frequent tokens out, and a meeting only
-    counts if both rests together can. No pair is lost: its first shared token passes both tests.
+    counts if both rests together can, and if the signatures allow it. No pair is lost: its first shared token passes all tests.
+    Tokens meet by their hash, since two that are taken for one only make a pair to be scored.
     """
     least = max(least - SLACK, 0.0)
     alone = cosine * F.sqrt("rest_sq") + jaccard * F.col("rest") / F.col("size")
-    head = ranked.where((F.col("df") > 1) & (alone >= least - 1e-9)).select("id", "token", "size", "rest", "rest_sq")
-    x, y = head.alias("x"), head.alias("y")
-    both = F.least("x.rest", "y.rest")
-    bound = cosine * F.sqrt(F.col("x.rest_sq") * F.col("y.rest_sq")) + jaccard * both / (F.col("x.size") + F.col("y.size") - both)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (bound >= least - 1e-9))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    head = ranked.where((F.col("df") > 1) & (alone >= least - 1e-9)).select("id", F.xxhash64("token").alias("token"), "size", "rest", "rest_sq")
+    head = head.join(signatures(ranked, n), "id").repartition("token").sortWithinPartitions("token", "id")
+    met = head.mapInArrow(lambda batches: meetings(batches, least - 1e-9, cosine, jaccard), f"a {dict(ranked.dtypes)['id']}, b {dict(ranked.dtypes)['id']}")
+    return met.where("a < b").distinct()
+
+
+#: Rows taken together; a token's rows are never parted.
+MET_ROWS = 100_000
+
+
+def meetings(batches: Iterator[pa.RecordBatch], least: float, cosine: float, jaccard: float) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of token and id, as (a, b) of the rows of one token that may reach `least` by their rests and by their signatures: a bit that only
+    one has stands for one token at least that the other lacks, so the shared ones are fewer and weigh less."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < MET_ROWS:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        token = rows["token"].to_numpy()
+        end = int(np.searchsorted(token, token[-1]))
+        held = rows.slice(end).to_batches()
+        yield from met_rows(rows.slice(0, end), least, cosine, jaccard)
+    if held:
+        yield from met_rows(pa.Table.from_batches(held), least, cosine, jaccard)
+
+
+def met_rows(rows: pa.Table, least: float, cosine: float, jaccard: float) -> Iterator[pa.RecordBatch]:
+    v = {c: rows[c].to_numpy() for c in rows.column_names if c != "id"}
+    norm, size, rest, token, ids = np.sqrt(v["rest_sq"]), v["size"], v["rest"], v["token"], rows["id"].combine_chunks()
+    bits = [np.stack([v[f"b{c}_{k}"] for k in range(width)], axis=1).view(np.uint64) for c, width in enumerate(WIDTHS)]  # bits of a negative number are counted by its absolute value
+    x, step = np.arange(len(token)), 0
+    while True:  # every row with the next one of its token, then with the one after it
+        step += 1
+        x = x[: np.searchsorted(x, len(token) - step)]
+        x = x[token[x] == token[x + step]]
+        if not len(x):
+            return
+        both = np.minimum(rest[x], rest[x + step])
+        near = cosine * norm[x] * norm[x + step] + jaccard * both / (size[x] + size[x + step] - both) >= least
+        a, b = x[near], x[near] + step
+        cos, shared = np.zeros(len(a)), np.zeros(len(a), np.int64)
+        for c in range(len(WIDTHS)):
+            alone = [np.bitwise_count(one[i] & ~one[j]).sum(axis=1, dtype=np.int64) for one, i, j in ((bits[c], a, b), (bits[c], b, a))]
+            left = [np.maximum(v[f"q{c}"][i] - u * v[f"m{c}"][i], 0.0) for u, i in zip(alone, (a, b), strict=True)]
+            cos += np.sqrt(left[0] * left[1])
+            shared += np.minimum(v[f"n{c}"][a] - alone[0], v[f"n{c}"][b] - alone[1])
+        keep = cosine * cos + jaccard * shared / (size[a] + size[b] - shared) >= least
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[keep])), ids.take(pa.array(b[keep]))], ["a", "b"])
 
 
 def similar_pairs(rows: DataFrame, n: DataFrame, least: float = 0.0, cosine: float = COSINE, jaccard: float = JACCARD) -> DataFrame:
     """(a, b, cosine, jaccard, score) of the pairs that share a token and may reach `least` by the bounds of `candidates`; scores are exact. rows: (id, token, tf); n: one row with the number of documents."""
     ranked = stored(ranked_tokens(rows, n), "ranked")
-    pairs = candidates(ranked, least, cosine, jaccard)
-    vectors = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("v"))
-    met = pairs.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b")
+    pairs = candidates(ranked, n, least, cosine, jaccard)
+    # A vector goes along with every pair, so it is one string and one array: tokens hold no NUL.
+    vectors = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("v")).select("id", F.array_join("v.token", "\0").alias("t"), F.col("v.w").alias("w"))
+    met = pairs.join(vectors.toDF("a", "ta", "wa"), "a").join(vectors.toDF("b", "tb", "wb"), "b")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict = {}
             dots, shared, union = [], [], []
-            ids, sides = [batch.column(c).to_pylist() for c in ("a", "b")], [batch.column(c) for c in ("va", "vb")]
+            ids, sides = [batch.column(c).to_pylist() for c in ("a", "b")], [[batch.column(c + s) for c in "tw"] for s in "ab"]
             for i, pair in enumerate(zip(*ids, strict=True)):
                 for one, side in zip(pair, sides, strict=True):
                     if one not in held:
-                        v = side[i].values
-                        held[one] = dict(zip(v.field("token").to_pylist(), v.field("w").to_pylist(), strict=True))
+                        held[one] = dict(zip(side[0][i].as_py().split("\0"), side[1][i].as_py(), strict=True))
                 small, large = sorted((held[k] for k in pair), key=len)
                 met = [(w, large[t]) for t, w in small.items() if t in large]
                 dots.append(sum(x * y for x, y in met))
@@ -86,7 +150,7 @@ def similar_pairs(rows: DataFrame, n: DataFrame, least: float = 0.0, cosine: flo
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "dot": pa.array(dots, pa.float64()), "shared": pa.array(shared, pa.int64()), "all": pa.array(union, pa.int64())})
 
     kind = dict(ranked.dtypes)["id"]
-    out = met.select("a", "b", "va", "vb").mapInArrow(score, f"a {kind}, b {kind}, dot double, shared long, all long")
+    out = met.select("a", "b", "ta", "wa", "tb", "wb").mapInArrow(score, f"a {kind}, b {kind}, dot double, shared long, all long")
     out = out.withColumn("cosine", F.round("dot", 6)).withColumn("jaccard", F.round(F.col("shared") / F.col("all"), 6))
     return out.withColumn("score", blend(F.col("cosine"), F.col("jaccard"))).select("a", "b", "cosine", "jaccard", "score")
 

@@ -195,3 +195,20 @@ def test_similarity_join_loses_no_pair(spark):
     assert some == {k for k, r in every.items() if r.jaccard >= 0.5}
     top = triage.near_duplicates(docs, F.col("w"), 2.0, 30).collect()  # none at the threshold: the bound falls
     assert sorted(r.score for r in top) == sorted(r.score for r in every.values())[-30:] and not any(r.above for r in top)
+
+
+def test_similarity_join_of_long_texts(spark):
+    """Signatures of hundreds of tokens, in which every bit occurs: no pair is lost."""
+    import random
+
+    rng = random.Random(5)
+    texts = [rng.sample([f"w{k}" for k in range(3000)], rng.randint(150, 300)) for _ in range(150)]
+    texts += [[*t[: len(t) - cut], *(f"x{cut}y{j}" for j in range(cut))] for cut in (5, 30, 60) for t in texts[:40]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, w array<string>")
+    rows, n = triage.token_rows(docs, F.col("w")), docs.agg(F.count("*").alias("n"))
+    sets = [set(t) for t in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    got = {(r.a, r.b) for r in triage.similar_pairs(rows, n, 0.5, 0.0, 1.0).where("jaccard >= 0.5").collect()}
+    assert got == want and len(want) >= 120
+    every = {(r.a, r.b): r.score for r in triage.similar_pairs(rows, n, 0.0).collect()}
+    assert {(r.a, r.b) for r in triage.similar_pairs(rows, n, 0.6).where("score >= 0.6").collect()} == {k for k, v in every.items() if v >= 0.6}
