@@ -2,33 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from xml.etree import ElementTree
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from papyrine.functions.text import clean, distinct_caseless, doi, from_inverted
+from papyrine.session import reachable
 
 #: The common record.
 RECORD = ("source", "id", "doi", "pmid", "title", "abstract", "year", "venue", "authors", "citations", "type", "url")
 
 
-def shaped(df: DataFrame, source: str, **columns: Column) -> DataFrame:
-    """Select the common record; what a source lacks is null."""
+def shaped(df: DataFrame, source: str, more: dict[str, Column] | None = None, **columns: Column) -> DataFrame:
+    """Select the common record, then `more`; what a source lacks is null."""
     kinds = {"year": "int", "citations": "long", "authors": "array<string>"}
     fixed = {"source": F.lit(source)} | columns
-    return df.select(*[fixed.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RECORD])
-
-
-def article_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Rows of article XML, one article each: text with nested mark-up kept, abstract parts joined, a year found in free date text, eight authors."""
-    x = lambda p: F.xpath_string(xml, F.lit(p))
-    every = lambda p: F.xpath(F.col(xml), F.lit(p))
+    return df.select(*[fixed.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RECORD], *[v.alias(c) for c, v in (more or {}).items()])
+
+
+def tree(xml: str) -> ElementTree.Element:
+    """The document under a root of our own; names stay as they are written, prefix included, as they do in Spark's xpath."""
+    made, parser = ElementTree.TreeBuilder(), expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = made.start, made.end, made.data
+    made.start("", {})
+    parser.Parse(xml, True)
+    made.end("")
+    return made.close()
+
+
+def fields(one: dict[str, str] | None = None, every: dict[str, str] | None = None) -> Callable[[Column], Column]:
+    """A function of XML that reads all paths from one parse, where xpath would parse the text once a path: in `one` the text of the first node, empty if there is none, in `every` the texts right in each node.
+    Paths are those of ElementTree, found anywhere. Null and empty texts give nulls; what is no XML is an error."""
+    one, every = one or {}, every or {}
+
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            if not text:
+                rows.append((None,) * (len(one) + len(every)))
+                continue
+            root = tree(text)
+            firsts = [root.find(f".//{p}") for p in one.values()]
+            lists = [[t for node in root.iterfind(f".//{p}") for t in (node.text, *(inside.tail for inside in node)) if t] for p in every.values()]
+            rows.append((*["" if node is None else "".join(node.itertext()) for node in firsts], *lists))
+        return pd.DataFrame(rows, columns=[*one, *every], dtype=object)
+
+    kind = StructType([*[StructField(c, StringType()) for c in one], *[StructField(c, ArrayType(StringType())) for c in every]])
+    return F.pandas_udf(read, kind).asNondeterministic()  # else a filter on what is read is sent below, where it reads again
+
+
+ARTICLE = fields(
+    {"pmid": "PMID", "doi": "ArticleId[@IdType='doi']", "year": "PubDate/Year", "date": "PubDate/MedlineDate", "venue": "Journal/Title"},
+    {"last": "Author/LastName", "initials": "Author/Initials", "types": "PublicationType", "headings": "MeshHeading/DescriptorName"},
+)
+
+
+def article_xml(df: DataFrame, xml: str = "xml", headings: bool = False) -> DataFrame:
+    """Rows of article XML, one article each: text with nested mark-up kept, abstract parts joined, a year found in free date text, eight authors; with `headings` also the descriptor names (see descriptors)."""
+    reachable(df.sparkSession)
+    r = df.withColumn("_r", ARTICLE(F.col(xml)))
+    x = lambda c: F.nullif(F.col(f"_r.{c}"), F.lit(""))
     inner = lambda tag: clean(F.regexp_extract(xml, f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
     parts = F.transform(F.regexp_extract_all(xml, F.lit("(?s)<AbstractText[^>]*>(.*?)</AbstractText>"), 1), clean)
-    year = F.coalesce(F.nullif(x("//PubDate/Year"), F.lit("")), F.nullif(F.regexp_extract(x("//PubDate/MedlineDate"), r"(\d{4})", 1), F.lit("")))
-    authors = F.slice(F.zip_with(every("//Author/LastName/text()"), every("//Author/Initials/text()"), lambda a, b: F.concat_ws(" ", a, b)), 1, 8)
-    pmid = F.nullif(x("//PMID"), F.lit(""))
+    year = F.coalesce(x("year"), F.nullif(F.regexp_extract("_r.date", r"(\d{4})", 1), F.lit("")))
+    authors = F.slice(F.zip_with("_r.last", "_r.initials", lambda a, b: F.concat_ws(" ", a, b)), 1, 8)
+    pmid = x("pmid")
     return shaped(
-        df, "pubmed", id=pmid, pmid=pmid, doi=doi(x("//ArticleId[@IdType='doi']")), title=inner("ArticleTitle"), abstract=F.array_join(parts, " "), year=year, venue=F.nullif(x("//Journal/Title"), F.lit("")),
-        authors=authors, type=F.left(F.array_join(every("//PublicationType/text()"), "; "), F.lit(120)), url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")),
+        r, "pubmed", {"headings": distinct_caseless(F.col("_r.headings"))} if headings else None, id=pmid, pmid=pmid, doi=doi(F.col("_r.doi")), title=inner("ArticleTitle"), abstract=F.array_join(parts, " "), year=year, venue=x("venue"),
+        authors=authors, type=F.left(F.array_join("_r.types", "; "), F.lit(120)), url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")),
     )
 
 
@@ -76,10 +122,15 @@ def scholar_json(df: DataFrame, json: str = "json") -> DataFrame:
     return shaped(r, "semanticscholar", id=F.col("_r.paperId"), doi=doi(F.col("_r.externalIds.DOI")), pmid=F.col("_r.externalIds.PubMed"), title=clean(F.col("_r.title")), abstract=F.col("_r.abstract"), year=F.col("_r.year"), venue=F.col("_r.venue"), authors=F.slice(F.transform("_r.authors", lambda a: a["name"]), 1, 8), citations=F.col("_r.citationCount"), url=F.col("_r.url"))
 
 
+ENTRY = fields({c: c for c in ("id", "title", "summary", "published")}, {"names": "author/name"})
+
+
 def atom(df: DataFrame, xml: str = "xml", year_from: int | None = None) -> DataFrame:
     """Atom entries, one a row; the service cannot filter by year, so the reader does; a null year passes."""
-    x = lambda p: F.nullif(F.xpath_string(xml, F.lit(p)), F.lit(""))
-    out = shaped(df, "arxiv", id=F.regexp_extract(x("//id"), r"([^/]+)$", 1), title=clean(x("//title")), abstract=clean(x("//summary")), year=F.substring(x("//published"), 1, 4), authors=F.slice(F.xpath(F.col(xml), F.lit("//author/name/text()")), 1, 8), url=x("//id"))
+    reachable(df.sparkSession)
+    r = df.withColumn("_r", ENTRY(F.col(xml)))
+    x = lambda c: F.nullif(F.col(f"_r.{c}"), F.lit(""))
+    out = shaped(r, "arxiv", id=F.regexp_extract(x("id"), r"([^/]+)$", 1), title=clean(x("title")), abstract=clean(x("summary")), year=F.substring(x("published"), 1, 4), authors=F.slice("_r.names", 1, 8), url=x("id"))
     return out if year_from is None else out.where(F.col("year").isNull() | (F.col("year") >= year_from))
 
 
@@ -91,9 +142,13 @@ def routed(domains: DataFrame, routing: DataFrame, general: str = "general") ->
     return own.unionByName(rest, allowMissingColumns=True)
 
 
+DESCRIPTOR = fields({"ui": "DescriptorUI", "label": "DescriptorName/String"}, {"paths": "TreeNumber", "terms": "Term/String"})
+
+
 def vocabulary_xml(df: DataFrame, xml: str = "xml", shortest: int = 4) -> tuple[DataFrame, DataFrame]:
     """Descriptor records, one a row: (ui, label, paths) and (term, ui). A term of two descriptors is ambiguous and dropped."""
-    heads = df.select(F.xpath_string(xml, F.lit("//DescriptorUI")).alias("ui"), F.xpath_string(xml, F.lit("//DescriptorName/String")).alias("label"), F.xpath(F.col(xml), F.lit("//TreeNumber/text()")).alias("paths"), F.xpath(F.col(xml), F.lit("//Term/String/text()")).alias("terms"))
+    reachable(df.sparkSession)
+    heads = df.select(DESCRIPTOR(F.col(xml)).alias("_r")).select("_r.*")
     each = heads.select("ui", F.explode("terms").alias("raw")).select("ui", F.lower("raw").alias("term")).where(F.length("term") >= shortest).distinct()
     sole = each.groupBy("term").agg(F.min("ui").alias("ui"), F.count("*").alias("n")).where("n = 1").drop("n")
     return heads.select("ui", "label", "paths"), sole

@@ -166,6 +166,19 @@ def test_record_formats(spark):
     assert [x.id for x in records.atom(spark.createDataFrame(entries, "xml string"), year_from=2015).collect()] == ["2"]
 
 
+def test_xml_is_parsed_once(spark):
+    """All fields come from one parse, a filter on them included, with the values that xpath gives."""
+    texts = [ARTICLE, "<a:b><PMID> </PMID><x:PMID>9</x:PMID><ArticleId IdType='doi'><![CDATA[10.1/<Z>]]></ArticleId><Author><LastName>A&amp;B<sup>1</sup>C</LastName></Author><PublicationType/></a:b>", "<PMID>5<i>6</i></PMID>", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "xml string")
+    own = df.select(records.ARTICLE(F.col("xml")).alias("r"), F.xpath_string("xml", F.lit("//PMID")).alias("pmid"), F.xpath_string("xml", F.lit("//ArticleId[@IdType='doi']")).alias("doi"), F.xpath("xml", F.lit("//Author/LastName/text()")).alias("last"), F.xpath("xml", F.lit("//PublicationType/text()")).alias("types"))
+    assert all((r.r.pmid, r.r.doi, r.r.last, r.r.types) == (r.pmid, r.doi, r["last"], r.types) for r in own.collect())
+    r = records.article_xml(df.limit(1), headings=True).first()
+    assert (r.headings, r.pmid) == (["Lung"], "77")
+    for made in (records.article_xml(df, headings=True), records.atom(df, year_from=2015)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "xpath" not in plan
+
+
 def test_vocabulary_builder(spark):
     rec = lambda u, *t: (f"<DescriptorRecord><DescriptorUI>{u}</DescriptorUI><DescriptorName><String>{t[0]}</String></DescriptorName>" + "".join(f"<Term><String>{x}</String></Term>" for x in t) + "</DescriptorRecord>",)
     _, terms = records.vocabulary_xml(spark.createDataFrame([rec("D1", "Lung", "Pulmo", "Both"), rec("D2", "Heart", "Both", "abc")], "xml string"))
