@@ -21,13 +21,19 @@ class Harvest:
     pmcids: DataFrame
 
 
+def left(rows: DataFrame, key: Column, found: DataFrame, found_key: str, apart: str = "paper") -> DataFrame:
+    """Left join by a text key. Rows without a key meet nothing; they go by `apart`, for by their null all of them, with their abstracts, would go to one task."""
+    own = F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("n"), F.coalesce(F.col(apart).cast("string"), F.lit(""))))
+    return rows.join(found.withColumn("_key", F.concat(F.lit("k"), F.col(found_key))), own == F.col("_key"), "left").drop("_key", found_key)
+
+
 def resolved_ids(papers: DataFrame, links: DataFrame) -> DataFrame:
     """papers with found: the pmcid of its PMID or, without a PMID, of its DOI. links: (pmid, doi, pmcid)."""
     by_pmid = links.where("pmid IS NOT NULL").groupBy(F.col("pmid").alias("_p")).agg(F.min("pmcid").alias("_by_pmid"))
     by_doi = links.where("doi IS NOT NULL").groupBy(F.lower("doi").alias("_d")).agg(F.min("pmcid").alias("_by_doi"))
     pmid, doi = either(F.col("pmid")), F.lower(either(F.col("doi")))
-    met = papers.join(by_pmid, pmid == F.col("_p"), "left").join(by_doi, pmid.isNull() & (doi == F.col("_d")), "left")
-    return met.withColumn("found", F.coalesce("_by_pmid", "_by_doi")).drop("_p", "_d", "_by_pmid", "_by_doi")
+    met = left(left(papers, pmid, by_pmid, "_p"), F.when(pmid.isNull(), doi), by_doi, "_d")
+    return met.withColumn("found", F.coalesce("_by_pmid", "_by_doi")).drop("_by_pmid", "_by_doi")
 
 
 def harvest(papers: DataFrame, cache: DataFrame, links: DataFrame, fulltexts: DataFrame, key: str, again: bool = False, phrases: tuple[str, ...] | None = None, **section) -> Harvest:
@@ -46,7 +52,7 @@ def harvest(papers: DataFrame, cache: DataFrame, links: DataFrame, fulltexts: Da
     todo = todo.withColumn("asked", F.col("pmcid").isNull() & F.coalesce(either(F.col("pmid")), either(F.col("doi"))).isNotNull()).withColumn("own", F.col("pmcid"))
     todo = todo.withColumn("pmcid", F.coalesce("pmcid", F.when(F.col("asked"), F.col("found"))))
     texts = fulltexts.select(F.col("pmcid").alias("_id"), open_section(F.col("xml"), **section).alias("_section"))
-    todo = todo.join(texts.groupBy("_id").agg(F.max("_section").alias("_section")), F.col("pmcid") == F.col("_id"), "left")
+    todo = left(todo, F.col("pmcid"), texts.where("_id IS NOT NULL").groupBy("_id").agg(F.max("_section").alias("_section")), "_id")
     todo = todo.select("paper", "key", "pmcid", "own", "abstract", F.col("_section").alias("section"), F.lit(False).alias("cached"), "asked", (F.col("own").isNotNull() | F.col("asked")).alias("looked"))
     done = state.where("cached").select("paper", "key", "pmcid", F.col("pmcid").alias("own"), "abstract", "section", "cached", F.lit(False).alias("asked"), F.lit(False).alias("looked"))
     rows = todo.unionByName(done)
