@@ -146,9 +146,13 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, per_step: int, weight:
 
 def verdicts(directions: DataFrame, postings: DataFrame, settled: int = 3, least_papers: int = 25) -> DataFrame:
     """directions: (direction, term), one row a term; postings: (doc, term, is_before). Verdict from how many documents hold all terms before and after the cutoff."""
+    directions = stored(directions.select("direction", "term").distinct(), "directions")  # of known size, so that a few are sent to the postings
     size = directions.groupBy("direction").agg(F.count_distinct("term").alias("n_terms"))
-    per_term = directions.join(postings.groupBy("term").agg(F.count_distinct("doc").alias("papers")), "term", "left").groupBy("direction").agg(F.min(F.coalesce("papers", F.lit(0))).alias("rarest"))
-    docs = directions.join(postings, "term").groupBy("direction", "doc", "is_before").agg(F.count_distinct("term").alias("held")).join(size, "direction").where("held = n_terms")
+    asked = stored(directions.select("term").distinct(), "terms")
+    met = stored(postings.join(asked, "term", "left_semi").select("doc", "term", "is_before").distinct(), "postings")  # those that are asked for, read twice, made once
+    papers = met.select("doc", "term").distinct().groupBy("term").agg(F.count("doc").alias("papers"))
+    per_term = directions.join(papers, "term", "left").groupBy("direction").agg(F.min(F.coalesce("papers", F.lit(0))).alias("rarest"))
+    docs = directions.join(met, "term").groupBy("direction", "doc", "is_before").agg(F.count("*").alias("held")).join(size, "direction").where("held = n_terms")
     counts = docs.groupBy("direction").agg(F.count_if("is_before").alias("before"), F.count_if(~F.col("is_before")).alias("after"))
     met = size.join(per_term, "direction").join(counts, "direction", "left").fillna(0, ["before", "after"])
     verdict = F.when(F.col("n_terms") < 2, "SINGLE GROUP").when(F.col("rarest") < least_papers, "TERM TOO RARE").when(F.col("before") >= settled, "ALREADY DONE").when(F.col("after") >= settled, "PURSUED SINCE").otherwise("STILL OPEN")
@@ -163,8 +167,9 @@ def checked(directions: DataFrame, slots: DataFrame, postings: DataFrame, failed
     broke off. A paper takes a direction if each slot has a term among its subjects. Co-mentions are open papers up to the cutoff that hold every slot anywhere.
     """
     own = directions.select("direction", F.coalesce("cutoff", F.lit(default_cutoff)).alias("cutoff"))
-    terms = slots.where(F.trim("term") != "").select("direction", "slot", "term").distinct()
+    terms = stored(slots.where(F.trim("term") != "").select("direction", "slot", "term").distinct(), "slots")  # of known size, so that a few are sent to the postings
     met = terms.join(postings, "term").groupBy("direction", "slot", "doc").agg(F.max("subject").alias("subject"), F.max("open").alias("open"), F.max("year").alias("year"))
+    met = stored(met, "met")  # read twice, made once
     papers = met.groupBy("direction", "slot").agg(F.count_if("subject").alias("papers"))
     sizes = terms.select("direction", "slot").distinct().join(papers, ["direction", "slot"], "left")
     sizes = sizes.groupBy("direction").agg(F.count("*").alias("n_slots"), F.min(F.coalesce("papers", F.lit(0))).alias("rarest"))
