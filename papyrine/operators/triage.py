@@ -197,14 +197,32 @@ def survivors(members: DataFrame) -> DataFrame:
     return members.withColumn("survives", rank == 1).withColumn("merged_into", F.first("id").over(Window.partitionBy("root").orderBy(*order)))
 
 
+#: Players of a tournament whose pairs are numbered in one task, and pairs a task should have.
+FIELD, TASK_PAIRS = 128, 1 << 20
+
+
 def schedule(players: DataFrame, batch: int, order: Column) -> DataFrame:
-    """players: (tournament, id, is_anchor). All pairs of a tournament but of two anchors, once each way; the second way starts on a batch of its own. Pairs are made on purpose: a tournament plays them all, so its field is small; tournaments go in parallel."""
-    a, b = players.toDF("tournament", "l", "l_anchor"), players.toDF("tournament", "r", "r_anchor")
-    pairs = a.join(b, "tournament").where((F.col("l") < F.col("r")) & ~(F.col("l_anchor") & F.col("r_anchor")))
+    """players: (tournament, id, is_anchor). All pairs of a tournament but of two anchors, once each way; the second way starts on a batch of its own. Pairs are made on purpose: a tournament plays them all, so their number is the square of its field.
+
+    The first players of the pairs are cut into fields of `FIELD`, in order, and each field meets the tournament in a task of its own. A pair's place is its place in its
+    field, among the pairs of equal `order`, behind those that come before: a table by field and order, of a few values, counted first. No task sorts a tournament, and no pair is shuffled.
+    """
+    ranked = stored(players.toDF("tournament", "id", "anchor").withColumn("field", F.floor((F.rank().over(Window.partitionBy("tournament").orderBy("id")) - 1) / FIELD)), "players")
+    sizes = ranked.groupBy("tournament").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0  # one number
+    tasks = max(int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(most // TASK_PAIRS))
+    fields = ranked.groupBy("tournament", "field").agg(F.min("id").alias("least"))
+    a = ranked.select("tournament", "field", F.col("id").alias("l"), F.col("anchor").alias("l_anchor")).repartition(tasks, "tournament", "field")
+    b = ranked.select("tournament", F.col("id").alias("r"), F.col("anchor").alias("r_anchor")).join(fields, "tournament").where("r >= least").select("tournament", "field", "r", "r_anchor").repartition(tasks, "tournament", "field")
+    pairs = a.join(b.hint("shuffle_hash"), ["tournament", "field"]).where((F.col("l") < F.col("r")) & ~(F.col("l_anchor") & F.col("r_anchor"))).select("tournament", "field", "l", "r", order.alias("ord"))
+    counts = stored(pairs.groupBy("tournament", "field", "ord").agg(F.count("*").alias("n")), "places")
     own = Window.partitionBy("tournament")
-    first = pairs.withColumn("batch", F.floor((F.row_number().over(own.orderBy(order, "l", "r")) - 1) / batch))
-    second = first.withColumn("shift", F.ceil(F.count("*").over(own) / batch)).select("tournament", F.col("r").alias("l"), F.col("l").alias("r"), (F.col("batch") + F.col("shift")).alias("batch"))
-    return first.select("tournament", "l", "r", "batch").unionByName(second)
+    ahead = stored(counts.withColumn("ahead", F.sum("n").over(own.orderBy("ord", "field")) - F.col("n")).withColumn("shift", F.ceil(F.sum("n").over(own) / batch)).drop("n"), "ahead")  # the planner knows its size
+    place = F.row_number().over(Window.partitionBy("tournament", "field", "ord").orderBy("l", "r"))
+    met = pairs.withColumn("place", place).join(ahead.withColumnRenamed("ord", "_ord"), (F.col("ord").eqNullSafe(F.col("_ord"))) & (pairs.tournament == ahead.tournament) & (pairs.field == ahead.field))
+    rows = met.select(pairs.tournament, "l", "r", F.floor((F.col("ahead") + F.col("place") - 1) / batch).alias("batch"), "shift")
+    both = F.array(F.struct("l", "r", "batch"), F.struct(F.col("r").alias("l"), F.col("l").alias("r"), (F.col("batch") + F.col("shift")).alias("batch")))
+    return rows.select("tournament", F.inline(both))
 
 
 def ratings(matches: DataFrame, k: float = 32.0, start: float = 1000.0) -> DataFrame:
