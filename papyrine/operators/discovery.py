@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from papyrine.operators.relational import top
-from papyrine.session import stored
+from papyrine.session import dealt, stored
 
 
 def bridges(uses: DataFrame, seeds: DataFrame, least: int = 1) -> DataFrame:
@@ -132,13 +132,19 @@ def gate(rows: DataFrame, ceiling: float = 0.5, least: float = 2.0) -> DataFrame
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, per_step: int, weight: DataFrame) -> DataFrame:
-    """edges: (src, dst) cites; weight: (node, score). From the seeds, `depth` steps along references and citers, each keeping the per_step best unseen nodes a seed. (seed, node, step)."""
-    ways = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """edges: (src, dst) cites; weight: (node, score). From the seeds, `depth` steps along references and citers, each keeping the per_step best unseen nodes a seed. (seed, node, step).
+
+    A seed has seen 1 + per_step * (depth - 1) nodes at most, so of a node's neighbours only so many and per_step of the best can be kept: the others never meet the seeds."""
+    ways = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    n = ways.count()
+    ways = dealt(ways, n, "dst").distinct()
+    best = [F.col("score").desc_nulls_last(), F.col("dst")]
+    ways = stored(top(dealt(ways.join(weight.withColumnRenamed("node", "dst"), "dst", "left"), n, "src"), ["src"], best, 1 + per_step * depth).select("src", "dst", "score"), "ways")
     out = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("step"))
     edge = out
     for k in range(1, depth + 1):
-        near = edge.join(ways, edge.node == ways.src).select("seed", F.col("dst").alias("node")).distinct().join(out.select("seed", "node"), ["seed", "node"], "left_anti")
-        best = near.join(weight, "node", "left").withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy(F.col("score").desc_nulls_last(), "node")))
+        near = edge.join(ways, edge.node == ways.src).select("seed", F.col("dst").alias("node"), "score").distinct().join(out.select("seed", "node"), ["seed", "node"], "left_anti")
+        best = near.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy(F.col("score").desc_nulls_last(), "node")))
         edge = best.where(F.col("_n") <= per_step).select("seed", "node", F.lit(k).alias("step"))
         out = out.unionByName(edge)
     return out
