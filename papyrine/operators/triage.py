@@ -12,14 +12,16 @@ from papyrine.functions.measures import blend, expectation, tfidf
 from papyrine.session import dropped, reachable, stored
 
 
-def token_rows(docs: DataFrame, tokens: Column) -> DataFrame:
-    """(id, token, tf)."""
-    return docs.select("id", F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+def token_rows(docs: DataFrame, tokens: Column, by: str | None = None) -> DataFrame:
+    """(id, token, tf). Dealt `by` id, the tokens of a document go to one task as one array, so that what is done by id afterwards, this count first, needs no shuffle of its rows."""
+    rows = docs.select("id", tokens.alias("_ts"))
+    rows = rows if by is None else rows.repartition(F.col(by))
+    return rows.select("id", F.explode("_ts").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 def weights(rows: DataFrame, n: DataFrame) -> DataFrame:
-    """(id, token, df, w): TF-IDF of unit length. n: one row with the number of documents."""
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
+    """(id, token, df, w): TF-IDF of unit length. n: one row with the number of documents. The document frequencies are stored, so that the planner knows whether they are few enough to be sent to the rows; else the rows go to them."""
+    df = stored(rows.groupBy("token").agg(F.count("*").alias("df")), "df")
     raw = rows.join(df, "token").join(F.broadcast(n)).withColumn("v", tfidf(F.col("tf"), F.col("df"), F.col("n")))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
     return raw.withColumn("w", F.when(norm > 0, F.col("v") / norm).otherwise(0.0)).select("id", "token", "df", "w")
