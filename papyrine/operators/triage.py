@@ -33,126 +33,240 @@ SLACK = 1e-3  # scores are rounded to three places
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs (id, text) with class_id, the smallest id of its text: copies are compared once."""
-    first = docs.groupBy(F.xxhash64(text).alias("_h"), text).agg(F.min("id").alias("class_id"))
-    return docs.join(first.withColumnRenamed(text, "_t"), (F.xxhash64(text) == F.col("_h")) & F.col(text).eqNullSafe(F.col("_t"))).drop("_h", "_t")
+    """(h, class_id) of docs (id, text): the smallest id of each text, by the text's SHA-256 (null: none), so that no text is shuffled."""
+    return docs.groupBy(text_key(text).alias("h")).agg(F.min("id").alias("class_id"))
+
+
+def text_key(text: str) -> Column:
+    return F.coalesce(F.sha2(text, 256), F.lit("none"))
 
 
 def ranked_tokens(rows: DataFrame, n: DataFrame) -> DataFrame:
-    """(id, token, df, w, size, rest, rest_sq): the tokens of each document in one order for all, rarest first, with how many there are from it on and their squared weight."""
-    w = weights(rows, n)
-    own, ahead = Window.partitionBy("id"), Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("token").desc())
-    out = w.withColumn("size", F.count("*").over(own)).withColumn("rest", F.row_number().over(ahead))
-    return out.withColumn("rest_sq", F.sum(F.col("w") * F.col("w")).over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """(id, n, token, df, w) as arrays: the tokens of each document in one order for all, rarest first, and their TF-IDF of unit length. n: one row with the number of documents."""
+    df = stored(rows.groupBy("token").agg(F.count("*").alias("df")), "df")
+    own = rows.join(df, "token").select("id", "token", "tf", "df").repartition("id")
+    docs = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token", "tf"))).alias("x")).join(F.broadcast(n.select("n")))
+    docs = docs.withColumn("v", F.transform("x", lambda x: tfidf(x["tf"], x["df"], F.col("n"))))
+    docs = docs.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)))
+    unit = F.transform("v", lambda v: F.when(F.col("norm") > 0, v / F.col("norm")).otherwise(0.0))
+    return docs.select("id", "n", F.col("x.token").alias("token"), F.col("x.df").alias("df"), unit.alias("w"))
 
 
 #: Classes of tokens by the share of documents that hold one, up to these, and how many words of 64 bits stand for the tokens of each in a signature.
 SHARES, WIDTHS = (0.0004, 0.002, 0.02, 1.0), (8, 8, 8, 4)
+#: A text of more tokens than this has a signature of twice the words, and so on up to LEVELS doublings: full bitmaps would tell nothing.
+LEVEL_TOKENS, LEVELS = 512, 4
+#: Tokens of all documents that a task should meet.
+BUCKET_TOKENS = 1 << 22
 
 
-def signatures(ranked: DataFrame, n: DataFrame) -> DataFrame:
-    """(id, bits, n, sq, low): by class of tokens that other documents hold too, a bitmap of the tokens' hashes, how many there are, their squared weight and the least one."""
-    share = F.col("df") / F.col("n")
-    cls = F.when(F.col("df") > 1, sum((F.when(share > s, 1).otherwise(0) for s in SHARES[:-1]), F.lit(0)))
-    rows = ranked.join(F.broadcast(n.select("n"))).select("id", cls.alias("c"), F.xxhash64("token").alias("h"), (F.col("w") * F.col("w")).alias("q"))
-    bits, per = [], []
-    for c, width in enumerate(WIDTHS):
-        own, at = F.col("c") == c, F.pmod(F.col("h"), F.lit(64 * width))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-        bits += [F.coalesce(F.bit_or(F.when(own & (F.floor(at / 64) == k), bit)), F.lit(0).cast("long")).alias(f"b{c}_{k}") for k in range(width)]
-        per += [F.count_if(own).alias(f"n{c}"), F.coalesce(F.sum(F.when(own, F.col("q"))), F.lit(0.0)).alias(f"q{c}"), F.coalesce(F.min(F.when(own, F.col("q"))), F.lit(0.0)).alias(f"m{c}")]
-    return rows.groupBy("id").agg(*bits, *per)
-
-
-def candidates(ranked: DataFrame, n: DataFrame, least: float, cosine: float, jaccard: float) -> DataFrame:
+def candidates(ranked: DataFrame, least: float, cosine: float, jaccard: float) -> DataFrame:
     """The pairs (a, b), a < b, whose score cosine * cos + jaccard * J may reach `least`, as far as bounds at a shared token tell.
 
     Tokens behind the first one that two documents share are all that their score can come from: their cosine is at most the
     product of the norms of the rests, their Jaccard at most the smaller rest over the union. So a token is looked at only
     where its own document's rest could reach `least` with any partner, which leaves the frequent tokens out, and a meeting only
     counts if both rests together can, and if the signatures allow it. No pair is lost: its first shared token passes all tests.
-    Tokens meet by their hash, since two that are taken for one only make a pair to be scored.
+    Tokens meet by their hash, since two that are taken for one only make a pair to be scored. They are dealt to buckets, and
+    a document goes to each of them once, with all its tokens there and its signature.
     """
-    least = max(least - SLACK, 0.0)
-    alone = cosine * F.sqrt("rest_sq") + jaccard * F.col("rest") / F.col("size")
-    head = ranked.where((F.col("df") > 1) & (alone >= least - 1e-9)).select("id", F.xxhash64("token").alias("token"), "size", "rest", "rest_sq")
-    head = head.join(signatures(ranked, n), "id").repartition("token").sortWithinPartitions("token", "id")
-    met = head.mapInArrow(lambda batches: meetings(batches, least - 1e-9, cosine, jaccard), f"a {dict(ranked.dtypes)['id']}, b {dict(ranked.dtypes)['id']}")
-    return met.where("a < b").distinct()
+    least = max(least - SLACK, 0.0) - 1e-9
+    total = ranked.agg(F.sum(F.size("token"))).first()[0] or 0  # one number
+    buckets = max(int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_TOKENS))
+    kind = dict(ranked.dtypes)["id"]
+    hashed = ranked.select("id", "n", F.transform("token", lambda t: F.xxhash64(t)).alias("token"), "df", "w")
+    head = hashed.mapInArrow(lambda batches: heads(batches, buckets, least, cosine, jaccard), f"bucket int, id {kind}, size int, sums array<float>, bits binary, token array<long>, rest array<int>, norm array<float>")
+    head = head.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id")
+    return head.mapInArrow(lambda batches: meetings(batches, least, cosine, jaccard), f"a {kind}, b {kind}").where("a < b").distinct()
 
 
-#: Rows taken together; a token's rows are never parted.
-MET_ROWS = 100_000
+def levels(size: np.ndarray) -> np.ndarray:
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / LEVEL_TOKENS)), 0, LEVELS).astype(np.int64)
+
+
+def heads(batches: Iterator[pa.RecordBatch], buckets: int, least: float, cosine: float, jaccard: float) -> Iterator[pa.RecordBatch]:
+    """Of documents (id, n, token, df, w): by bucket, the tokens that a partner could be met at first, each with how many there are from it on and the norm of these.
+    bits and sums are the signature: by class of tokens that other documents hold too, a bitmap of their hashes, how many there are, their squared weight and the least one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            docs = batch.slice(at, 1000)
+            lists = docs.column("token")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token, df, w = (docs.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("token", "df", "w"))
+            doc, ends = np.repeat(np.arange(len(size)), size), np.cumsum(size)
+            rest = ends[doc] - np.arange(len(doc))
+            behind = np.append(np.cumsum((w * w)[::-1])[::-1], 0.0)
+            norm = np.sqrt(np.maximum(behind[:-1] - behind[ends][doc], 0.0))
+            share = df / docs.column("n").to_numpy()[doc]
+            cls = sum((share > s).astype(np.int64) for s in SHARES[:-1])
+            shared = df > 1
+            slot, q = (doc * len(WIDTHS) + cls)[shared], (w * w)[shared]
+            least_q = np.full(len(size) * len(WIDTHS), np.inf)
+            np.minimum.at(least_q, slot, q)
+            sums = np.stack([np.bincount(slot, minlength=len(least_q)), np.bincount(slot, q, minlength=len(least_q)), np.where(np.isinf(least_q), 0.0, least_q)], axis=1).astype(np.float32)
+            sums = sums.reshape(len(size), -1)
+            level, bits = levels(size), [b""] * len(size)
+            for k in np.unique(level):
+                own = np.flatnonzero(level == k)
+                line = np.full(len(size), -1)
+                line[own] = np.arange(len(own))
+                on = np.zeros((len(own), 64 * sum(WIDTHS) << k), bool)
+                mine = shared & (line[doc] >= 0)
+                width, start = (64 * np.array(x) << k for x in (WIDTHS, np.cumsum([0, *WIDTHS[:-1]])))
+                c = cls[mine]
+                on[line[doc[mine]], start[c] + (token[mine].view(np.uint64) % width[c].astype(np.uint64)).astype(np.int64)] = True
+                for i, one in zip(own, np.packbits(on, axis=1, bitorder="little"), strict=True):
+                    bits[i] = one.tobytes()
+            head = np.flatnonzero(shared & (cosine * norm * (1 + 1e-6) + jaccard * rest / size[doc] >= least))
+            bucket = ((token[head].view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((bucket, doc[head]))
+            head, bucket = head[order], bucket[order]
+            if not len(head):
+                continue
+            first = np.flatnonzero(np.append(True, (doc[head][1:] != doc[head][:-1]) | (bucket[1:] != bucket[:-1])))
+            cuts, of = pa.array(np.append(first, len(head)).astype(np.int32)), doc[head[first]]
+            many = lambda x, kind: pa.ListArray.from_arrays(cuts, pa.array(x, kind))
+            twelve = pa.ListArray.from_arrays(pa.array((np.arange(len(of) + 1) * sums.shape[1]).astype(np.int32)), pa.array(sums[of].ravel()))
+            cols = {"bucket": pa.array(bucket[first]), "id": docs.column("id").take(pa.array(of)), "size": pa.array(size[of].astype(np.int32)), "sums": twelve, "bits": pa.array(bits, pa.binary()).take(pa.array(of))}
+            cols |= {"token": many(token[head], pa.int64()), "rest": many(rest[head], pa.int32()), "norm": many((norm[head] * (1 + 1e-6)).astype(np.float32), pa.float32())}
+            yield pa.RecordBatch.from_pydict(cols)
 
 
 def meetings(batches: Iterator[pa.RecordBatch], least: float, cosine: float, jaccard: float) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of token and id, as (a, b) of the rows of one token that may reach `least` by their rests and by their signatures: a bit that only
-    one has stands for one token at least that the other lacks, so the shared ones are fewer and weigh less."""
+    """Rows of `heads` in the order of bucket and id, as (a, b) of those of one bucket that may reach `least`."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < MET_ROWS:
-            continue
-        rows = pa.Table.from_batches(held).combine_chunks()
-        token = rows["token"].to_numpy()
-        end = int(np.searchsorted(token, token[-1]))
-        held = rows.slice(end).to_batches()
-        yield from met_rows(rows.slice(0, end), least, cosine, jaccard)
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if held and held[0].column("bucket")[0] != batch.column("bucket")[start]:
+                yield from met_rows(pa.Table.from_batches(held), least, cosine, jaccard)
+                held = []
+            if end > start:
+                held.append(batch.slice(start, end - start))
     if held:
         yield from met_rows(pa.Table.from_batches(held), least, cosine, jaccard)
 
 
+#: Bytes of signatures that are compared at once, and pairs that are held before they are.
+COMPARED, MET_PAIRS = 1 << 24, 1 << 20
+
+
 def met_rows(rows: pa.Table, least: float, cosine: float, jaccard: float) -> Iterator[pa.RecordBatch]:
-    v = {c: rows[c].to_numpy() for c in rows.column_names if c != "id"}
-    norm, size, rest, token, ids = np.sqrt(v["rest_sq"]), v["size"], v["rest"], v["token"], rows["id"].combine_chunks()
-    bits = [np.stack([v[f"b{c}_{k}"] for k in range(width)], axis=1).view(np.uint64) for c, width in enumerate(WIDTHS)]  # bits of a negative number are counted by its absolute value
-    x, step = np.arange(len(token)), 0
+    """The documents of a bucket that meet at a token and may reach `least` by their rests there, then by their signatures: a bit that only
+    one has stands for one token at least that the other lacks, so the shared ones are fewer and weigh less. Of unequal signatures the longer is folded."""
+    flat = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in rows[c].chunks])
+    lengths = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in rows["token"].chunks])
+    doc, token = np.repeat(np.arange(rows.num_rows), lengths), flat("token")
+    order = np.lexsort((doc, token))
+    doc, token, rest, norm = doc[order], token[order], flat("rest")[order], flat("norm")[order].astype(np.float64)
+    size, ids = rows["size"].to_numpy().astype(np.int64), pa.concat_arrays(rows["id"].chunks)
+    number, weight, low = (flat("sums").astype(np.float64).reshape(rows.num_rows, len(WIDTHS), 3)[:, :, k] for k in range(3))
+    level, raw, place, folded = levels(size), rows["bits"].to_pylist(), [], []
+    for k in range(LEVELS, -1, -1):  # each signature at its own level and, folded, at those below
+        own = np.flatnonzero(level == k)
+        line = np.full(rows.num_rows, -1)
+        bits = np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), sum(WIDTHS) << k)
+        if folded:
+            above, before = folded[0], np.flatnonzero(place[0] >= 0)
+            before = before[np.argsort(place[0][before])]
+            halves = [x.reshape(len(x), 2, x.shape[1] // 2) for x in np.split(above, np.cumsum(WIDTHS)[:-1] << (k + 1), axis=1)]
+            bits, own = np.concatenate([bits, np.concatenate([x[:, 0] | x[:, 1] for x in halves], axis=1)]), np.append(own, before)
+        line[own] = np.arange(len(own))
+        place.insert(0, line)
+        folded.insert(0, bits)
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep, both = np.zeros(len(a), bool), np.minimum(level[a], level[b])
+        for k in np.unique(both):
+            those, starts = np.flatnonzero(both == k), np.cumsum([0, *WIDTHS[:-1]]) << k
+            step = max(COMPARED // (8 * sum(WIDTHS) << k), 1)
+            for at in range(0, len(those), step):
+                part = those[at : at + step]
+                i, j = a[part], b[part]
+                x, y = folded[k][place[k][i]], folded[k][place[k][j]]
+                alone = [np.add.reduceat(np.bitwise_count(one).astype(np.int32), starts, axis=1) for one in (x & ~y, y & ~x)]
+                left = [np.maximum(weight[d] - u * low[d] * (1 - 1e-6), 0.0) for d, u in ((i, alone[0]), (j, alone[1]))]
+                cos = np.sqrt(left[0] * left[1]).sum(axis=1) * (1 + 1e-6)
+                shared = np.minimum(number[i] - alone[0], number[j] - alone[1]).sum(axis=1)
+                keep[part] = cosine * cos + jaccard * shared / (size[i] + size[j] - shared) >= least
+        return keep
+
+    def told(keys: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.divmod(np.unique(np.concatenate(keys)), rows.num_rows)
+        keep = near(a, b)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a[keep])), ids.take(pa.array(b[keep]))], ["a", "b"])
+
+    x, step, keys = np.arange(len(token)), 0, []
     while True:  # every row with the next one of its token, then with the one after it
         step += 1
         x = x[: np.searchsorted(x, len(token) - step)]
         x = x[token[x] == token[x + step]]
         if not len(x):
-            return
-        both = np.minimum(rest[x], rest[x + step])
-        near = cosine * norm[x] * norm[x + step] + jaccard * both / (size[x] + size[x + step] - both) >= least
-        a, b = x[near], x[near] + step
-        cos, shared = np.zeros(len(a)), np.zeros(len(a), np.int64)
-        for c in range(len(WIDTHS)):
-            alone = [np.bitwise_count(one[i] & ~one[j]).sum(axis=1, dtype=np.int64) for one, i, j in ((bits[c], a, b), (bits[c], b, a))]
-            left = [np.maximum(v[f"q{c}"][i] - u * v[f"m{c}"][i], 0.0) for u, i in zip(alone, (a, b), strict=True)]
-            cos += np.sqrt(left[0] * left[1])
-            shared += np.minimum(v[f"n{c}"][a] - alone[0], v[f"n{c}"][b] - alone[1])
-        keep = cosine * cos + jaccard * shared / (size[a] + size[b] - shared) >= least
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[keep])), ids.take(pa.array(b[keep]))], ["a", "b"])
+            break
+        i, j, both = doc[x], doc[x + step], np.minimum(rest[x], rest[x + step])
+        may = cosine * norm[x] * norm[x + step] + jaccard * both / (size[i] + size[j] - both) >= least
+        keys.append(i[may] * rows.num_rows + j[may])
+        if sum(map(len, keys)) >= MET_PAIRS:
+            yield told(keys)
+            keys = []
+    if keys:
+        yield told(keys)
+
+
+#: Documents of a cell: two cells are scored by one task at once.
+CELL = 256
+
+
+def placed(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the cells x <= y of their documents. A document's cell is the least one among itself and its partners, as near copies share theirs; a large one is dealt to cells of about `CELL`."""
+    pairs = stored(pairs, "met")
+    each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o")), F.struct(F.col("b").alias("id"), F.col("a").alias("o"))))).select("col.*")
+    hubs = each.groupBy("id").agg(F.min("o").alias("o")).select("id", F.least("id", "o").alias("hub"))
+    many = hubs.groupBy("hub").agg(F.ceil(F.count("*") / CELL).alias("k"))
+    cells = stored(hubs.join(many, "hub").select("id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("k"))).alias("cell")), "cells")
+    met = pairs.join(cells.toDF("a", "ca"), "a").join(cells.toDF("b", "cb"), "b")
+    return stored(met.select("a", "b", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")), "placed")
+
+
+def scored(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+    """pairs (a, b) with their dot products, shared tokens and all tokens; docs: (id, size, token, w), every document of the pairs."""
+    line = {k: i for i, k in enumerate(docs["id"].to_pylist())}
+    pairs = pairs.select(["a", "b"]).sort_by([("a", "ascending"), ("b", "ascending")])
+    a, b = (np.array([line[k] for k in pairs[c].to_pylist()], np.int64) for c in "ab")
+    code = pa.chunked_array([x.flatten() for x in docs["token"].chunks]).combine_chunks().dictionary_encode()
+    code, vocabulary = code.indices.to_numpy(), len(code.dictionary)
+    w = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in docs["w"].chunks])
+    ends = np.cumsum(np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in docs["token"].chunks]))
+    starts, size = np.append(0, ends[:-1]), docs["size"].to_numpy()
+    weight, held = np.zeros(vocabulary), np.zeros(vocabulary, np.int64)
+    dots, shared = np.zeros(len(a)), np.zeros(len(a), np.int64)
+    cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        own = slice(starts[a[low]], ends[a[low]])
+        weight[code[own]], held[code[own]] = w[own], 1
+        other = b[low:high]
+        at = np.concatenate([np.arange(starts[k], ends[k]) for k in other])
+        first = np.append(0, np.cumsum(ends[other] - starts[other])[:-1])
+        dots[low:high] = np.add.reduceat(weight[code[at]] * w[at], first)
+        shared[low:high] = np.add.reduceat(held[code[at]], first)
+        weight[code[own]], held[code[own]] = 0.0, 0
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "dot": dots, "shared": shared, "all": size[a] + size[b] - shared})
 
 
 def similar_pairs(rows: DataFrame, n: DataFrame, least: float = 0.0, cosine: float = COSINE, jaccard: float = JACCARD) -> DataFrame:
-    """(a, b, cosine, jaccard, score) of the pairs that share a token and may reach `least` by the bounds of `candidates`; scores are exact. rows: (id, token, tf); n: one row with the number of documents."""
-    ranked = stored(ranked_tokens(rows, n), "ranked")
-    pairs = candidates(ranked, n, least, cosine, jaccard)
-    # A vector goes along with every pair, so it is one string and one array: tokens hold no NUL.
-    vectors = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("v")).select("id", F.array_join("v.token", "\0").alias("t"), F.col("v.w").alias("w"))
-    met = pairs.join(vectors.toDF("a", "ta", "wa"), "a").join(vectors.toDF("b", "tb", "wb"), "b")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict = {}
-            dots, shared, union = [], [], []
-            ids, sides = [batch.column(c).to_pylist() for c in ("a", "b")], [[batch.column(c + s) for c in "tw"] for s in "ab"]
-            for i, pair in enumerate(zip(*ids, strict=True)):
-                for one, side in zip(pair, sides, strict=True):
-                    if one not in held:
-                        held[one] = dict(zip(side[0][i].as_py().split("\0"), side[1][i].as_py(), strict=True))
-                small, large = sorted((held[k] for k in pair), key=len)
-                met = [(w, large[t]) for t, w in small.items() if t in large]
-                dots.append(sum(x * y for x, y in met))
-                shared.append(len(met))
-                union.append(len(small) + len(large) - len(met))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "dot": pa.array(dots, pa.float64()), "shared": pa.array(shared, pa.int64()), "all": pa.array(union, pa.int64())})
+    """(a, b, cosine, jaccard, score) of the pairs that share a token and may reach `least` by the bounds of `candidates`; scores are exact. rows: (id, token, tf); n: one row with the number of documents.
 
+    A vector goes to a pair of cells once, however many of its pairs are scored there, and only with tokens that other documents hold too.
+    """
+    ranked = stored(ranked_tokens(rows, n), "ranked")
+    pairs = placed(candidates(ranked, least, cosine, jaccard))
+    wanted = pairs.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    common = F.filter(F.arrays_zip("token", "df", "w"), lambda x: x["df"] > 1)
+    vectors = ranked.select("id", F.size("token").cast("long").alias("size"), common.alias("v")).select("id", "size", F.col("v.token").alias("token"), F.col("v.w").alias("w"))
+    sent = wanted.join(vectors, "id").select("cx", "cy", "id", "size", "token", "w")
     kind = dict(ranked.dtypes)["id"]
-    out = met.select("a", "b", "ta", "wa", "tb", "wb").mapInArrow(score, f"a {kind}, b {kind}, dot double, shared long, all long")
+    out = pairs.select("x", "y", "a", "b").groupBy("x", "y").cogroup(sent.groupBy("cx", "cy")).applyInArrow(scored, f"a {kind}, b {kind}, dot double, shared long, all long")
     out = out.withColumn("cosine", F.round("dot", 6)).withColumn("jaccard", F.round(F.col("shared") / F.col("all"), 6))
     return out.withColumn("score", blend(F.col("cosine"), F.col("jaccard"))).select("a", "b", "cosine", "jaccard", "score")
 
