@@ -254,12 +254,24 @@ def scored(pairs: pa.Table, docs: pa.Table) -> pa.Table:
     return pa.table({"a": pairs["a"], "b": pairs["b"], "dot": dots, "shared": shared, "all": size[a] + size[b] - shared})
 
 
+def ranked_texts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """`ranked_tokens` of docs (id, ...), stored; the rows they are made of are deleted."""
+    rows = stored(token_rows(docs, tokens), "tokens")
+    ranked = stored(ranked_tokens(rows, docs.agg(F.count("*").alias("n"))), "ranked")
+    dropped(rows)
+    return ranked
+
+
 def similar_pairs(rows: DataFrame, n: DataFrame, least: float = 0.0, cosine: float = COSINE, jaccard: float = JACCARD) -> DataFrame:
-    """(a, b, cosine, jaccard, score) of the pairs that share a token and may reach `least` by the bounds of `candidates`; scores are exact. rows: (id, token, tf); n: one row with the number of documents.
+    """`ranked_pairs` of rows (id, token, tf); n: one row with the number of documents."""
+    return ranked_pairs(stored(ranked_tokens(rows, n), "ranked"), least, cosine, jaccard)
+
+
+def ranked_pairs(ranked: DataFrame, least: float = 0.0, cosine: float = COSINE, jaccard: float = JACCARD) -> DataFrame:
+    """(a, b, cosine, jaccard, score) of the pairs that share a token and may reach `least` by the bounds of `candidates`; scores are exact. ranked: stored `ranked_tokens`.
 
     A vector goes to a pair of cells once, however many of its pairs are scored there, and only with tokens that other documents hold too.
     """
-    ranked = stored(ranked_tokens(rows, n), "ranked")
     pairs = placed(candidates(ranked, least, cosine, jaccard))
     wanted = pairs.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.explode(F.array("a", "b")).alias("id")).distinct()
     common = F.filter(F.arrays_zip("token", "df", "w"), lambda x: x["df"] > 1)
@@ -276,10 +288,9 @@ def near_duplicates(docs: DataFrame, tokens: Column, threshold: float, top: int)
 
     The top are sought among the pairs at the threshold; only if these are too few, the bound falls by halves until there are enough or all pairs that share a token are scored.
     """
-    rows = stored(token_rows(docs, tokens), "tokens")
-    n, least = docs.agg(F.count("*").alias("n")), threshold
+    ranked, least = ranked_texts(docs, tokens), threshold
     while True:
-        pairs = stored(similar_pairs(rows, n, least).where(F.col("score") >= least if least else F.col("score") > 0), "pairs")
+        pairs = stored(ranked_pairs(ranked, least).where(F.col("score") >= least if least else F.col("score") > 0), "pairs")
         if not least or pairs.limit(top).count() >= top:
             break
         least = least / 2 if least > 0.05 else 0.0
